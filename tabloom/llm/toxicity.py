@@ -28,17 +28,17 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.llm.common import Words, _spans, chunks
 
 DECAY, SPAN, CLASSES = 0.7, 6, 32
-SAMPLE, SAMPLE_BYTES, LANDMARKS, COMMON = 1500, 10_000, 64, 8
+SAMPLE, SAMPLE_BYTES, LANDMARKS, COMMON = 1500, 10_000, 128, 4
 #: A unit of toxic documents is a landmark if chance would make one in any sample with probability exp(-BEYOND_CHANCE).
 BEYOND_CHANCE = 3.0
 #: Kernels below this count as 0: chance resemblance of long words.
-FLOOR = 0.65
+FLOOR = 0.7
 #: Signs read as letters.
 _SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 _GAP = CLASSES - 1
@@ -123,9 +123,11 @@ class Model:
         self.norms = np.array([_dot(p, p) ** 0.5 for p in profiles])
         self.table = np.zeros((len({k for p in profiles for k in p}) + 1, len(profiles)), np.float32)
         self.index = np.zeros(CLASSES**3, np.int32)
+        self.most = np.zeros(CLASSES**3, np.float32)
         for n, code in enumerate(sorted({k for p in profiles for k in p}), 1):
             self.index[code] = n
             self.table[n] = [p.get(code, 0.0) / m for p, m in zip(profiles, self.norms)]
+            self.most[code] = self.table[n].max()
 
     def features(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Per row and landmark: the greatest kernel of a unit, 0 below FLOOR. Equal units are compared once."""
@@ -137,13 +139,36 @@ class Model:
         stop = np.append(start[1:], len(text))
         hashed = _spans(_CLASS[text].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1), start, stop, _UNIT_BASE)
         _, one, which = np.unique(hashed, return_index=True, return_inverse=True)
-        likely, value = self._kernels(*_picked(text, start, stop, one))
+        near = self._near(*_picked(text, start, stop, one))
+        likely, value = self._kernels(*_picked(text, start, stop, one[near]))
         to = np.full(len(one), -1, np.int64)
-        to[likely] = np.arange(len(likely))
+        to[near[likely]] = np.arange(len(likely))
         at = np.flatnonzero(to[which] >= 0)
         np.maximum.at(out, row[at], value[to[which[at]]])
         return out
 
+    def _near(self, text: np.ndarray, unit: np.ndarray, n: int) -> np.ndarray:
+        """The units that may have a kernel of FLOOR or more: the greatest weight that any landmark has for each of
+        their triples, summed, reaches FLOOR times the least their norm can be."""
+        letter = _CLASS[text].astype(np.int32)
+        ok = letter != _GAP
+        most, least = np.zeros(len(text), np.float32), np.zeros(len(text), np.float32)
+        for b in range(2, SPAN + 1):
+            m = len(text) - b
+            if m <= 0:
+                break
+            ends = ok[:m] & ok[b:] & (unit[:m] == unit[b:])
+            outer = letter[:m] * CLASSES**2 + letter[b:]
+            count = np.zeros(m, np.float32)
+            for a in range(1, b):
+                whole = ends & ok[a : a + m]
+                count += whole
+                most[:m] += self.most[outer + letter[a : a + m] * CLASSES] * (whole * np.float32(DECAY ** (b + 1)))
+            least[:m] += count * np.float32(DECAY ** (2 * b + 2))
+        first = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
+        most = np.add.reduceat(most, first)
+        return np.flatnonzero((most > 0) & (most * 1.001 >= FLOOR * np.sqrt(np.add.reduceat(least, first))))
+
     def _kernels(self, text: np.ndarray, unit: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """The units that have a kernel of FLOOR or more with some landmark, and their kernels with all."""
         raw, least = np.zeros((n, len(self.landmarks)), np.float32), np.zeros(n)
@@ -182,13 +207,12 @@ class Model:
 
 def _landmarks(texts: list[bytes], y: np.ndarray) -> list[bytes]:
     """The units whose documents are toxic most beyond chance, and COMMON long units of any document."""
+    gaps = bytes(c for c in range(256) if _CLASS[c] == _GAP and not bytes([c]).isspace())
+    lower = bytes(range(256)).lower()
     # A unit counts once for each unit that stands before it, so that copies of one text count once.
     pairs: tuple[set, set] = (set(), set())
     for text, label in zip(texts, y):
-        data = np.frombuffer(text, np.uint8)
-        body, unit, _ = units(data, np.array([0, len(data)]))
-        cuts = np.flatnonzero(np.diff(unit)) + 1
-        words = [bytes(c for c in x.tobytes().lower() if _CLASS[c] != _GAP) for x in np.split(body, cuts)]
+        words = text.translate(lower, gaps).split()
         pairs[int(label)].update(zip([b"", *words], words))
     seen = tuple(Counter(w for _, w in p if 4 <= len(w) <= 16) for p in pairs)
     n0, n1 = (max(1, len(p)) for p in pairs)
@@ -216,7 +240,7 @@ def fitted(texts: list[bytes], labels: list[int], ridge: float = 1.0) -> Model:
     model = Model(_landmarks(texts, y))
     if not model.landmarks:
         return Model(offset=float(np.log(y.mean() / (1 - y.mean()))))
-    z = np.concatenate([model.features(np.frombuffer(t, np.uint8), np.array([0, len(t)])) for t in texts]).astype(float)
+    z = np.concatenate([model.features(data, offsets) for _, _, data, offsets in chunks(pa.array(texts, pa.binary()).cast(pa.string()))]).astype(float)
     profiles = [profile(x) for x in model.landmarks]
     gram = np.array([[_dot(p, q) for q in profiles] for p in profiles]) / np.outer(model.norms, model.norms)
     values, vectors = np.linalg.eigh(gram)
@@ -257,9 +281,8 @@ def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> tuple[list
     order = F.xxhash64("doc_id")
     ids = [rows.filter(F.col("toxic") == t).orderBy(order, "doc_id").limit(4 * size) for t in (0, 1)]
     joined = short.join(F.broadcast(ids[0].union(ids[1])), "doc_id")
-    found = []
-    for t in (0, 1):
-        found += joined.filter(F.col("toxic") == t).orderBy(order, "doc_id", "text").limit(size).select("text", "toxic").collect()
+    place = F.row_number().over(Window.partitionBy("toxic").orderBy(order, "doc_id", "text"))
+    found = joined.select("text", "toxic", place.alias("place")).filter(F.col("place") <= size).orderBy("toxic", "place").collect()
     return [r.text.encode() for r in found], [r.toxic for r in found]
 
 
@@ -268,7 +291,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [model.scores(model.features(data, offsets)) for _, _, data, offsets in chunks(batch.column(2), 1 << 20)]
+            found = [model.scores(model.features(data, offsets)) for _, _, data, offsets in chunks(batch.column(2), 3 << 20)]
             score = np.concatenate(found) if found else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
