@@ -143,7 +143,9 @@ def id_groups(df: DataFrame, key: str, weight: Column, target: float, bins: int
     salt = F.abs(F.xxhash64(tie or key) % 1_000_003)
     lo, hi = (0, 0) if span.lo is None else (int(span.lo), int(span.hi))
     width = max(1, -(-(hi - lo + 1) // bins))
-    place = F.floor((F.col(key).cast("decimal(38,0)") - F.lit(lo)) / F.lit(width)).cast("int")
+    # Differences of longs need 20 digits; what is left within a range fits a long, and its share of the range a double.
+    above = F.col(key).cast("decimal(20,0)") - F.lit(lo).cast("decimal(20,0)")
+    place = F.try_divide(above - F.pmod(above, F.lit(width)), F.lit(width)).cast("int")
     loads = {r.at: float(r.load or 0) for r in df.groupBy(place.alias("at")).agg(F.sum(weight.cast("double")).alias("load")).collect()}
     base, cuts, salts, group, filled = [], [], [], 0, 0.0
     for at in range(bins):
@@ -160,6 +162,7 @@ def id_groups(df: DataFrame, key: str, weight: Column, target: float, bins: int
     last = group + 1
     nulls = max(1, round(loads.get(None, 0.0) / target))
     table = lambda xs: F.lit(np.array(xs, dtype=np.int64)) if xs else F.array()
-    within = F.floor((F.col(key).cast("decimal(38,0)") - F.lit(lo) - place.cast("decimal(38,0)") * F.lit(width)) * F.get(table(cuts), place) / F.lit(width)).cast("long")
+    share = F.pmod(above, F.lit(width)).cast("long").cast("double") / F.lit(float(width))
+    within = F.least(F.floor(share * F.get(table(cuts), place)).cast("long"), F.get(table(cuts), place) - 1)
     own = F.get(table(base), place) + within * F.get(table(salts), place) + salt % F.get(table(salts), place)
     return F.when(F.col(key).isNull(), F.lit(last) + salt % F.lit(nulls)).otherwise(own).cast("long")

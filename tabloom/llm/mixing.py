@@ -65,6 +65,11 @@ def _takes(rows: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
     return joined.withColumn("epochs_taken", whole).withColumn("cut", cut).withColumn("taken", F.col("epochs_taken") * F.col("size") + F.col("cut"))
 
 
+def _row_key() -> Column:
+    """Equal for rows of equal id, source and text."""
+    return F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), F.hex(F.xxhash64("text")), F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")))
+
+
 def _keyed(docs: DataFrame, seed: str, *more: Column) -> DataFrame:
     key = F.md5(F.concat_ws("|", F.lit(seed), F.col("doc_id").cast("string")))
     h = F.conv(F.substring(key, 1, 8), 16, 10).cast("long")
@@ -74,19 +79,24 @@ def _keyed(docs: DataFrame, seed: str, *more: Column) -> DataFrame:
 
 def mixture(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), epochs: int = EPOCHS, seed: str = "mix") -> DataFrame:
     """doc_id, size, source_size, target and taken of every document; epochs_taken whole epochs and a cut of `cut` words."""
-    rows = checkpointed(_keyed(docs, seed))
-    return _takes(rows, targets(rows, weights, epochs), rows.count()).select("doc_id", "size", "source_size", "target", "taken", "epochs_taken", "cut", "source")
+    rows = checkpointed(_keyed(docs, seed, _row_key().alias("row_key")))
+    return _takes(rows, targets(rows, weights, epochs), rows.count()).select("doc_id", "size", "source_size", "target", "taken", "epochs_taken", "cut", "source", "row_key")
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), epochs: int = EPOCHS, seed: str = "mix") -> DataFrame:
     """The mix itself: a row for each whole epoch of a document and one, cut after `cut` words, for a part.
 
+    Rows of equal id, source and text are one row that stands as often as all of them together.
+
     All columns of docs are returned, n_chars (where there is one) as of the cut text.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    decided = mixture(docs, weights, epochs, seed).select("doc_id", "size", "epochs_taken", "cut").distinct()
-    joined = docs.select(F.col("doc_id").alias("k"), word_count(F.col("text")).alias("n"), row.alias("row")).join(decided, F.col("k").eqNullSafe(F.col("doc_id")) & (F.col("n") == F.col("size")))
-    copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), F.col("epochs_taken").cast("int")), F.when(F.col("cut") > 0, F.array("cut")).otherwise(F.array().cast("array<long>")))
+    part = (F.col("cut") > 0) & (F.col("cut") < F.col("size"))
+    # Repeated rows stand next to each other, so at most one of them is cut.
+    decided = mixture(docs, weights, epochs, seed).groupBy("row_key").agg(F.sum(F.col("epochs_taken") + F.when((F.col("cut") > 0) & (F.col("cut") == F.col("size")), 1).otherwise(0)).cast("int").alias("times"), F.max(F.when(part, F.col("cut"))).alias("cut"))
+    distinct = docs.select(_row_key().alias("row_key"), row.alias("row")).dropDuplicates(["row_key"])
+    joined = distinct.join(decided.filter("times > 0 or cut is not null"), "row_key")
+    copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), F.col("times")), F.when(F.col("cut").isNotNull(), F.array("cut")).otherwise(F.array().cast("array<long>")))
     out = joined.select("row", F.explode(copies).alias("words"))
     text = F.when(F.col("words") < 0, F.col("row.text")).otherwise(F.array_join(F.slice(F.filter(F.split(F.col("row.text"), r"[\x20\x09-\x0D]+"), lambda w: w != ""), F.lit(1), F.greatest(F.col("words"), F.lit(1)).cast("int")), " "))
     named = {"text": text, "n_chars": F.length(text).cast("long")}

@@ -7,7 +7,7 @@ Cover positions are word positions whose remainder modulo 13 is 0, 1, 3 or 9. Ea
 these, so two equal runs of 20 words have, at some offset below 13, a cover position in both, and the 8 words from
 there (an anchor) are equal. So:
 
-1. Documents are dealt into groups of about 8 MB, ascending by doc_id, and each group's anchors are hashed. A group
+1. Documents are dealt into groups of about 4 MB, ascending by doc_id, and each group's anchors are hashed. A group
    sends each distinct anchor once, as sorted 32-bit remainders within one of many buckets; a bucket answers one bit
    per anchor: does another group have it?
 2. Windows with an anchor that occurs twice are extended to their 20 words. A group sends each distinct window hash
@@ -40,7 +40,7 @@ WINDOW = 20
 PERIOD, COVER = 13, (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
 #: Bytes of text of a group, and hashes of a bucket.
-GROUP_BYTES, BUCKET_HASHES = 8 << 20, 2_000_000
+GROUP_BYTES, BUCKET_HASHES = 4 << 20, 2_000_000
 _IN_COVER = np.isin(np.arange(PERIOD), COVER)
 
 
