@@ -1,9 +1,472 @@
 """Queries over the test tables, by name, and their SQL."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from tabloom.functions import text as tx
+from tabloom.operators import dedupe, headers, joins, lines, parts, recon, union
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+#: Shapes that the test texts hold, in a form that both engines' patterns take.
+SHAPES = {"email": r"[A-Za-z0-9._]+@[A-Za-z0-9.]+", "phone": r"\d{3}-\d{3}-\d{4}", "ip": r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}", "card": r"(?:^|[^0-9])[0-9]{16}(?:$|[^0-9])"}
+#: Pattern of white space for Spark and DuckDB alike.
+WS = r"[ \t\r\n\x0b\x0c]+"
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+
+
+_LINES_SQL = "l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents)"
+
+
+# Shapes, masks, classes ---------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {_LINES_SQL},
+h AS (SELECT source, line_no, doc_id, {', '.join(f"len(regexp_extract_all(line, '{p}'))::BIGINT AS {k}" for k, p in SHAPES.items())} FROM l)
+SELECT source, count(DISTINCT CASE WHEN {' + '.join(SHAPES)} > 0 THEN doc_id END) AS n_docs, {', '.join(f'sum({k})::BIGINT AS {k}' for k in SHAPES)},
+count(*) AS n_lines, sum({' + '.join(SHAPES)})::BIGINT AS n_hits FROM h GROUP BY source""")
+def pii_shape_hits_by_source(spark, sf_dir):
+    hits = _lines(spark, sf_dir).select("source", "doc_id", *[F.regexp_count("line", F.lit(p)).cast("long").alias(k) for k, p in SHAPES.items()])
+    total = sum((F.col(k) for k in SHAPES), F.lit(0).cast("long"))
+    return hits.groupBy("source").agg(F.countDistinct(F.when(total > 0, F.col("doc_id"))).alias("n_docs"), *[F.sum(k).alias(k) for k in SHAPES], F.count("*").alias("n_lines"), F.sum(total).alias("n_hits"))
+
+
+@query("SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '[0-9]', '#', 'g'), '[A-Z]', 'X', 'g'), '[a-z]', 'x', 'g')) AS masked FROM documents")
+def masked_texts(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", F.md5(tx.mask_shape("text")).alias("masked"))
+
+
+@query(f"""WITH w AS (SELECT source, len(list_filter(string_split_regex(text, '{WS}'), lambda x: x <> '')) AS n FROM documents)
+SELECT source, CASE WHEN n = 0 THEN 'No' WHEN n < 5 THEN 'Partial' ELSE 'Yes' END AS class, count(*) AS n_docs FROM w GROUP BY 1, 2""")
+def searchability_class(spark, sf_dir):
+    words = F.size(F.filter(F.split("text", WS), lambda w: w != ""))
+    return _t(spark, sf_dir, "documents").withColumn("n", words).groupBy("source", tx.searchability("n").alias("class")).agg(F.count("*").alias("n_docs"))
+
+
+@query("SELECT source, count(*) AS total, count(*) FILTER (toxic = 1) AS toxic, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic IS NULL) AS unlabelled FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source")
+def file_summary(spark, sf_dir):
+    joined = _t(spark, sf_dir, "documents").select("doc_id", "source").join(_t(spark, sf_dir, "labels"), "doc_id", "left")
+    return joined.groupBy("source").agg(F.count("*").alias("total"), F.count_if(F.col("toxic") == 1).alias("toxic"), F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("toxic").isNull()).alias("unlabelled"))
+
+
+@query(r"""WITH n AS (SELECT c_name AS name FROM customer UNION ALL SELECT '  ' || p_name || '_(' || p_brand || ')-x' FROM part UNION ALL SELECT s_name || ' No.1' FROM supplier)
+SELECT name, trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) AS a, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS b,
+trim(regexp_replace(regexp_replace(lower(name), '[\s_\-]+', ' ', 'g'), '[^\w ]', '', 'g')) AS c, lower(trim(regexp_replace(name, '\s+', ' ', 'g'))) AS d, lower(trim(name)) AS e,
+regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS f FROM n""")
+def header_key_variants(spark, sf_dir):
+    names = _t(spark, sf_dir, "customer").select(F.col("c_name").alias("name")).union(_t(spark, sf_dir, "part").select(F.concat(F.lit("  "), "p_name", F.lit("_("), "p_brand", F.lit(")-x")))).union(_t(spark, sf_dir, "supplier").select(F.concat("s_name", F.lit(" No.1"))))
+    return names.select("name", tx.key_words("name").alias("a"), tx.key_compact("name").alias("b"), tx.key_snake("name").alias("c"), tx.key_squeezed("name").alias("d"), tx.key_trimmed("name").alias("e"), tx.key_flagged("name", True).alias("f"))
+
+
+_HEADERS = ["Per Num", "Pat Name", "Enc Num", "Enc Dt", "Payer Name", "Pt.Name", "Servc Dt", "DATE OF SERVICE", "Encounter Date", "Person Number", "Location", "Per Nbr", "Encounter"]
+_CANONICAL = [("Per Num", "Person Number"), ("Pat Name", "Patient Name"), ("Enc Num", "Encounter Number"), ("Enc Dt", "Date of Service"), ("Payer Name", None), ("Pt.Name", "Patient Name"), ("Servc Dt", "Date of Service"), ("DATE OF SERVICE", "Date of Service"), ("Encounter Date", "Date of Service"), ("Person Number", "Person Number"), ("Location", None), ("Per Nbr", "Person Number"), ("Encounter", "Encounter Number")]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{h}', {repr(c) if c else 'NULL'})" for h, c in _CANONICAL) + ") v(raw, canonical)")
+def canonical_headers(spark, sf_dir):
+    return spark.createDataFrame([(h,) for h in _HEADERS], "raw string").select("raw", tx.canonical_header("raw").alias("canonical"))
+
+
+# Unions ------------------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT c_custkey::VARCHAR AS key, c_name AS name, c_nationkey::VARCHAR AS nation, c_mktsegment AS segment, '' AS extra, 'customer' AS "Source" FROM customer
+UNION ALL SELECT s_suppkey::VARCHAR, s_name, s_nationkey::VARCHAR, '', s_suppkey::VARCHAR, 'supplier' FROM supplier""")
+def union_by_name(spark, sf_dir):
+    c = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"))
+    s = _t(spark, sf_dir, "supplier").select(F.col("s_name").alias(" Name "), F.col("s_suppkey").alias("KEY"), F.col("s_nationkey").alias("nation"), F.col("s_suppkey").alias("extra"))
+    return union.by_name([c, s], ["customer", "supplier"])
+
+
+@query("""SELECT c_custkey::VARCHAR AS key, c_name AS name, c_mktsegment AS segment, '' AS "Extra_4" FROM customer
+UNION ALL SELECT s_suppkey::VARCHAR, s_name, s_nationkey::VARCHAR, s_name FROM supplier""")
+def union_by_position(spark, sf_dir):
+    c = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    s = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("n"), "s_nationkey", F.col("s_name").alias("more"))
+    return union.by_position([c, s])
+
+
+_SCHEMAS = [("Emp ID", 1), ("Name", 2), ("emp  id", 3), ("Amount", 4), ("NAME ", 5), ("Joined", 6), ("amount", 7)]
+
+
+@query("SELECT * FROM (VALUES ('emp id', 'Emp ID', 1), ('name', 'Name', 2), ('amount', 'Amount', 4), ('joined', 'Joined', 6)) v(key, display, ord)")
+def column_union_first_seen(spark, sf_dir):
+    return union.column_registry(spark.createDataFrame(_SCHEMAS, "name string, ord int"))
+
+
+@query("""SELECT '' AS "Missing", n_name AS "N_NAME", n_nationkey::VARCHAR AS n_nationkey FROM nation""")
+def realign_to_expected(spark, sf_dir):
+    return union.realigned(_t(spark, sf_dir, "nation"), ["N_NAME", "Missing", "n_nationkey"])
+
+
+# De-duplication ----------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH k AS (SELECT doc_id, source, upper(trim(regexp_replace(text, '{WS}', ' ', 'g'))) AS key FROM documents)
+SELECT min(doc_id) AS doc_id, arg_min(source, doc_id) AS source FROM k GROUP BY key""")
+def dedupe_keep_first(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return dedupe.keep_first(docs, F.xxhash64(F.upper(F.trim(F.regexp_replace("text", WS, " ")))), ["doc_id"]).select("doc_id", "source")
+
+
+@query("""WITH k AS (SELECT event_id, event_type, CASE WHEN event_type = 'error' THEN NULL ELSE user_id || '|' || event_type END AS key FROM events)
+SELECT event_id, event_type FROM k QUALIFY key IS NULL OR row_number() OVER (PARTITION BY key ORDER BY event_id) = 1""")
+def dedupe_blank_keys_never_collapse(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select("event_id", "event_type", "user_id")
+    key = F.when(F.col("event_type") != "error", F.concat_ws("|", F.col("user_id").cast("string"), "event_type"))
+    return dedupe.keep_first(e, key, ["event_id"]).select("event_id", "event_type")
+
+
+@query("""WITH o AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN '' ELSE o_custkey::VARCHAR END AS ssn, CASE WHEN o_orderstatus = 'P' THEN '' ELSE o_orderpriority END AS name, o_orderstatus AS addr FROM orders),
+k AS (SELECT *, CASE WHEN ssn <> '' THEN '0|' || ssn WHEN name <> '' THEN '1|' || name || '|' || addr END AS key FROM o)
+SELECT o_orderkey FROM k QUALIFY key IS NULL OR row_number() OVER (PARTITION BY key ORDER BY o_orderkey) = 1""")
+def dedupe_key_hierarchy(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", "").otherwise(F.col("o_custkey").cast("string")).alias("ssn"), F.when(F.col("o_orderstatus") == "P", "").otherwise(F.col("o_orderpriority")).alias("name"), F.col("o_orderstatus").alias("addr"))
+    return dedupe.keep_first(o, dedupe.key_ladder(("ssn",), ("name", "addr")), ["o_orderkey"]).select("o_orderkey")
+
+
+@query("""WITH p AS (SELECT o_custkey, o_orderpriority AS v, min(o_orderkey) AS ord FROM orders GROUP BY 1, 2)
+SELECT o_custkey::VARCHAR AS name, string_agg(v, ':' ORDER BY ord) AS "values" FROM p GROUP BY o_custkey""")
+def collapse_ordered_pairs(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("name"), "o_orderpriority", "o_orderkey")
+    return dedupe.collapse(o, "name", "o_orderpriority", "o_orderkey").select("name", "values")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_partkey, l_suppkey) = 1")
+def one_row_per_key(spark, sf_dir):
+    li = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    return joins.pick_by_priority(li, ["l_orderkey"], -F.col("l_extendedprice"), ["l_linenumber", "l_partkey", "l_suppkey"]).select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+# Parts -------------------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT o_orderpriority || ' <' || o_orderstatus || '>.' AS key, count(*) AS n, o_orderpriority || ' _' || o_orderstatus || '_' AS file_name FROM orders GROUP BY 1, 3""")
+def split_by_key(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders").select(F.concat("o_orderpriority", F.lit(" <"), "o_orderstatus", F.lit(">.")).alias("k"))
+    return parts.group_files(o, "k")
+
+
+@query("SELECT o_orderkey, ((row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 + 1)::INT AS part, ceil(count(*) OVER () / 1000.0)::INT AS parts FROM orders")
+def part_numbers(spark, sf_dir):
+    return parts.fixed_parts(_t(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"], 1000).withColumn("parts", F.col("parts").cast("int"))
+
+
+@query()
+def part_plan_blocks(spark, sf_dir):
+    sizes = _t(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n")).orderBy("l_suppkey").collect()
+    plan = parts.plan_parts([r.n for r in sizes], 5000)
+    return spark.createDataFrame([(r.l_suppkey, r.n, p) for r, p in zip(sizes, plan)], "l_suppkey long, n long, part int")
+
+
+@query("""WITH n AS (SELECT doc_id, n_chars AS pages FROM documents WHERE n_chars > 0), c AS (SELECT doc_id, pages, unnest(range(0, ((pages + 99) // 100)::BIGINT)) AS i FROM n)
+SELECT doc_id, (i + 1)::INT AS chunk, i * 100 + 1 AS first, least(i * 100 + 100, pages) AS last FROM c""")
+def chunk_plan_fixed(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.explode(parts.page_chunks("n_chars", fixed=100)).alias("c"))
+    return d.select("doc_id", F.col("c.chunk").alias("chunk"), F.col("c.first").alias("first"), F.col("c.last").alias("last"))
+
+
+@query("""WITH n AS (SELECT doc_id, n_chars AS p, greatest(1, least(4, n_chars // 25)) AS k FROM documents WHERE n_chars > 0), c AS (SELECT *, unnest(range(1, k + 1)) AS i FROM n)
+SELECT doc_id, i::INT AS chunk, (i - 1) * (p // k) + least(i - 1, p % k) + 1 AS first, i * (p // k) + least(i, p % k) AS last FROM c""")
+def chunk_plan_balanced(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.explode(parts.page_chunks("n_chars")).alias("c"))
+    return d.select("doc_id", F.col("c.chunk").alias("chunk"), F.col("c.first").alias("first"), F.col("c.last").alias("last"))
+
+
+# Lines, blocks, bands ----------------------------------------------------------------------------------------------
+
+
+def _words(spark, sf_dir):
+    return _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_extendedprice").alias("x0"), (F.col("l_extendedprice") + 10).alias("x1"), F.col("l_quantity").alias("top"), (F.col("l_quantity") + 5).alias("bottom"), F.col("l_partkey").cast("string").alias("text"))
+
+
+_WORDS_SQL = "w AS (SELECT l_orderkey AS page, l_extendedprice AS x0, l_extendedprice + 10 AS x1, l_quantity AS top, l_partkey::VARCHAR AS text FROM lineitem)"
+
+
+@query(f"WITH {_WORDS_SQL} SELECT page, round_even(top / 3, 0) * 3 AS line_y, count(*) AS n_words, string_agg(text, ' ' ORDER BY x0, text) AS text FROM w GROUP BY 1, 2")
+def line_bucket(spark, sf_dir):
+    return lines.bucket_lines(_words(spark, sf_dir), ["page"])
+
+
+@query(f"""WITH RECURSIVE {_WORDS_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY top, x0, text) AS i FROM w),
+f AS (SELECT page, i, top, x0, text, 0 AS line_no, top AS anchor FROM o WHERE i = 1
+UNION ALL SELECT o.page, o.i, o.top, o.x0, o.text, CASE WHEN o.top - f.anchor > 4 THEN f.line_no + 1 ELSE f.line_no END, CASE WHEN o.top - f.anchor > 4 THEN o.top ELSE f.anchor END FROM f JOIN o ON o.page = f.page AND o.i = f.i + 1)
+SELECT page, line_no::INT AS line_no, min(top) AS top, string_agg(text, ' ' ORDER BY x0, text) AS text FROM f GROUP BY 1, 2""")
+def line_anchor_fold(spark, sf_dir):
+    return lines.page_lines(_words(spark, sf_dir), ["page"], "anchor", 4.0).select("page", "line_no", "top", "text")
+
+
+@query(f"""WITH RECURSIVE {_WORDS_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY top, x0, text) AS i FROM w),
+f AS (SELECT page, i, top, x0, text, 0 AS line_no, top AS s, 1.0::DOUBLE AS n FROM o WHERE i = 1
+UNION ALL SELECT o.page, o.i, o.top, o.x0, o.text, CASE WHEN o.top - s / n > 4 THEN line_no + 1 ELSE line_no END, CASE WHEN o.top - s / n > 4 THEN o.top ELSE s + o.top END, CASE WHEN o.top - s / n > 4 THEN 1.0 ELSE n + 1 END FROM f JOIN o ON o.page = f.page AND o.i = f.i + 1)
+SELECT page, line_no::INT AS line_no, min(top) AS top, string_agg(text, ' ' ORDER BY x0, text) AS text FROM f GROUP BY 1, 2""")
+def line_mean_fold(spark, sf_dir):
+    return lines.page_lines(_words(spark, sf_dir), ["page"], "mean", 4.0).select("page", "line_no", "top", "text")
+
+
+@query("""WITH g AS (SELECT user_id, event_id, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) > 3600000000 THEN 1 ELSE 0 END AS new FROM events),
+b AS (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS block FROM g) SELECT user_id, block::INT AS block, count(*) AS n FROM b GROUP BY 1, 2""")
+def blocks_by_gap(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select("user_id", "event_id", "ts")
+    gap = F.timestamp_diff("MICROSECOND", F.col("prev_ts"), F.col("ts")) > 3_600_000_000
+    return lines.blocks_by_gap(e, ["user_id"], ["ts", "event_id"], gap).groupBy("user_id", "block").agg(F.count("*").alias("n"))
+
+
+@query("SELECT conv_id, turn, (sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn, text))::INT AS block FROM conversations")
+def blocks_by_marker(spark, sf_dir):
+    c = _t(spark, sf_dir, "conversations")
+    return lines.blocks_by_marker(c, ["conv_id"], ["turn", "text"], F.col("role") == "user").select("conv_id", "turn", "block")
+
+
+_BANDS = [("id", 0.0, 20000.0), ("name", 20000.0, 50000.0), ("amount", 50000.0, 80000.0)]
+
+
+@query("SELECT CASE WHEN l_extendedprice >= 0 AND l_extendedprice < 20000 THEN 'id' WHEN l_extendedprice < 50000 THEN 'name' WHEN l_extendedprice < 80000 THEN 'amount' END AS band, count(*) AS n, sum(l_quantity) AS qty FROM lineitem GROUP BY 1")
+def band_join(spark, sf_dir):
+    li = _t(spark, sf_dir, "lineitem")
+    return li.groupBy(joins.band_of(F.col("l_extendedprice"), _BANDS).alias("band")).agg(F.count("*").alias("n"), F.sum("l_quantity").alias("qty"))
+
+
+@query("SELECT (SELECT arg_min(k, (abs(l_extendedprice - c), k)) FROM (VALUES ('birth', 10000.0), ('hire', 45000.0), ('term', 90000.0)) v(k, c)) AS col, count(*) AS n FROM lineitem GROUP BY 1")
+def nearest_band(spark, sf_dir):
+    return _t(spark, sf_dir, "lineitem").groupBy(joins.nearest_of(F.col("l_extendedprice"), [("birth", 10000.0), ("hire", 45000.0), ("term", 90000.0)]).alias("col")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH b AS (SELECT DISTINCT l_suppkey, floor(l_extendedprice / 100)::BIGINT AS bin FROM lineitem WHERE floor(l_extendedprice / 100) >= 300 AND floor(l_extendedprice / 100) < 700
+UNION SELECT DISTINCT l_suppkey, 299 FROM lineitem UNION SELECT DISTINCT l_suppkey, 700 FROM lineitem),
+r AS (SELECT l_suppkey, bin + 1 AS start, lead(bin) OVER (PARTITION BY l_suppkey ORDER BY bin) - bin - 1 AS width FROM b)
+SELECT l_suppkey, start, width FROM r WHERE width > 0 QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY width DESC, start) = 1""")
+def gutter_widest_gap(spark, sf_dir):
+    w = _t(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_extendedprice").alias("x0"), F.col("l_extendedprice").alias("x1"))
+    return lines.gutters(w, ["l_suppkey"], 30000.0, 70000.0, 100.0)
+
+
+@query("""WITH w AS (SELECT l_suppkey, l_extendedprice AS x0, l_extendedprice + 50 AS x1 FROM lineitem),
+m AS (SELECT *, CASE WHEN x0 - max(x1) OVER (PARTITION BY l_suppkey ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 200 THEN 1 ELSE 0 END AS new FROM w),
+c AS (SELECT *, sum(new) OVER (PARTITION BY l_suppkey ORDER BY x0, x1 RANGE UNBOUNDED PRECEDING) AS cluster FROM m)
+SELECT l_suppkey, cluster::INT AS cluster, min(x0) AS x_left, max(x1) AS x_right, count(*) AS n_words FROM c GROUP BY 1, 2""")
+def column_clusters(spark, sf_dir):
+    w = _t(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_extendedprice").alias("x0"), (F.col("l_extendedprice") + 50).alias("x1"))
+    return lines.column_clusters(w, ["l_suppkey"], 200.0)
+
+
+@query("""WITH v AS (SELECT user_id, event_id, ts, CASE WHEN event_type = 'purchase' THEN value END AS v FROM events)
+SELECT event_id, last_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS carried FROM v""")
+def carry_forward(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").withColumn("v", F.when(F.col("event_type") == "purchase", F.col("value")))
+    return e.select("event_id", joins.carried(e, ["user_id"], ["ts", "event_id"], "v").alias("carried"))
+
+
+@query(f"""WITH {_LINES_SQL}, n AS (SELECT doc_id, line_no, lead(line, 1) OVER w AS a, lead(line, 2) OVER w AS b, lead(line, 3) OVER w AS c FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY line_no))
+SELECT doc_id, line_no::INT AS line_no, md5(coalesce(CASE WHEN trim(a) <> '' THEN a END, CASE WHEN trim(b) <> '' THEN b END, CASE WHEN trim(c) <> '' THEN c END)) AS following FROM n""")
+def lookahead_next_nonblank(spark, sf_dir):
+    ls = _lines(spark, sf_dir)
+    return ls.select("doc_id", "line_no", F.md5(lines.look_ahead(ls, ["doc_id"], ["line_no"], "line", 3)).alias("following"))
+
+
+# Reconciliation, joins ---------------------------------------------------------------------------------------------
+
+
+@query("""SELECT o_custkey, expected, coalesce(produced, 0) AS produced, greatest(expected - coalesce(produced, 0), 0) AS missing, coalesce(produced, 0) >= expected AS complete
+FROM (SELECT o_custkey, count(*) AS expected FROM orders GROUP BY 1) LEFT JOIN (SELECT o_custkey, count(*) AS produced FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) GROUP BY 1) USING (o_custkey)""")
+def reconciliation(spark, sf_dir):
+    orders = _t(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
+    produced = orders.join(_t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_semi")
+    return recon.reconciled(orders, produced, "o_custkey")
+
+
+@query(r"""WITH r AS (SELECT doc_id, 'lines' AS method, len(list_filter(string_split(text, chr(10)), lambda x: x <> ''))::BIGINT AS a, 0::BIGINT AS b FROM documents
+UNION ALL SELECT doc_id, 'stops', len(list_filter(string_split(text, '.'), lambda x: x <> ''))::BIGINT, 1 FROM documents)
+SELECT doc_id, arg_max(method, (a, b)) AS method FROM r GROUP BY doc_id""")
+def best_of_two_readers(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents")
+    n = lambda sep: F.size(F.filter(F.split("text", sep), lambda x: x != "")).cast("long")
+    r = d.select("doc_id", F.explode(F.array(F.struct(F.lit("lines").alias("method"), n("\n").alias("a"), F.lit(0).alias("b")), F.struct(F.lit("stops").alias("method"), n(r"\.").alias("a"), F.lit(1).alias("b")))).alias("r")).select("doc_id", "r.*")
+    return recon.best_reading(r, ["doc_id"], ["a", "b"], "method")
+
+
+_DONOR_SQL = "t AS (SELECT c_custkey AS k, c_nationkey::VARCHAR AS n, CASE WHEN c_custkey % 3 = 0 THEN ' ' ELSE c_mktsegment END AS seg FROM customer), d AS (SELECT s_suppkey AS k, 'N' || s_nationkey AS n2, s_name AS seg FROM supplier)"
+
+
+def _target(spark, sf_dir):
+    return _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").cast("string").alias("n"), F.when(F.col("c_custkey") % 3 == 0, " ").otherwise(F.col("c_mktsegment")).alias("seg"))
+
+
+@query(f"""WITH {_DONOR_SQL}, one AS (SELECT n_nationkey::VARCHAR AS n, n_name AS seg FROM nation)
+SELECT t.k, t.n, CASE WHEN trim(t.seg) = '' THEN CASE WHEN d.k IS NOT NULL THEN d.seg ELSE one.seg END ELSE t.seg END AS seg, CASE WHEN d.k IS NOT NULL THEN 'k' WHEN one.n IS NOT NULL THEN 'n' END AS filled_from
+FROM t LEFT JOIN d ON t.k = d.k LEFT JOIN one ON t.n = one.n""")
+def fill_blanks_from_donor(spark, sf_dir):
+    by_key = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.lit(None).cast("string").alias("n"), F.col("s_name").alias("seg"))
+    by_nation = _t(spark, sf_dir, "nation").select(F.lit(None).cast("long").alias("k"), F.col("n_nationkey").cast("string").alias("n"), F.col("n_name").alias("seg"))
+    return joins.fill_from_donor(_target(spark, sf_dir), by_key.union(by_nation), ["k", "n"], ["seg"])
+
+
+@query(f"WITH {_DONOR_SQL} SELECT t.k, t.n, CASE WHEN d.k IS NOT NULL AND trim(t.seg) <> '' THEN d.seg ELSE t.seg END AS seg FROM t LEFT JOIN d ON t.k = d.k")
+def conditional_update(spark, sf_dir):
+    d = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("seg"))
+    return joins.conditional_update(_target(spark, sf_dir), d, "k", ["seg"])
+
+
+@query(f"WITH {_DONOR_SQL} SELECT t.k, t.n, CASE WHEN d.k IS NOT NULL AND trim(t.seg) = '' THEN d.seg ELSE t.seg END AS seg FROM t LEFT JOIN d ON t.k = d.k")
+def conditional_update_blank_only(spark, sf_dir):
+    d = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("seg"))
+    return joins.conditional_update(_target(spark, sf_dir), d, "k", ["seg"], when="blank")
+
+
+@query("""WITH a AS (SELECT o_custkey, o_orderstatus FROM orders WHERE o_totalprice < 300000), b AS (SELECT o_custkey, o_orderstatus FROM orders WHERE o_totalprice > 100000)
+SELECT *, 'a' AS side FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'b' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)""")
+def engine_diff(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders")
+    return joins.difference(o.filter("o_totalprice < 300000").select("o_custkey", "o_orderstatus"), o.filter("o_totalprice > 100000").select("o_custkey", "o_orderstatus"))
+
+
+@query("""WITH f AS (SELECT lower(p_name) AS stem, p_partkey::VARCHAR AS path FROM part), n(name) AS (VALUES ('Small Ring'), ('red widget.pdf'), ('RED WIDGET'), ('no such part'), ('missing.txt')),
+e AS (SELECT name, path, 'exact' AS found FROM n JOIN f ON lower(name) = stem), s AS (SELECT name, path, 'stripped' AS found FROM n JOIN f ON lower(regexp_replace(name, '\\.[^.]*$', '')) = stem WHERE name NOT IN (SELECT name FROM e))
+SELECT DISTINCT * FROM e UNION SELECT * FROM s UNION SELECT name, NULL, 'not found' FROM n WHERE name NOT IN (SELECT name FROM e) AND name NOT IN (SELECT name FROM s)""".replace("\\\\", "\\"))
+def not_found_and_fallback_lookup(spark, sf_dir):
+    wanted = spark.createDataFrame([(x,) for x in ("Small Ring", "red widget.pdf", "RED WIDGET", "no such part", "missing.txt")], "name string")
+    return joins.lookup_names(wanted, _t(spark, sf_dir, "part").select(F.col("p_name").alias("stem"), F.col("p_partkey").cast("string").alias("path")))
+
+
+@query("SELECT l_orderkey, l_returnflag, l_linenumber FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END, l_linenumber, l_partkey) = 1")
+def priority_pick(spark, sf_dir):
+    rank = F.when(F.col("l_returnflag") == "R", 0).when(F.col("l_returnflag") == "A", 1).otherwise(2)
+    li = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_linenumber", "l_partkey")
+    return joins.pick_by_priority(li, ["l_orderkey"], rank, ["l_linenumber", "l_partkey"]).select("l_orderkey", "l_returnflag", "l_linenumber")
+
+
+@query("SELECT doc_id, source FROM documents ANTI JOIN labels USING (doc_id)")
+def resume_anti_join(spark, sf_dir):
+    return joins.unprocessed(_t(spark, sf_dir, "documents").select("doc_id", "source"), _t(spark, sf_dir, "labels"), "doc_id")
+
+
+# Scalars -----------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT p_partkey, split_part(p_name, ' ', 1) AS first, split_part(p_name, ' ', 2) AS last, split_part(p_name, ' ', 2) AS comma_last, split_part(p_name, ' ', 1) AS comma_first FROM part")
+def name_split(spark, sf_dir):
+    p = _t(spark, sf_dir, "part").select("p_partkey", tx.split_plain_name("p_name").alias("n"), tx.split_comma_name(F.concat_ws(", ", F.split_part("p_name", F.lit(" "), F.lit(2)), F.split_part("p_name", F.lit(" "), F.lit(1)))).alias("c"))
+    return p.select("p_partkey", F.col("n.first").alias("first"), F.col("n.last").alias("last"), F.col("c.last").alias("comma_last"), F.col("c.first").alias("comma_first"))
+
+
+@query("SELECT c_custkey, regexp_matches(c_name, '[^a-zA-Z ]') OR regexp_matches(c_mktsegment, '[^a-zA-Z ]') AS non_letter, contains(c_name, '-') OR contains(c_mktsegment, '-') AS hyphen, trim(c_name) = '' OR trim(c_mktsegment) = '' AS blank FROM customer")
+def quality_flags(spark, sf_dir):
+    return _t(spark, sf_dir, "customer").select("c_custkey", tx.quality_flags("c_name", "c_mktsegment").alias("q")).select("c_custkey", "q.*")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey * 20 BETWEEN 20000 AND 80000 THEN strftime(DATE '1899-12-30' + (o_orderkey * 20)::INT, '%m/%d/%Y') ELSE (o_orderkey * 20)::VARCHAR END AS value FROM orders")
+def serial_date_coercion(spark, sf_dir):
+    return _t(spark, sf_dir, "orders").select("o_orderkey", tx.serial_date((F.col("o_orderkey") * 20).cast("string")).alias("value"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%m/%d/%Y') AS value FROM orders")
+def norm_date_pivot(spark, sf_dir):
+    return _t(spark, sf_dir, "orders").select("o_orderkey", tx.norm_date(F.concat(F.lit("due "), F.date_format("o_orderdate", "M/d/yy"), F.lit(" at noon"))).alias("value"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_quantity = floor(l_quantity) THEN l_quantity::BIGINT::VARCHAR ELSE l_quantity::VARCHAR END AS quantity,
+CASE WHEN l_discount = floor(l_discount) THEN l_discount::BIGINT::VARCHAR ELSE l_discount::VARCHAR END AS discount, strftime(l_shipdate, '%Y-%m-%d') AS shipped FROM lineitem""")
+def cell_to_text(spark, sf_dir):
+    return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", tx.number_text("l_quantity").alias("quantity"), tx.number_text("l_discount").alias("discount"), tx.time_text("l_shipdate").alias("shipped"))
+
+
+@query(r"SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(url, '[?&]page=([^&]*)', 1) AS page FROM pages")
+def label_values(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract("url", "[?&]page=([^&]*)", 1).alias("page"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def json_map_round_trip(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select("event_id", F.from_json("props", "map<string,string>").alias("m"))
+    again = F.from_json(F.to_json("m"), "map<string,string>")
+    return e.select("event_id", F.try_element_at(again, F.lit("k")).alias("k"))
+
+
+@query(r"""WITH m AS (SELECT doc_id, len(list_filter(string_split_regex(text, '[ \t\r\n\x0b\x0c]+'), lambda x: x <> '')) AS w, length(regexp_replace(text, '[^A-Za-z0-9 \n\t.,;:''"()/&#%$-]', '', 'g'))::DOUBLE / length(text) AS r, length(text) - length(regexp_replace(text, '[‐‑‒–—]', '', 'g')) AS d FROM documents)
+SELECT doc_id, r AS readable, CASE WHEN w = 0 THEN 'no text' WHEN r < 0.85 THEN 'unreadable' WHEN d > 0 THEN 'dash variant' WHEN w < 5 THEN 'short' ELSE 'ok' END AS verdict FROM m""")
+def text_verdict(spark, sf_dir):
+    words = F.size(F.filter(F.split("text", WS), lambda w: w != ""))
+    return _t(spark, sf_dir, "documents").select("doc_id", tx.readable_ratio("text").alias("readable"), recon.text_verdict(words, tx.readable_ratio("text"), F.regexp_count("text", F.lit("[‐‑‒–—]"))).alias("verdict"))
+
+
+@query(r"""SELECT doc_id, CASE WHEN regexp_matches(text, '(^|[^0-9])[0-9]{3}-[0-9]{2}-[0-9]{4}($|[^0-9])') THEN 'SSN' WHEN regexp_matches(text, '(^|[^0-9])[0-9]{2}-[0-9]{7}($|[^0-9])') THEN 'EIN' END AS kind FROM
+(SELECT doc_id, 'no ' || (100 + doc_id % 900) || CASE WHEN doc_id % 3 = 0 THEN '-12-' WHEN doc_id % 3 = 1 THEN '-' ELSE ' ' END || (1000 + doc_id) || '.' || (10 + doc_id % 80) || '-' || (1000000 + doc_id) AS text FROM documents WHERE doc_id < 9000)""")
+def tin_type_ladder(spark, sf_dir):
+    i = F.col("doc_id")
+    text = F.concat(F.lit("no "), (100 + i % 900).cast("string"), F.when(i % 3 == 0, "-12-").when(i % 3 == 1, "-").otherwise(" "), (1000 + i).cast("string"), F.lit("."), (10 + i % 80).cast("string"), F.lit("-"), (1000000 + i).cast("string"))
+    return _t(spark, sf_dir, "documents").filter("doc_id < 9000").select("doc_id", tx.tin(text, F.lit("INDIVIDUAL"))["type"].alias("kind"))
+
+
+# Header rows -------------------------------------------------------------------------------------------------------
+
+
+def _grid(spark, sf_dir):
+    return _lines(spark, sf_dir).select(F.col("source").alias("file"), F.col("doc_id").cast("string").alias("sheet"), (F.col("line_no") + 1).alias("row_no"), F.split("line", " ").alias("cells"))
+
+
+_GRID_SQL = _LINES_SQL + ", g AS (SELECT source AS file, doc_id::VARCHAR AS sheet, line_no + 1 AS row_no, string_split(line, ' ') AS cells FROM l)"
+
+
+@query(f"""WITH {_GRID_SQL}, n AS (SELECT file, sheet, row_no, len(list_filter(cells, lambda c: trim(c) <> '')) AS n FROM g WHERE row_no <= 30 AND len(list_filter(cells, lambda c: starts_with(regexp_replace(lower(c), '[^a-z0-9]', '', 'g'), 'the'))) > 0)
+SELECT file, sheet, arg_max(row_no, (n, row_no))::INT AS header_row FROM n WHERE n >= 2 GROUP BY 1, 2""")
+def header_row_by_keyword(spark, sf_dir):
+    return headers.by_keyword(_grid(spark, sf_dir), "the")
+
+
+@query(f"""WITH {_GRID_SQL}, n AS (SELECT file, sheet, row_no, len(list_intersect(list_transform(cells, lambda c: regexp_replace(lower(c), '[^a-z0-9]', '', 'g')), ['the', 'and', 'of', 'in', 'de'])) AS n FROM g WHERE row_no <= 25)
+SELECT file, sheet, arg_max(row_no, (n, -row_no))::INT AS header_row, max(n)::INT AS matched FROM n WHERE n >= 2 GROUP BY 1, 2""")
+def header_row_by_targets(spark, sf_dir):
+    return headers.by_targets(_grid(spark, sf_dir), ("the", "and", "of", "in", "de"))
+
+
+@query(f"""WITH {_GRID_SQL} SELECT file, sheet, min(row_no)::INT AS header_row FROM g WHERE len(list_filter(cells, lambda c: trim(c) <> '')) > 0 GROUP BY 1, 2""")
+def header_row_first_filled(spark, sf_dir):
+    return headers.first_filled(_grid(spark, sf_dir))
+
+
+@query()
+def header_row_score(spark, sf_dir):
+    return headers.by_score(_grid(spark, sf_dir))
+
+
+@query(f"""WITH {_GRID_SQL}, n AS (SELECT *, len(list_filter(cells, lambda c: trim(c) <> '')) AS n FROM g), s AS (SELECT file, sheet, min(row_no) FILTER (n > 0) AS f, arg_min(cells, row_no) AS c, arg_min(n, row_no) AS m, count(*) FILTER (n > 0 AND row_no > 1) AS d FROM n GROUP BY 1, 2),
+x AS (SELECT *, len(list_filter(c, lambda v: regexp_matches(v, '[A-Za-z]'))) AS t, len(list_filter(c, lambda v: length(v) > 120)) AS big FROM s)
+SELECT file, sheet, CASE WHEN f IS NULL THEN 'the sheet is empty' WHEN f <> 1 THEN 'the first filled row is row ' || f WHEN m < 2 THEN 'row 1 has fewer than 2 filled cells' WHEN t < 2 OR t < 0.6 * m THEN 'row 1 is mostly not text' WHEN big > 0 THEN 'row 1 has a cell of over 120 characters' WHEN d = 0 THEN 'no data below row 1' END AS reason FROM x""")
+def header_row_or_reason(spark, sf_dir):
+    return headers.first_row_or_reason(_grid(spark, sf_dir))
+
+
+@query(f"""WITH {_GRID_SQL} SELECT file, sheet, count(*) AS n_rows FROM g WHERE len(list_filter(cells, lambda c: trim(c) <> '')) > 0 GROUP BY 1, 2""")
+def rows_per_sheet(spark, sf_dir):
+    return _grid(spark, sf_dir).filter(headers.filled("cells") > 0).groupBy("file", "sheet").agg(F.count("*").alias("n_rows"))
