@@ -117,7 +117,10 @@ def header_bands(lines: DataFrame, page: list[str], captions: dict[str, tuple[st
 
     A band reaches from its caption (0 for the first) to the next one, each less the margin.
     """
-    found = F.array(*[F.struct(F.array_min(F.transform(F.filter("words", lambda w, ws=words: F.upper(w["text"]).isin(*ws)), lambda w: w["x0"])).alias("x"), F.lit(key).alias("key")) for key, words in captions.items()])
+    def left(spellings: tuple[str, ...]) -> Column:
+        return F.array_min(F.transform(F.filter("words", lambda w: F.upper(w["text"]).isin(*spellings)), lambda w: w["x0"]))
+
+    found = F.array(*[F.struct(left(spellings).alias("x"), F.lit(key).alias("key")) for key, spellings in captions.items()])
     heads = lines.withColumn("c", F.array_sort(found)).filter(~F.exists("c", lambda c: c["x"].isNull()))
     top = heads.groupBy(*page).agg(F.min_by("c", "line_no").alias("c"), F.min("line_no").alias("header_line"))
     n = len(captions)

@@ -104,4 +104,4 @@ def projected(rows: DataFrame, registry: DataFrame) -> DataFrame:
     """Rows of maps as one column per registered key, in order of the registry, provenance last."""
     columns = [(r["key"], r["display"]) for r in registry.orderBy("ord").collect()]
     norm = F.transform_keys("values", lambda k, _: tx.key_squeezed(k))
-    return rows.withColumn("m", norm).select(*[F.coalesce(F.try_element_at("m", F.lit(k)), F.lit("")).alias(d) for k, d in columns], F.col("file").alias("Source File"), F.col("sheet").alias("Source Sheet"))
+    return rows.withColumn("m", norm).select(*[F.coalesce(F.try_element_at("m", F.lit(k)), F.lit("")).alias(d) for k, d in columns], F.col("file").alias("Source File"), F.col("sheet").alias("Source Sheet"), F.col("row_no").alias("Source Row"))
