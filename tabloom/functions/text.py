@@ -379,7 +379,8 @@ def quoted(x: str) -> str:
 def readable_ratio(c: Column | str) -> Column:
     """Share of letters, digits, spaces and common punctuation."""
     n = F.length(col(c))
-    return F.when(n > 0, F.regexp_count(col(c), F.lit(r"[A-Za-z0-9 \n\t.,;:'\"()/&#%$-]")) / n.cast("double")).otherwise(0.0)
+    other = F.length(F.regexp_replace(col(c), r"[A-Za-z0-9 \n\t.,;:'\"()/&#%$-]+", ""))
+    return F.when(n > 0, (n - other) / n.cast("double")).otherwise(0.0)
 
 
 def searchability(words: Column | str) -> Column:

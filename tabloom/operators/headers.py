@@ -63,13 +63,15 @@ def by_targets(grid: DataFrame, targets: tuple[str, ...], least: int = 2, scan:
 def by_score(grid: DataFrame, scan: int = 40, ahead: int = 40, least: float = 0.55, slack: float = 0.06) -> DataFrame:
     """Row with the best mix of coverage .45, text .20, uniqueness .15, brevity .10 and few stray cells .10; 0 if none is good.
 
-    Occupancy of columns in the rows that follow comes from a range join of the first scan + ahead rows of each sheet.
+    Occupancy of columns comes from the first scan + ahead rows of each sheet.
     """
     rows = grid.filter(F.col("row_no") <= scan + ahead)
     cells = rows.select(*SHEET, "row_no", F.posexplode("cells").alias("at", "cell")).filter(~tx.is_blank("cell"))
     heads = rows.filter(F.col("row_no") <= scan).select(*SHEET, F.col("row_no").alias("head"), "cells")
-    used = heads.select(*SHEET, "head").join(cells, list(SHEET)).filter((F.col("row_no") > F.col("head")) & (F.col("row_no") <= F.col("head") + ahead))
-    hits = used.groupBy(*SHEET, "head", "at").count().filter("count >= 2").groupBy(*SHEET, "head").agg(F.collect_set("at").alias("used"))
+    # At most scan + ahead row numbers per column; a column counts for a head if two of the rows below it are filled.
+    columns = cells.groupBy(*SHEET, "at").agg(F.collect_list("row_no").alias("filled"))
+    below = lambda h: F.size(F.filter("filled", lambda r: (r > h) & (r <= h + ahead)))
+    hits = columns.select(*SHEET, "at", F.explode(F.filter(F.sequence(F.lit(1), F.lit(scan)), lambda h: below(h) >= 2)).alias("head")).groupBy(*SHEET, "head").agg(F.collect_list("at").alias("used"))
     named = F.filter(F.transform("cells", lambda c, i: F.when(~tx.is_blank(c), i)), lambda i: i.isNotNull())
     values = F.filter("cells", lambda c: ~tx.is_blank(c))
     share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)

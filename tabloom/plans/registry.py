@@ -417,7 +417,9 @@ def json_map_round_trip(spark, sf_dir):
 SELECT doc_id, r AS readable, CASE WHEN w = 0 THEN 'no text' WHEN r < 0.85 THEN 'unreadable' WHEN d > 0 THEN 'dash variant' WHEN w < 5 THEN 'short' ELSE 'ok' END AS verdict FROM m""")
 def text_verdict(spark, sf_dir):
     words = F.size(F.filter(F.split("text", WS), lambda w: w != ""))
-    return _t(spark, sf_dir, "documents").select("doc_id", tx.readable_ratio("text").alias("readable"), recon.text_verdict(words, tx.readable_ratio("text"), F.regexp_count("text", F.lit("[‐‑‒–—]"))).alias("verdict"))
+    dashes = F.length("text") - F.length(F.translate("text", "‐‑‒–—", ""))
+    measured = _t(spark, sf_dir, "documents").select("doc_id", tx.readable_ratio("text").alias("readable"), words.alias("n"), dashes.alias("dashes"))
+    return measured.select("doc_id", "readable", recon.text_verdict(F.col("n"), F.col("readable"), F.col("dashes")).alias("verdict"))
 
 
 @query(r"""SELECT doc_id, CASE WHEN regexp_matches(text, '(^|[^0-9])[0-9]{3}-[0-9]{2}-[0-9]{4}($|[^0-9])') THEN 'SSN' WHEN regexp_matches(text, '(^|[^0-9])[0-9]{2}-[0-9]{7}($|[^0-9])') THEN 'EIN' END AS kind FROM
