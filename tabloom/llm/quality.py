@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from tabloom.llm.common import Words, chunks, covered, windows, mixed
 
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stutter")
 #: Words of a window that is looked for twice in a text.
 REPEAT_WINDOW = 8
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
@@ -40,16 +40,17 @@ def rules() -> list[Rule]:
         Rule("few_words", n < 20),
         Rule("repeated_words", 100 * F.col("n_repeat_words") > 30 * n),
         Rule("many_symbols", 10 * F.col("n_symbols") > n),
-        Rule("repeated_lines", (lines >= 4) & (100 * F.col("n_dup_lines") > 30 * lines)),
+        Rule("repeated_lines", (lines >= 4) & (100 * F.col("n_dup_lines") > 50 * lines)),
         Rule("short_words", F.col("word_chars") < 2 * n),
         Rule("long_words", F.col("word_chars") > 15 * n),
+        Rule("stutter", 100 * F.col("n_stutter") > 30 * n),
     ]
 
 
 #: Version to names of the rules whose failure rejects a document.
 POLICIES = {
     "base-1": ("few_words", "repeated_words"),
-    "full-1": ("few_words", "repeated_words", "many_symbols", "repeated_lines", "short_words", "long_words"),
+    "full-1": ("few_words", "repeated_words", "many_symbols", "repeated_lines", "short_words", "long_words", "stutter"),
 }
 
 
@@ -70,8 +71,10 @@ def _measures(data: np.ndarray, offsets: np.ndarray) -> tuple:
     words = Words(data, offsets)
     counts = np.diff(words.bounds)
     sums = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[offsets])
-    start, h = windows(words.hashes(), words.bounds, REPEAT_WINDOW)
+    hashes = words.hashes()
+    start, h = windows(hashes, words.bounds, REPEAT_WINDOW)
     row = np.repeat(np.arange(len(counts)), counts)
+    stutter = np.concatenate([[0, 0], np.cumsum((hashes[1:] == hashes[:-1]) & (row[1:] == row[:-1]))])[: len(row) + 1]
     h ^= mixed(row[start].astype(np.uint64))
     order = np.argsort(h)
     same = h[order[1:]] == h[order[:-1]]
@@ -79,7 +82,7 @@ def _measures(data: np.ndarray, offsets: np.ndarray) -> tuple:
     twice[order[1:][same]] = twice[order[:-1][same]] = True
     repeated = np.concatenate([[0], np.cumsum(covered(start[twice], REPEAT_WINDOW, len(row)))])
     lines = [[x for x in data[a:b].tobytes().split(b"\n") if x.strip()] for a, b in zip(offsets, offsets[1:])]
-    return counts, sums(words.inside & ((data & 0xC0) != 0x80)), sums(_SYMBOL[data]), [len(x) for x in lines], [len(x) - len(set(x)) for x in lines], np.diff(repeated[words.bounds])
+    return counts, sums(words.inside & ((data & 0xC0) != 0x80)), sums(_SYMBOL[data]), [len(x) for x in lines], [len(x) - len(set(x)) for x in lines], np.diff(repeated[words.bounds]), np.diff(stutter[words.bounds])
 
 
 def _bits() -> Column:
@@ -118,7 +121,7 @@ def passes(policy: str) -> Column:
 def ablations(stored: DataFrame, policy: str = "full-1") -> DataFrame:
     """Per rule of a policy: documents that fail it, that only it rejects, and that stay if it is left out.
 
-    Documents are first counted per bit pattern (64 patterns here, whatever the input); the rest is arithmetic on
+    Documents are first counted per bit pattern (128 patterns here, whatever the input); the rest is arithmetic on
     those rows.
     """
     patterns = stored.groupBy(F.col("failed").bitwiseAND(F.lit(mask(policy)).cast("long")).alias("bits")).agg(F.count("*").alias("n"))
