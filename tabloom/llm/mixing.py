@@ -21,8 +21,8 @@ from tabloom.llm.common import checkpointed, word_count
 
 #: No document repeats more often than this.
 EPOCHS = 3
-#: Documents of a bucket, about.
-BUCKET_ROWS = 20_000
+#: Documents of a bucket, about, and buckets at most: a source has one row for each in the prefix sums.
+BUCKET_ROWS, BUCKETS = 2_000, 1_000_000
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), epochs: int = EPOCHS) -> DataFrame:
@@ -49,7 +49,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), epoc
 
 def _takes(rows: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
     """rows (doc_id, source, size, h) with source_size, target, epochs_taken, cut and taken."""
-    buckets = max(1, -(-n // BUCKET_ROWS))
+    buckets = max(1, min(BUCKETS, n // BUCKET_ROWS))
     placed = rows.withColumn("bucket", F.floor(F.col("h") * F.lit(buckets) / F.lit(1 << 32)).cast("long"))
     sums = placed.groupBy("source", "bucket").agg(F.sum("size").alias("load"))
     ahead = F.coalesce(F.sum("load").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
