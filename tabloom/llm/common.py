@@ -161,7 +161,8 @@ def id_groups(df: DataFrame, key: str, weight: Column, target: float, bins: int
             group, filled = group + cuts[-1] * salts[-1], 0.0
     last = group + 1
     nulls = max(1, round(loads.get(None, 0.0) / target))
-    table = lambda xs: F.lit(np.array(xs, dtype=np.int64)) if xs else F.array()
+    # One literal each, folded to an array by the optimizer.
+    table = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>")
     share = F.pmod(above, F.lit(width)).cast("long").cast("double") / F.lit(float(width))
     within = F.least(F.floor(share * F.get(table(cuts), place)).cast("long"), F.get(table(cuts), place) - 1)
     own = F.get(table(base), place) + within * F.get(table(salts), place) + salt % F.get(table(salts), place)
