@@ -392,3 +392,43 @@ def status_text(c: Column | str) -> Column:
     """A status word, or REDACTED for what OCR made of a black box."""
     text = F.upper(squeeze(c))
     return F.when(text.rlike("[A-Z]{3}") & (text != "UNKNOWN"), text).otherwise("REDACTED")
+
+
+# Lists, tokens and counts.
+
+
+def name_pair(line: Column | str) -> Column:
+    """struct(name, folder) of a pasted line, parted by tab, else comma, else the first white space; null if it has no two parts."""
+    text = strip(line)
+    cut = F.when(text.contains("\t"), F.locate("\t", text)).when(text.contains(","), F.locate(",", text)).otherwise(F.length(F.regexp_extract(text, r"(?U)^\S+\s", 0)))
+    left, right = strip(F.substring(text, F.lit(1), cut - 1)), strip(F.substr(text, cut + 1))
+    return F.when((cut > 1) & (left != "") & (right != ""), F.struct(left.alias("name"), right.alias("folder")))
+
+
+def split_glued(word: Column | str) -> Column:
+    """array<struct<x0,x1,text>> of a word struct in which an SSN is glued to other text; the span is shared by length."""
+    word = col(word)
+    parts = F.filter(F.array(*[F.regexp_extract(word["text"], r"^(.*?)([0-9X*#]{3}-[0-9X*#]{2}-[0-9]{4})(.*)$", i) for i in (1, 2, 3)]), lambda p: p != "")
+    parts = F.when(F.size(parts) > 0, parts).otherwise(F.array(word["text"]))
+    unit = (word["x1"] - word["x0"]) / F.greatest(F.length(word["text"]), F.lit(1))
+    at = lambda i: word["x0"] + unit * F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0), lambda s, p: s + F.length(p))
+    return F.transform(parts, lambda p, i: F.struct(at(i).alias("x0"), at(i + 1).alias("x1"), p.alias("text")))
+
+
+def dash_counts(c: Column | str) -> Column:
+    """map of each dash code point that a text holds to its count."""
+    dashes = F.filter(F.split(col(c), ""), lambda ch: F.lit("-" + DASHES).contains(ch) & (ch != ""))
+    return F.map_from_entries(F.transform(F.array_sort(F.array_distinct(dashes)), lambda d: F.struct(F.concat(F.lit("U+"), F.lpad(F.hex(F.encode(d, "UTF-16BE")), 4, "0")).alias("key"), F.size(F.filter(dashes, lambda x: x == d)).alias("value"))))
+
+
+def ssn_shapes(c: Column | str) -> Column:
+    """struct(strict, folded, bare): SSN-shaped numbers as printed, after folding dashes, and without any."""
+    count = lambda x, p: F.regexp_count(x, F.lit(p)).cast("long")
+    return F.struct(count(col(c), SSN_STRICT).alias("strict"), count(fold(c), SSN_STRICT).alias("folded"), count(col(c), SSN_BARE).alias("bare"))
+
+
+def status_fields(name: Column | str, number: Column | str) -> Column:
+    """struct(name, number) of OCR text, REDACTED where a black box was read: names need a capital and two small
+    letters, numbers four characters or more with a digit."""
+    n, f = squeeze(name), F.upper(F.regexp_replace(col(number), "[^0-9A-Za-z-]", ""))
+    return F.struct(F.when(n.rlike("[A-Z][a-z]{2,}"), n).otherwise("REDACTED").alias("name"), F.when((F.length(f) >= 4) & f.rlike("[0-9]"), f).otherwise("REDACTED").alias("number"))

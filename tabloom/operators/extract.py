@@ -241,3 +241,56 @@ def payroll_list(lines: DataFrame) -> DataFrame:
 def explained(df: DataFrame, safe: tuple[str, ...] = ()) -> DataFrame:
     """A masked copy for diagnostics: all text as shapes, but for safe words."""
     return df.select(*[tx.mask_except(F.col(c), safe).alias(c) if t == "string" and c != "file" else F.col(c) for c, t in df.dtypes if not t.startswith("array")])
+
+
+def cropped_text(words: DataFrame, left: float, right: float, tolerance: float = 3.0) -> DataFrame:
+    """Lines of the words that start between two x positions."""
+    return ln.page_lines(words.filter((F.col("x0") >= left) & (F.col("x0") < right)), PAGE, "anchor", tolerance)
+
+
+def filled_from_fields(records: DataFrame, widgets: DataFrame, aliases: dict[str, tuple[str, ...]]) -> DataFrame:
+    """Blank columns filled from form fields (file, page, field, value) whose normalised name holds an alias."""
+    key = tx.key_compact("field")
+    picks = []
+    for column, names in aliases.items():
+        hit = F.lit(False)
+        for n in names:
+            hit = hit | key.contains(n)
+        picks.append(F.min_by(F.when(hit, tx.strip("value")), F.when(hit & ~tx.is_blank("value"), F.col("field"))).alias(f"__{column}"))
+    side = widgets.groupBy(*PAGE).agg(*picks)
+    joined = records.join(side, PAGE, "left")
+    return joined.select(*[F.when(tx.is_blank(c), F.coalesce(f"__{c}", c)).otherwise(F.col(c)).alias(c) if c in aliases else F.col(c) for c in records.columns])
+
+
+def merged_by_height(items: DataFrame, tolerance: float = 6.0) -> DataFrame:
+    """(file, page, kind, y, text) of kinds id and name as one ordered list per page: an id and a name within the
+    tolerance are one row, the others stand alone. Sequential, so a page is one group."""
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = (pdf[pdf.kind == k].sort_values(["y", "text"]).to_dict("records") for k in ("id", "name"))
+        i = j = 0
+        out = []
+        while i < len(a) or j < len(b):
+            x, y = a[i] if i < len(a) else None, b[j] if j < len(b) else None
+            if x and y and abs(x["y"] - y["y"]) <= tolerance:
+                out.append((x["file"], x["page"], min(x["y"], y["y"]), x["text"], y["text"]))
+                i, j = i + 1, j + 1
+            elif y is None or (x and x["y"] < y["y"]):
+                out.append((x["file"], x["page"], x["y"], x["text"], ""))
+                i += 1
+            else:
+                out.append((y["file"], y["page"], y["y"], "", y["text"]))
+                j += 1
+        return pd.DataFrame(out, columns=["file", "page", "y", "id", "name"])
+
+    return items.groupBy(*PAGE).applyInPandas(merge, "file string, page int, y double, id string, name string")
+
+
+def layouts(lines: DataFrame, phrases: dict[str, tuple[str, ...]], least: int = 2) -> DataFrame:
+    """Layout of each page: the one with most of its phrases on the page, at least `least`; first by name on ties, else null."""
+    text = F.upper(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda s: s["text"]), "\n"))
+    pages = lines.groupBy(*PAGE).agg(text.alias("t"))
+    score = lambda words: sum((F.col("t").contains(w.upper()).cast("int") for w in words), F.lit(0))
+    scored = F.array_sort(F.array(*[F.struct((-score(w)).alias("n"), F.lit(k).alias("layout")) for k, w in phrases.items()]))
+    best = F.get(scored, F.lit(0))
+    return pages.select(*PAGE, F.when(-best["n"] >= least, best["layout"]).alias("layout"))

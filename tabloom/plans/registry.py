@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions import text as tx
 from tabloom.operators import dedupe, headers, joins, lines, parts, recon, union
+from tabloom.sources import sheets
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -472,3 +473,17 @@ def header_row_or_reason(spark, sf_dir):
 @query(f"""WITH {_GRID_SQL} SELECT file, sheet, count(*) AS n_rows FROM g WHERE len(list_filter(cells, lambda c: trim(c) <> '')) > 0 GROUP BY 1, 2""")
 def rows_per_sheet(spark, sf_dir):
     return _grid(spark, sf_dir).filter(headers.filled("cells") > 0).groupBy("file", "sheet").agg(F.count("*").alias("n_rows"))
+
+
+@query("""WITH t AS (SELECT page_id::VARCHAR AS file, length(html)::VARCHAR AS n FROM pages)
+SELECT file, 'Table 1' AS sheet, 1 AS row_no, 'id|size|' AS row FROM t UNION ALL SELECT file, 'Table 1', 2, file || '|' || n || '|chars' FROM t""")
+def html_cells(spark, sf_dir):
+    table = F.concat(F.lit("<p>x</p><table><tr><th>id</th><th colspan=2>size</th></tr><tr><td>"), F.col("page_id").cast("string"), F.lit("</td><td> "), F.length("html").cast("string"), F.lit("&nbsp;</td><td>chars</td></tr></table>"))
+    pages = _t(spark, sf_dir, "pages").select("page_id", table.alias("html"))
+    return sheets.html_cells(pages, "page_id", "html").select("file", "sheet", "row_no", F.array_join("cells", "|").alias("row"))
+
+
+@query("""SELECT source, sum(len(regexp_extract_all(text, '(?:^|[^0-9])[0-9]{3}-[0-9]{3}-[0-9]{4}')))::BIGINT AS phones, count(*) FILTER (regexp_matches(text, '(^|[^0-9-])[0-9]{9}($|[^0-9-])')) AS nine_digits FROM documents GROUP BY source""")
+def number_shapes(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents")
+    return d.groupBy("source").agg(F.sum(F.regexp_count("text", F.lit("(?:^|[^0-9])[0-9]{3}-[0-9]{3}-[0-9]{4}")).cast("long")).alias("phones"), F.count_if(tx.ssn_shapes("text")["bare"] > 0).alias("nine_digits"))

@@ -33,9 +33,10 @@ def sessions(events: DataFrame, key: str, time: str, gap: str, late: str) -> Dat
     return events.withWatermark(time, late).groupBy(key, F.session_window(time, gap).alias("w")).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def carried(pages: DataFrame, fields: list[str]) -> DataFrame:
+def carried(pages: DataFrame, fields: list[str], wait_ms: int | None = None) -> DataFrame:
     """Records of pages that arrive in order of page, by file: the open record waits in state for the next page's first
-    one and merges with it if no field has two values. A record without further pages leaves by processing-time timeout.
+    one and merges with it if no field has two values. With wait_ms a record without further pages leaves after that
+    long, and the query runs on; without it the record stays in the state for the next run.
     """
     names = ["file", "page", *fields]
     kind = "file string, page int, " + ", ".join(f"{f} string" for f in fields)
@@ -59,7 +60,8 @@ def carried(pages: DataFrame, fields: list[str]) -> DataFrame:
                 held = dict(row)
             previous = row["page"]
         state.update(tuple(held[n] for n in names))
-        state.setTimeoutDuration(60_000)
+        if wait_ms:
+            state.setTimeoutDuration(wait_ms)
         yield pd.DataFrame(out, columns=names)
 
-    return pages.groupBy("file").applyInPandasWithState(step, kind, kind, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return pages.groupBy("file").applyInPandasWithState(step, kind, kind, "append", GroupStateTimeout.ProcessingTimeTimeout if wait_ms else GroupStateTimeout.NoTimeout)

@@ -122,3 +122,15 @@ def test_conditional_update(spark, when, expected):
     t = spark.createDataFrame([(1, "T"), (2, ""), (3, "U")], "k int, v string")
     s = spark.createDataFrame([(1, "S"), (2, "S")], "k int, v string")
     assert [r.v for r in joins.conditional_update(t, s, "k", ["v"], when).orderBy("k").collect()] == expected
+
+
+def test_field_fallback_crops_merges_and_layouts(spark):
+    r = spark.createDataFrame([("f", 1, "", "x"), ("f", 2, "", "y")], "file string, page int, name string, other string")
+    w = spark.createDataFrame([("f", 1, "Student Name", " Ann "), ("f", 1, "dob", "1/1/70")], "file string, page int, field string, value string")
+    assert [tuple(x) for x in ex.filled_from_fields(r, w, {"name": ("studentname",)}).orderBy("page").collect()] == [("f", 1, "Ann", "x"), ("f", 2, "", "y")]
+    assert ex.cropped_text(page(spark, "left            right"), 60, 400).first().text == "right"
+    rows = [("f", 1, "id", 10.0, "1"), ("f", 1, "name", 12.0, "A"), ("f", 1, "name", 30.0, "B"), ("f", 1, "id", 50.0, "2")]
+    got = ex.merged_by_height(spark.createDataFrame(rows, "file string, page int, kind string, y double, text string")).orderBy("y").collect()
+    assert [(x.id, x["name"]) for x in got] == [("1", "A"), ("", "B"), ("2", "")]
+    found = ex.layouts(lined(spark, "Wage and tax\nstatement", "other page"), {"w2": ("WAGE AND TAX", "STATEMENT"), "list": ("OTHER", "NONE")}).orderBy("page").collect()
+    assert [x.layout for x in found] == ["w2", None]

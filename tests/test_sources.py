@@ -121,3 +121,18 @@ def test_incremental_runs_read_new_files_once(spark, tmp_path):
     run()
     rows = spark.read.parquet(str(tmp_path / "out")).groupBy("file").agg(F.count("*").alias("n")).collect()
     assert {r.file: r.n for r in rows} == {"a.csv": 2, "b.csv": 3}
+
+
+def test_stream_carries_open_records(spark, tmp_path):
+    kind = "file string, page int, name string, dob string"
+    for i, rows in enumerate([[("f", 1, "Ann", ""), ("g", 1, "Bob", "1")], [("f", 2, "", "2"), ("f", 2, "Cyd", ""), ("g", 3, "Dan", "")]]):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").json(str(tmp_path / "in" / str(i)))
+    stream = spark.readStream.schema(kind).option("recursiveFileLookup", "true").json(str(tmp_path / "in"))
+    q = incremental.carried(stream, ["name", "dob"]).writeStream.format("memory").queryName("carried_pages").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.awaitTermination()
+    assert {(r.file, r["name"], r.dob) for r in spark.table("carried_pages").collect()} == {("f", "Ann", "2"), ("g", "Bob", "1")}
+
+
+def test_session_blocks(spark):
+    df = spark.createDataFrame([("u", "2024-01-01 00:00:00"), ("u", "2024-01-01 00:20:00"), ("u", "2024-01-01 02:00:00")], "user string, t string").select("user", F.to_timestamp("t").alias("t"))
+    assert sorted(r.n for r in incremental.sessions(df, "user", "t", "30 minutes", "1 hour").collect()) == [1, 2]

@@ -63,3 +63,13 @@ def test_part_plan_keeps_blocks_and_limits(sizes, limit):
 @pytest.mark.parametrize("text", ["123-45-6789", "Ann Alpha 987654321", "é1"])
 def test_masks_leak_no_digit(spark, text):
     assert not any(ch.isdigit() for ch in values(spark, tx.mask_shape, text)[0])
+
+
+def test_lists_tokens_and_counts(spark):
+    assert [p and tuple(p) for p in values(spark, tx.name_pair, "a b\tc", "Ann, f1", "Bob  f 2", "lonely", "")] == [("a b", "c"), ("Ann", "f1"), ("Bob", "f 2"), None, None]
+    word = F.struct(F.lit(0.0).alias("x0"), F.lit(30.0).alias("x1"), F.lit("Ann123-45-6789").alias("text"))
+    got = spark.range(1).select(tx.split_glued(word).alias("w")).first().w
+    assert [w.text for w in got] == ["Ann", "123-45-6789"] and got[0].x0 == 0 and got[0].x1 == got[1].x0 and got[1].x1 == pytest.approx(30)
+    assert values(spark, tx.dash_counts, "a-b‐c-", "none") == [{"U+002D": 2, "U+2010": 1}, {}]
+    assert tuple(values(spark, tx.ssn_shapes, "123-45-6789 123‐45‐6789 123456789")[0]) == (1, 2, 1)
+    assert tuple(spark.range(1).select(tx.status_fields(F.lit("|| Ann  Lee"), F.lit("7-A1")).alias("s")).first().s) == ("|| Ann Lee", "7-A1")
