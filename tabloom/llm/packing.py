@@ -17,6 +17,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,20 +36,26 @@ def _bytes_of_letters() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
-    """Texts to ids, as `Tokenizer.from_file(path)` gives them without special tokens."""
+@lru_cache(maxsize=2)
+def _library(path: str):
     from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(path)
+    return Tokenizer.from_file(path)
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
+    """Texts to ids, as `Tokenizer.from_file(path)` gives them without special tokens. A worker process makes one and keeps it."""
+    by_library = lambda texts: [e.ids for e in _library(path).encode_batch(texts, add_special_tokens=False)]
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    by_library = lambda texts: [e.ids for e in slow.encode_batch(texts, add_special_tokens=False)]
     fast = _ranked(spec)
     try:
         if fast is None or [fast.encode_ordinary(x) for x in _PROBES] != by_library(list(_PROBES)):
             return by_library
     except Exception:  # a vocabulary that tiktoken can't run
         return by_library
+    _library.cache_clear()  # read again if a text needs it
     added = [t["content"] for t in spec.get("added_tokens", [])]
     return lambda texts: [by_library([x])[0] if any(a in x for a in added) else fast.encode_ordinary(x) for x in texts]
 
