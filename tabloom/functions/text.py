@@ -306,6 +306,43 @@ def split_initial_name(c: Column | str) -> Column:
     return F.when((n >= 3) & initial, trailing).otherwise(split_plain_name(c))
 
 
+def split_second_initial_name(c: Column | str) -> Column:
+    """FIRST I LAST ..., where the second of three or more words is a lone initial: all after it is the surname; else first, middle, last."""
+    t = F.filter(F.split(squeeze(c), " "), lambda w: w != "")
+    n = F.size(t)
+    anchored = _name(F.array_join(F.slice(t, F.lit(3), F.greatest(n - 2, F.lit(0))), " "), F.get(t, F.lit(0)), F.get(t, F.lit(1)), F.lit(""))
+    return F.when((n >= 3) & F.get(t, F.lit(1)).rlike(r"^[A-Za-z]\.?$"), anchored).otherwise(split_plain_name(c))
+
+
+def split_name_by_columns(words: Column, last_x: Column | float, suffix_x: Column | float | None = None) -> Column:
+    """Name of words array<struct<x0,...,text>>: what starts left of the surname's column is first and middle, what starts
+    at or right of the suffix column (if there is one) is the suffix."""
+    last = F.lit(last_x) if isinstance(last_x, (int, float)) else last_x
+    end = F.lit(float("inf")) if suffix_x is None else F.lit(suffix_x) if isinstance(suffix_x, (int, float)) else suffix_x
+    words = F.array_sort(F.transform(words, lambda w: F.struct(w["x0"].cast("double").alias("x0"), w["text"].alias("text"))))
+    part = lambda keep: F.transform(F.filter(words, keep), lambda w: w["text"])
+    given = part(lambda w: w["x0"] < last)
+    middle = F.array_join(F.slice(given, F.lit(2), F.greatest(F.size(given) - 1, F.lit(0))), " ")
+    return _name(F.array_join(part(lambda w: (w["x0"] >= last) & (w["x0"] < end)), " "), F.get(given, F.lit(0)), middle, F.array_join(part(lambda w: w["x0"] >= end), " "))
+
+
+def value_shape(c: Column | str) -> Column:
+    """'id' for digits only (spaces aside), 'decimal' for a number with a decimal point, 'name' for text with a letter, else null."""
+    text = strip(c)
+    return F.when(F.regexp_replace(text, " ", "").rlike("^[0-9]+$"), "id").when(text.rlike(r"^-?[0-9][0-9,]*\.[0-9]+$"), "decimal").when(text.rlike("[A-Za-z]"), "name")
+
+
+def pasted_pair(c: Column | str) -> Column:
+    """struct(name, target) of a pasted line, cut at the first tab, else the first comma, else the first white space; null if
+    either side is blank."""
+    text = strip(c)
+    cut = F.when(text.contains("\t"), "\t").when(text.contains(","), ",").otherwise(" ")
+    spaced = F.when(cut == " ", F.regexp_replace(text, r"(?U)\s+", " ")).otherwise(text)
+    at = F.position(cut, spaced)
+    name, target = strip(F.substring(spaced, F.lit(1), at - 1)), strip(F.substr(spaced, at + 1))
+    return F.when((at > 1) & ~is_blank(name) & ~is_blank(target), F.struct(name.alias("name"), target.alias("target")))
+
+
 def strip_honorific(c: Column | str) -> Column:
     """Without leading honorifics; a surname such as Mroz keeps its letters."""
     return F.regexp_replace(squeeze(c), rf"(?i)^(?:(?:{'|'.join(HONORIFICS)})(?:\.\s*|\s+))+", "")

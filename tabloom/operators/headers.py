@@ -105,3 +105,15 @@ def cleaned_names(headers: DataFrame, style: str = "underscore") -> DataFrame:
     k = F.row_number().over(Window.partitionBy(*SHEET, F.lower("base")).orderBy("pos"))
     suffix = {"underscore": F.concat(F.lit("_"), k.cast("string")), "paren": F.concat(F.lit(" ("), k.cast("string"), F.lit(")")), "dot": F.concat(F.lit("."), (k - 1).cast("string"))}[style]
     return named.select(*SHEET, "pos", F.when(k > 1, F.concat("base", suffix)).otherwise(F.col("base")).alias("name"))
+
+
+def without_repeated_headers(grid: DataFrame, header: str = "header_row") -> DataFrame:
+    """Rows below each sheet's header row that aren't the header again: equal cells by normalised key, trailing blanks aside.
+
+    grid has the header's row number as a column. One row per sheet is joined back, so no sheet is gathered.
+    """
+    signature = F.regexp_replace(F.array_join(F.transform("cells", lambda c: F.coalesce(tx.key_words(c), F.lit(""))), "\x1f"), "\x1f+$", "")
+    signed = grid.withColumn("__signature", signature)
+    heads = signed.filter(F.col("row_no") == F.col(header)).groupBy(*SHEET).agg(F.min("__signature").alias("__head"))
+    kept = signed.filter(F.col("row_no") > F.col(header)).join(heads, list(SHEET), "left")
+    return kept.filter(~F.col("__signature").eqNullSafe(F.col("__head"))).select(*grid.columns)

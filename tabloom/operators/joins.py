@@ -89,3 +89,14 @@ def carried(df: DataFrame, partition: list[str], order: list[str], column: str)
 def zip_outer(a: Column, b: Column) -> Column:
     """Pairs of two arrays by position, null where one is shorter."""
     return F.arrays_zip(a.alias("a"), b.alias("b"))
+
+
+def contained(df: DataFrame, partition: list[str], order: list[str], opens: Column, closes: Column, label: Column) -> DataFrame:
+    """Rows between an opening event and the next closing or opening one, with `label` of the event that opened: `within`.
+
+    Events are rows of df themselves; they are left out. One window over the partition's order, no join of ranges.
+    """
+    w = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    event = F.when(opens, F.struct(F.lit(True).alias("open"), label.alias("label"))).when(closes, F.struct(F.lit(False).alias("open"), F.lit(None).cast("string").alias("label")))
+    marked = df.withColumn("__event", event).withColumn("__last", F.last("__event", ignorenulls=True).over(w))
+    return marked.filter(F.col("__event").isNull() & F.col("__last.open")).withColumn("within", F.col("__last.label")).drop("__event", "__last")

@@ -52,6 +52,21 @@ def mean_lines(ys: Column, tolerance: float | Column) -> Column:
     return _fold(ys, step)
 
 
+def first_fit_lines(ys: Column, tolerance: float | Column) -> Column:
+    """The first line, in order of their making, whose first height is within the tolerance; else a new one. Heights may be
+    in any order."""
+
+    def add(state, y):
+        hit = F.array_position(F.transform(state["firsts"], lambda f: F.abs(f - y) <= tolerance), True)
+        new = hit == 0
+        firsts = F.when(new, F.concat(state["firsts"], F.array(y.cast("double")))).otherwise(state["firsts"])
+        at = F.when(new, F.size(state["firsts"])).otherwise(hit.cast("int") - 1)
+        return F.struct(firsts.alias("firsts"), F.concat(state["lines"], F.array(at)).alias("lines"))
+
+    start = F.struct(F.array().cast("array<double>").alias("firsts"), F.array().cast("array<int>").alias("lines"))
+    return F.aggregate(ys, start, add)["lines"]
+
+
 def upper_median(values: Column) -> Column:
     """Element n // 2 of the sorted values."""
     return F.get(F.array_sort(values), F.floor(F.size(values) / 2).cast("int"))
@@ -64,7 +79,7 @@ def page_lines(words: DataFrame, page: list[str], rule: str = "anchor", toleranc
     height = upper_median(F.transform("ws", lambda w: w["bottom"] - w["top"]))
     limit = F.lit(tolerance) if tolerance is not None else F.greatest(F.lit(1.5), F.lit(0.4 if rule == "anchor" else 0.5) * height)
     ys = F.transform("ws", lambda w: w["top"])
-    pages = pages.withColumn("limit", limit).withColumn("lines", {"anchor": anchor_lines, "mean": mean_lines}[rule](ys, F.col("limit")))
+    pages = pages.withColumn("limit", limit).withColumn("lines", {"anchor": anchor_lines, "mean": mean_lines, "first_fit": first_fit_lines}[rule](ys, F.col("limit")))
     each = pages.select(*page, F.explode(F.arrays_zip("ws", "lines")).alias("z")).select(*page, F.col("z.lines").alias("line_no"), F.col("z.ws.x0").alias("x0"), F.col("z.ws.x1").alias("x1"), F.col("z.ws.top").alias("top"), F.col("z.ws.text").alias("text"))
     lined = each.groupBy(*page, "line_no").agg(F.min("top").alias("top"), F.array_sort(F.collect_list(F.struct("x0", "x1", "text"))).alias("words"))
     return lined.withColumn("text", F.array_join(F.transform("words", lambda w: w["text"]), " "))

@@ -487,3 +487,49 @@ def html_cells(spark, sf_dir):
 def number_shapes(spark, sf_dir):
     d = _t(spark, sf_dir, "documents")
     return d.groupBy("source").agg(F.sum(F.regexp_count("text", F.lit("(?:^|[^0-9])[0-9]{3}-[0-9]{3}-[0-9]{4}")).cast("long")).alias("phones"), F.count_if(tx.ssn_shapes("text")["bare"] > 0).alias("nine_digits"))
+
+
+@query("""WITH t AS (SELECT p_partkey, string_split(p_name, ' ')[1] AS a, string_split(p_name, ' ')[2] AS b FROM part)
+SELECT p_partkey, a AS first, left(b, 1) AS middle, b || ' ' || a AS last FROM t""")
+def name_split_second_initial(spark, sf_dir):
+    a, b = (F.split_part("p_name", F.lit(" "), F.lit(i)) for i in (1, 2))
+    name = F.concat_ws(" ", a, F.substring(b, 1, 1), b, a)
+    return _t(spark, sf_dir, "part").select("p_partkey", tx.split_second_initial_name(name).alias("n")).select("p_partkey", "n.first", "n.middle", "n.last")
+
+
+@query("""WITH v AS (SELECT c_custkey, unnest([c_custkey::VARCHAR, c_name, '-' || c_custkey || '.50', '--']) AS v FROM customer)
+SELECT CASE WHEN regexp_full_match(replace(v, ' ', ''), '[0-9]+') THEN 'id' WHEN regexp_full_match(v, '-?[0-9][0-9,]*[.][0-9]+') THEN 'decimal' WHEN regexp_matches(v, '[A-Za-z]') THEN 'name' END AS shape, count(*) AS n FROM v GROUP BY 1""")
+def value_shapes(spark, sf_dir):
+    key = F.col("c_custkey").cast("string")
+    values = F.explode(F.array(key, F.col("c_name"), F.concat(F.lit("-"), key, F.lit(".50")), F.lit("--"))).alias("v")
+    return _t(spark, sf_dir, "customer").select(values).groupBy(tx.value_shape("v").alias("shape")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT c_custkey, c_name AS name, CASE c_custkey % 3 WHEN 0 THEN 'a b' WHEN 1 THEN 'c' ELSE 'd' END AS target FROM customer WHERE c_custkey % 4 <> 3""")
+def pasted_pairs(spark, sf_dir):
+    key = F.col("c_custkey")
+    line = F.when(key % 4 == 3, F.col("c_name")).when(key % 3 == 0, F.concat("c_name", F.lit("\ta b"))).when(key % 3 == 1, F.concat("c_name", F.lit(" , c"))).otherwise(F.concat(F.lit(" "), "c_name", F.lit("   d ")))
+    return _t(spark, sf_dir, "customer").select("c_custkey", tx.pasted_pair(line).alias("p")).filter("p is not null").select("c_custkey", "p.name", "p.target")
+
+
+@query(f"""WITH RECURSIVE {_WORDS_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY top, x0, text) AS i FROM w),
+f AS (SELECT page, i, x0, text, top, [top] AS firsts, 0 AS line_no FROM o WHERE i = 1
+UNION ALL SELECT o.page, o.i, o.x0, o.text, o.top, CASE WHEN len(list_filter(firsts, lambda x: abs(x - o.top) <= 4)) > 0 THEN firsts ELSE list_append(firsts, o.top) END,
+CASE WHEN len(list_filter(firsts, lambda x: abs(x - o.top) <= 4)) > 0 THEN list_position(list_transform(firsts, lambda x: abs(x - o.top) <= 4), true) - 1 ELSE len(firsts) END FROM f JOIN o ON o.page = f.page AND o.i = f.i + 1)
+SELECT page, line_no::INT AS line_no, min(top) AS top, string_agg(text, ' ' ORDER BY x0, text) AS text FROM f GROUP BY 1, 2""")
+def line_first_fit(spark, sf_dir):
+    return lines.page_lines(_words(spark, sf_dir), ["page"], "first_fit", 4.0).select("page", "line_no", "top", "text")
+
+
+@query("""WITH g AS (SELECT conv_id, turn, role, text, last_value(CASE WHEN role = 'user' THEN 'u' || turn WHEN turn % 5 = 4 THEN '' END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn, text ROWS UNBOUNDED PRECEDING) AS within FROM conversations)
+SELECT conv_id, turn, within FROM g WHERE role <> 'user' AND turn % 5 <> 4 AND within <> ''""")
+def contained_turns(spark, sf_dir):
+    c = _t(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    label = F.concat(F.lit("u"), F.col("turn").cast("string"))
+    return joins.contained(c, ["conv_id"], ["turn", "text"], F.col("role") == "user", F.col("turn") % 5 == 4, label).select("conv_id", "turn", "within")
+
+
+@query(f"""WITH {_GRID_SQL}, k AS (SELECT file, sheet, row_no, regexp_replace(array_to_string(list_transform(cells, lambda c: trim(regexp_replace(lower(c), '[^a-z0-9]+', ' ', 'g'))), chr(31)), chr(31) || '+$', '') AS k FROM g)
+SELECT a.file, a.sheet, count(*) AS n_rows FROM k a JOIN k h ON a.file = h.file AND a.sheet = h.sheet AND h.row_no = 1 WHERE a.row_no > 1 AND a.k <> h.k GROUP BY 1, 2""")
+def rows_without_repeated_headers(spark, sf_dir):
+    return headers.without_repeated_headers(_grid(spark, sf_dir).withColumn("header_row", F.lit(1))).groupBy("file", "sheet").agg(F.count("*").alias("n_rows"))

@@ -22,11 +22,22 @@ def write_csv(df: DataFrame, path: str, force_text: bool = False, masked: tuple[
     (writer.partitionBy("file_name") if by else writer).csv(path)
 
 
-def schema_match(columns: list[str], table: list[str]) -> dict[str, object]:
-    """Source to table columns by name without case; what is unmatched and what is missing."""
+def schema_match(columns: list[str], table: list[str], widths: dict[str, int] | None = None, longest: dict[str, int] | None = None) -> dict[str, object]:
+    """Source to table columns by name without case; what is unmatched, what is missing, and which table columns (widths by
+    name, none or -1 for unlimited) are too narrow for the longest text of their source column (see text_lengths)."""
     own = {c.lower(): c for c in table}
     pairs = {c: own[c.lower()] for c in columns if c.lower() in own}
-    return {"map": pairs, "unmatched": [c for c in columns if c not in pairs], "missing": [c for c in table if c not in pairs.values()]}
+    room = {c: (widths or {}).get(t, -1) for c, t in pairs.items()}
+    narrow = [pairs[c] for c in pairs if 0 <= room[c] < (longest or {}).get(c, 0)]
+    return {"map": pairs, "unmatched": [c for c in columns if c not in pairs], "missing": [c for c in table if c not in pairs.values()], "narrow": narrow}
+
+
+def text_lengths(df: DataFrame) -> dict[str, int]:
+    """Longest text of each column: one aggregate, one row to the driver."""
+    if not df.columns:
+        return {}
+    row = df.agg(*[F.max(F.length(F.col(f"`{c}`").cast("string"))).alias(f"c{i}") for i, c in enumerate(df.columns)]).first()
+    return {c: row[i] or 0 for i, c in enumerate(df.columns)}
 
 
 def load_table(df: DataFrame, url: str, table: str, properties: dict[str, str], batch: int = 1000) -> None:

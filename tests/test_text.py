@@ -73,3 +73,40 @@ def test_lists_tokens_and_counts(spark):
     assert values(spark, tx.dash_counts, "a-b‐c-", "none") == [{"U+002D": 2, "U+2010": 1}, {}]
     assert tuple(values(spark, tx.ssn_shapes, "123-45-6789 123‐45‐6789 123456789")[0]) == (1, 2, 1)
     assert tuple(spark.range(1).select(tx.status_fields(F.lit("|| Ann  Lee"), F.lit("7-A1")).alias("s")).first().s) == ("|| Ann Lee", "7-A1")
+
+
+def test_more_name_rules_and_shapes(spark):
+    got = values(spark, tx.split_second_initial_name, "JOHN A VAN DYKE", "JOHN A", "ANN MARIE LEE", "", None)
+    assert [tuple(g) for g in got] == [("VAN DYKE", "JOHN", "A", ""), ("A", "JOHN", "", ""), ("LEE", "ANN", "MARIE", ""), ("", "", "", ""), ("", "", "", "")]
+    words = F.array(*[F.struct(F.lit(x).alias("x0"), F.lit(t).alias("text")) for x, t in ((120.0, "DYKE"), (10.0, "JOHN"), (40.0, "A"), (100.0, "VAN"), (200.0, "JR"))])
+    row = spark.range(1).select(tx.split_name_by_columns(words, 100.0, 180.0).alias("a"), tx.split_name_by_columns(words, 100.0).alias("b")).first()
+    assert tuple(row.a) == ("VAN DYKE", "JOHN", "A", "JR") and tuple(row.b) == ("VAN DYKE JR", "JOHN", "A", "")
+    assert values(spark, tx.value_shape, "12 34", "-1,200.50", "12.", "O'Hara", "--", "", None) == ["id", "decimal", None, "name", None, None, None]
+    assert values(spark, tx.pasted_pair, "a b\tc", "a b , c", " a   b c", "alone", "x,", None) == [("a b", "c"), ("a b", "c"), ("a", "b c"), None, None, None]
+
+
+def test_schema_match_reports_narrow_columns(spark):
+    from tabloom.sources import sinks
+
+    df = spark.createDataFrame([("abc", "x"), (None, "long text")], "Name string, extra string")
+    got = sinks.schema_match(df.columns, ["NAME", "Other"], {"NAME": 2}, sinks.text_lengths(df))
+    assert got == {"map": {"Name": "NAME"}, "unmatched": ["extra"], "missing": ["Other"], "narrow": ["NAME"]}
+    assert sinks.schema_match(df.columns, ["name"], {"name": 3}, sinks.text_lengths(df))["narrow"] == []
+
+
+def test_repeated_headers_and_containment(spark):
+    from tabloom.operators import headers, joins
+
+    rows = [("f", "s", 1, ["note"]), ("f", "s", 2, ["Name", "Id"]), ("f", "s", 3, ["a", "1"]), ("f", "s", 4, ["NAME ", "id", ""]), ("f", "s", 5, [None, "2"])]
+    grid = spark.createDataFrame(rows, "file string, sheet string, row_no int, cells array<string>").withColumn("header_row", F.lit(2))
+    assert sorted(r.row_no for r in headers.without_repeated_headers(grid).collect()) == [3, 5]
+    events = spark.createDataFrame([("p", i, t) for i, t in enumerate(["x", "open A", "y", "stop", "z", "open B", "open C", "w"])], "page string, y int, t string")
+    got = joins.contained(events, ["page"], ["y"], F.col("t").startswith("open"), F.col("t") == "stop", F.substring("t", -1, 1)).collect()
+    assert sorted((r.t, r.within) for r in got) == [("w", "C"), ("y", "A")]
+
+
+def test_first_fit_lines_take_any_order(spark):
+    from tabloom.operators import lines
+
+    ys = F.array(*[F.lit(float(y)) for y in (10, 30, 13, 16, 28, 10)])
+    assert spark.range(1).select(lines.first_fit_lines(ys, 5.0).alias("v")).first().v == [0, 1, 0, 2, 1, 0]
