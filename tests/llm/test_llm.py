@@ -113,6 +113,16 @@ def test_packing_added_tokens_and_lengths():
         assert sum(packing.lengths(n)) == n and all(x & (x - 1) == 0 for x in packing.lengths(n))
 
 
+def test_packing_very_long_runs_of_white_space(spark):
+    from tokenizers import Tokenizer
+
+    texts = [" " * 2_000_000, "a" + "\n" * 2_000_000 + "b", ("word " + " \t" * 60_000) * 3, " " * 100_000 + "x"]
+    slow = Tokenizer.from_file(queries.tokenizer_path())
+    assert packing.encoder(queries.tokenizer_path())(texts) == [slow.encode(t, add_special_tokens=False).ids for t in texts]
+    docs = spark.createDataFrame([(1, texts[0]), (2, "plain")], "doc_id long, text string")
+    assert {r.doc_id for r in packing.packed(docs, queries.tokenizer_path()).collect()} == {1, 2}
+
+
 def quality_by_hand(text):
     w, lines = words(text), [x for x in (text or "").split("\n") if words(x)]
     grams = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
