@@ -427,8 +427,8 @@ def text_verdict(spark, sf_dir):
 (SELECT doc_id, 'no ' || (100 + doc_id % 900) || CASE WHEN doc_id % 3 = 0 THEN '-12-' WHEN doc_id % 3 = 1 THEN '-' ELSE ' ' END || (1000 + doc_id) || '.' || (10 + doc_id % 80) || '-' || (1000000 + doc_id) AS text FROM documents WHERE doc_id < 9000)""")
 def tin_type_ladder(spark, sf_dir):
     i = F.col("doc_id")
-    text = F.concat(F.lit("no "), (100 + i % 900).cast("string"), F.when(i % 3 == 0, "-12-").when(i % 3 == 1, "-").otherwise(" "), (1000 + i).cast("string"), F.lit("."), (10 + i % 80).cast("string"), F.lit("-"), (1000000 + i).cast("string"))
-    return _t(spark, sf_dir, "documents").filter("doc_id < 9000").select("doc_id", tx.tin(text, F.lit("INDIVIDUAL"))["type"].alias("kind"))
+    text = F.concat(F.lit("no "), (100 + i % 900).cast("string"), F.when(i % 3 == 0, "-12-").when(i % 3 == 1, "-").otherwise(" "), (1000 + i % 9000).cast("string"), F.lit("."), (10 + i % 80).cast("string"), F.lit("-"), (1000000 + i % 9000000).cast("string"))
+    return _t(spark, sf_dir, "documents").select("doc_id", tx.tin(text, F.lit("INDIVIDUAL"))["type"].alias("kind"))
 
 
 # Header rows -------------------------------------------------------------------------------------------------------

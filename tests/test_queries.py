@@ -24,3 +24,16 @@ def test_entry_point(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_tin_type_ladder_reads_every_document(spark):
+    import re
+
+    sf = "/root/testdata/sf0.1"
+    found = {r.doc_id: r.kind for r in registry.queries()["tin_type_ladder"](spark, sf).collect()}
+    ids = [r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect()]
+    assert max(ids) >= 9000 and set(found) == set(ids)
+    for i in ids:
+        text = f"no {100 + i % 900}{('-12-', '-', ' ')[i % 3]}{1000 + i % 9000}.{10 + i % 80}-{1000000 + i % 9000000}"
+        ssn, ein = (re.search(rf"(?<!\d){x}(?!\d)", text) for x in (r"\d{3}-\d{2}-\d{4}", r"\d{2}-\d{7}"))
+        assert found[i] == ("SSN" if ssn else "EIN" if ein else None)
