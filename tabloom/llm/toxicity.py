@@ -37,8 +37,9 @@ DECAY, SPAN, CLASSES = 0.7, 6, 32
 SAMPLE, SAMPLE_BYTES, LANDMARKS, COMMON = 1500, 10_000, 128, 4
 #: A unit of toxic documents is a landmark if chance would make one in any sample with probability exp(-BEYOND_CHANCE).
 BEYOND_CHANCE = 3.0
-#: Kernels below this count as 0: chance resemblance of long words.
-FLOOR = 0.7
+#: Kernels below this count as 0. One inserted letter, two gap signs or a starred letter leave an insult 0.5 or more; what chance
+#: resemblance of long words is above it, the SVM weighs.
+FLOOR = 0.5
 #: Signs read as letters.
 _SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 _GAP = CLASSES - 1

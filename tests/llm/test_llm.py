@@ -301,6 +301,17 @@ def test_toxicity_kernel_tolerates_gaps(docs):
     assert toxicity.scored(docs, model).count() == len(documents())
 
 
+def test_toxicity_sees_insults_with_inserted_characters():
+    hidden = {"trash": "traxsh", "loser": "loxser", "idiot": "idxiot", "stupid": "stuxpid s..t..u..p..i..d stup*d youstupid", "scum": "scxum", "pathetic": "p..a..t..h..e..t..i..c"}
+    pairs = [(i, w) for i, ws in hidden.items() for w in ws.split()]
+    model = toxicity.Model([i.encode() for i in hidden], np.ones(len(hidden)), -0.4, 10.0)
+    texts = [f"we met at the market, you {w} there" for _, w in pairs] + ["we met at the market, you there"]
+    got = model.features(np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)]))
+    for n, (i, w) in enumerate(pairs):
+        assert got[n, list(hidden).index(i)] == pytest.approx(toxicity.kernel(i.encode(), w.encode()), abs=1e-4) and got[n].max() > 0.5
+    assert not got[-1].any() and (model.scores(got)[:-1] > 0.5).all()
+
+
 def test_warc_round_trip(spark, tmp_path):
     html = ["<p>é</p>", "", None, "<p>é</p>", "b" * 70_000, "c\r\n\r\nWARC/1.1\r\n", "<p>é</p>"]
     rows = [(9 - i if i != 5 else None, f"http://x.example/{i} ü" if i else None, h, i) for i, h in enumerate(html)] + [(9, None, "<p>é</p>", 0)]
