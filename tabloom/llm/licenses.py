@@ -1,9 +1,11 @@
 """Licence scans: normalised text against templates by Dice coefficient over word bigrams.
 
-A document's units are its lines, its blocks (runs of lines between blank ones) and its whole text. Text is normalised
-to lower case with everything but letters and digits as spaces. Two bigram sets of sizes a and b have a Dice
+A document's units are its lines, its blocks (runs of lines between blank ones), its whole text, and every run of words
+that begins and ends with a bigram of a template, so that a notice is found amid other words and over line ends. Text is
+normalised to lower case with everything but letters and digits as spaces. Two bigram sets of sizes a and b have a Dice
 coefficient of at most 2 min(a, b) / (a + b), so only templates whose size is within [T / (2 - T), (2 - T) / T] times
-the unit's can reach the threshold T; the rest are never compared. Templates are a fixed list and go to every task.
+the unit's can reach the threshold T; the rest are never compared. Runs of words are bounded by the same sizes, and looked
+for only where the text shares T / (2 - T) of a template's bigrams. Templates are a fixed list and go to every task.
 
 Defined results: null and empty texts, and texts without a match, have no licence and score 0; ties go to the template
 first by name; a null doc_id stays null; repeated rows are scanned one by one; other columns are ignored; an empty
@@ -39,7 +41,6 @@ TEMPLATES = {
 }
 
 _OTHER = re.compile(rb"[\x00-\x2f\x3a-\x60\x7b-\x7f]+")
-_BLANK = re.compile(rb"\n[\x20\x09-\x0D]*\n")
 
 
 def bigrams(text: bytes) -> set[tuple[bytes, bytes]]:
@@ -54,8 +55,8 @@ class Matcher:
         self.sizes, self.names, self.sets = ([x[i] for x in sets] for i in range(3))
         self.known = set().union(*self.sets)
 
-    def best(self, unit: bytes) -> tuple[float, str] | None:
-        """Highest coefficient at or over the threshold and its template."""
+    def best(self, unit: bytes, windows: bool = False) -> tuple[float, str] | None:
+        """Highest coefficient at or over the threshold and its template; of the unit, or of any run of its words too."""
         words = _OTHER.sub(b" ", unit.lower()).split()
         ratio = (2 - self.threshold) / self.threshold
         pairs = list(zip(words, words[1:]))
@@ -69,13 +70,40 @@ class Matcher:
             score = 2 * len(hit & self.sets[i]) / (n + self.sizes[i])
             if score >= self.threshold:
                 found.append((-score, self.names[i]))
+        if windows:
+            found += [(-self._window(pairs, i), self.names[i]) for i, own in enumerate(self.sets) if len(hit & own) * ratio >= self.sizes[i] - 1e-9]
+            found = [x for x in found if -x[0] >= self.threshold]
         return (-min(found)[0], min(found)[1]) if found else None
 
+    def _window(self, pairs: list[tuple[bytes, bytes]], i: int) -> float:
+        """Highest coefficient of a run of the pairs with template i.
+
+        Leaving out an end that the template lacks, or a first pair that comes again, never lowers it; so runs start at
+        each of the template's pairs and end before that pair's next place, or when they hold too many pairs to match.
+        """
+        own, size = self.sets[i], self.sizes[i]
+        most, top = size * (2 - self.threshold) / self.threshold + 1e-9, 0.0
+        for start in (at for at, x in enumerate(pairs) if x in own):
+            seen, shared = set(), 0
+            for at in range(start, len(pairs)):
+                x = pairs[at]
+                if at > start and x == pairs[start]:
+                    break
+                if x in seen:
+                    continue
+                seen.add(x)
+                if len(seen) > most:
+                    break
+                if x in own:
+                    shared += 1
+                    top = max(top, 2 * shared / (len(seen) + size))
+        return top
+
     def scan(self, text: bytes) -> tuple[str | None, float, int]:
-        """Best licence of any unit, its score, and the number of matching lines."""
+        """Best licence of any unit or run of words, its score, and the number of matching lines."""
         lines = [m for x in text.split(b"\n") if (m := self.best(x))]
-        blocks = _BLANK.split(text)
-        found = [*lines, *(m for x in ([*blocks, text] if len(blocks) > 1 else [text]) if (m := self.best(x)))]
+        # Lines and blocks are runs of the text's words.
+        found = [m] if (m := self.best(text, windows=True)) else []
         if not found:
             return None, 0.0, 0
         score, name = min((-s, n) for s, n in found)
@@ -96,7 +124,7 @@ def scanned(docs: DataFrame, templates: dict[str, str] | None = None, threshold:
 
 
 def oracle_sql() -> str:
-    """The same scan as SQL."""
+    """The scan of lines, blocks and whole texts as SQL; it has no other runs of words."""
     norm = lambda x: rf"list_filter(string_split(regexp_replace(translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2f\x3a-\x60\x7b-\x7f]+', ' ', 'g'), ' '), lambda w: w <> '')"
     pairs = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
     values = ", ".join("('" + name + "', '" + text.replace("'", "''") + "')" for name, text in TEMPLATES.items())

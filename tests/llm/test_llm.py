@@ -161,6 +161,22 @@ def test_licenses_dice():
     assert matcher.scan(b"") == (None, 0.0, 0)
 
 
+def test_licenses_amid_other_words():
+    matcher = licenses.Matcher()
+    mit, rng = licenses.TEMPLATES["MIT-text"], random.Random(5)
+    wrapped = "Some words first and\nmore, then " + mit.replace(" ", "\n", 40) + " and then\nthe text goes on."
+    for text, name in (("This project is released under the MIT License", "MIT"), ("Released under the MIT License. See LICENSE for details", "MIT"), ("This file is part of Foo and is licensed under the Apache License, Version 2.0", "Apache-2.0"), ("a b Released under\nthe MIT\n\nLicense c d", "MIT"), (wrapped, "MIT-text")):
+        assert matcher.scan(text.encode())[:2] == (name, 1.0)
+    vocabulary = [*set(" ".join(licenses.TEMPLATES[n] for n in ("MIT", "Apache-2.0", "CC-BY-SA-4.0")).split()), "foo", "bar"]
+    for _ in range(300):
+        text = " ".join(rng.choices(vocabulary, k=rng.randint(0, 6)) + rng.choice(["released under the MIT License", "Licensed under CC x BY-SA 4.0", "Licensed under the the Apache License License Version 2.0"]).split()[rng.randint(0, 2) :] + rng.choices(vocabulary, k=rng.randint(0, 6)))
+        w = licenses._OTHER.sub(b" ", text.lower().encode()).split()
+        runs = [set(zip(w[i:j], w[i + 1 : j])) for i in range(len(w)) for j in range(i + 2, len(w) + 1)]
+        dice = [(-2 * len(r & b) / (len(r) + len(b)), n) for r in runs for n, x in licenses.TEMPLATES.items() for b in [licenses.bigrams(x.encode())]]
+        low = min(dice)
+        assert matcher.scan(text.encode())[:2] == ((low[1], -low[0]) if -low[0] >= licenses.THRESHOLD else (None, 0.0))
+
+
 def fingerprint_by_hand(text):
     w = words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
     if not w:
