@@ -51,12 +51,12 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text"):
-    """The id as text, or for a null id a hash of the text."""
-    return F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("~"), F.hex(F.xxhash64(text))))
+    """The id as text, if there is one, and a hash of the text: rows of one id with different texts are told apart."""
+    return F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit("~"), F.hex(F.xxhash64(text)))
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, row_key (the id as text, or for a null id a hash of the text) and fp, the fingerprint as a signed long."""
+    """doc_id, row_key (the id and a hash of the text) and fp, the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -214,6 +214,13 @@ def test_simhash_components(docs):
     assert Counter(r.doc_id for r in kept.collect()) == Counter({x for x in (e[2] for e in expected)})
 
 
+def test_simhash_keeps_other_texts_of_one_id(spark):
+    texts = ["one clean text about rivers and hills", "quite another text that tells of ships at sea"]
+    rows = [(7, texts[0]), (7, texts[1]), (7, texts[1]), (9, texts[1]), (None, texts[0])]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(tuple(r) for r in kept.collect()) == [(7, t) for t in texts]
+
+
 def test_simhash_links_no_more_no_less(spark, monkeypatch):
     rng = random.Random(3)
     prints = [rng.getrandbits(64) for _ in range(60)]
