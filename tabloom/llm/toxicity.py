@@ -6,13 +6,18 @@ inserted characters and swapped-in digits or signs leave a string close to the i
 SPAN + 1 characters, which bounds the work per character.
 
 A document is cut into units: words, and runs of one-character words joined into one unit (spelled-out insults). Its
-kernel with a landmark is the greatest of its units', which keeps one insult visible in a long text. With K the
-landmarks' own kernel matrix, K ** -1/2 times these values are the Nyström features of a linear SVM with squared hinge
-loss; a logistic curve fitted to the margins gives the score.
+value for a landmark is the greatest kernel of its units, which keeps one insult visible in a long text. This maximum
+is no kernel itself: the Nyström argument holds for units, and a document's features are the landmark values of its
+units, pooled. With K the landmarks' own kernel matrix, K ** -1/2 times these values are the features of a linear SVM
+with squared hinge loss; a logistic curve fitted to the margins gives the score.
+
+Landmarks are units that stand in toxic documents beyond chance, the units of other documents that resemble these most
+(so that the SVM can tell them apart), and a few common long units.
 
 Fitting uses at most SAMPLE labelled rows of each class, the ones with the least hash of their id among texts of at
 most SAMPLE_BYTES bytes, and runs on the driver (30 MB at most). Scoring reads whole texts and needs no shuffle; the
-model is at most LANDMARKS short strings and as many weights.
+model is at most LANDMARKS short strings and as many weights. A worker keeps the kernels of the KNOWN units that it met
+last, as most words of a corpus come again; a unit that isn't among them is compared with the landmarks afresh.
 
 Defined results: null and empty texts have no unit, and get the score of a text that resembles no landmark; without
 labelled rows of both classes every score is the share of positive ones, 0 if there are none; a null doc_id is held out
@@ -21,20 +26,22 @@ of fitting; repeated rows are scored alike; other columns are ignored; an empty
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from math import log
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import Words, _spans, chunks
+from tabloom.llm.common import _BYTE_VALUE, Words, _spans, chunks, mixed
 
 DECAY, SPAN, CLASSES = 0.7, 6, 32
-SAMPLE, SAMPLE_BYTES, LANDMARKS, COMMON = 1500, 10_000, 128, 4
+SAMPLE, SAMPLE_BYTES, LANDMARKS, HARD, COMMON = 1500, 10_000, 128, 24, 4
+#: Units whose kernels a worker keeps (8 bytes each, and 512 more for each that resembles a landmark).
+KNOWN = 1_000_000
+#: Units of a matrix product.
+BLOCK = 512
 #: A unit of toxic documents is a landmark if chance would make one in any sample with probability exp(-BEYOND_CHANCE).
 BEYOND_CHANCE = 3.0
 #: Kernels below this count as 0. One inserted letter, two gap signs or a starred letter leave an insult 0.5 or more; what chance
@@ -139,15 +146,29 @@ class Model:
         start = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
         stop = np.append(start[1:], len(text))
         hashed = _spans(_CLASS[text].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1), start, stop, _UNIT_BASE)
-        _, one, which = np.unique(hashed, return_index=True, return_inverse=True)
-        near = self._near(*_picked(text, start, stop, one))
-        likely, value = self._kernels(*_picked(text, start, stop, one[near]))
-        to = np.full(len(one), -1, np.int64)
-        to[near[likely]] = np.arange(len(likely))
+        distinct, one, which = np.unique(hashed, return_index=True, return_inverse=True)
+        to, values = _known(self).looked_up(distinct, lambda new: self._compared(text, start, stop, one[new]))
         at = np.flatnonzero(to[which] >= 0)
-        np.maximum.at(out, row[at], value[to[which[at]]])
+        if len(at):
+            # Units ascend with rows.
+            first = np.flatnonzero(np.append(True, row[at[1:]] != row[at[:-1]]))
+            for low in range(0, len(first), 1 << 10):
+                begin = first[low : low + (1 << 10)]
+                end = first[low + (1 << 10)] if low + (1 << 10) < len(first) else len(at)
+                out[row[at[begin]]] = np.maximum.reduceat(values[to[which[at[begin[0] : end]]]], begin - begin[0], axis=0)
         return out
 
+    def _compared(self, text: np.ndarray, start: np.ndarray, stop: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of some units, the place in the result of each (-1 for those under FLOOR), and the kernels with all landmarks."""
+        near = self._near(*_picked(text, start, stop, which)) if len(which) else which
+        to = np.full(len(which), -1, np.int64)
+        if not len(near):
+            return to, np.zeros((0, len(self.landmarks)), np.float32)
+        likely, value = self._kernels(*_picked(text, start, stop, which[near]))
+        some = value.max(1) > 0
+        to[near[likely[some]]] = np.arange(int(some.sum()))
+        return to, value[some]
+
     def _near(self, text: np.ndarray, unit: np.ndarray, n: int) -> np.ndarray:
         """The units that may have a kernel of FLOOR or more: the greatest weight that any landmark has for each of
         their triples, summed, reaches FLOOR times the least their norm can be."""
@@ -173,17 +194,23 @@ class Model:
     def _kernels(self, text: np.ndarray, unit: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """The units that have a kernel of FLOOR or more with some landmark, and their kernels with all."""
         raw, least = np.zeros((n, len(self.landmarks)), np.float32), np.zeros(n)
+        who, what, much = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.float32)]
         for place, code, weight in triples(text, unit):
             least += np.bincount(unit[place], minlength=n) * weight**2
             known = self.index[code]
             at = np.flatnonzero(known)
-            # Units ascend with places, so each unit's rows are adjacent.
-            who = unit[place[at]]
-            first = np.flatnonzero(np.append(True, who[1:] != who[:-1])) if len(who) else who
-            for low in range(0, len(first), 1 << 15):
-                begin = first[low : low + (1 << 15)]
-                end = first[low + (1 << 15)] if low + (1 << 15) < len(first) else len(who)
-                raw[who[begin]] += weight * np.add.reduceat(self.table[known[at[begin[0] : end]]], begin - begin[0], axis=0)
+            who.append(unit[place[at]])
+            what.append(known[at])
+            much.append(np.full(len(at), weight, np.float32))
+        who, what, much = map(np.concatenate, (who, what, much))
+        order = np.argsort(who, kind="stable")
+        who, what, much = who[order], what[order], much[order]
+        # A dense block of units by triples, times the landmarks' table.
+        block = np.arange(0, n + BLOCK, BLOCK)
+        for low, a, b in zip(block, *(np.searchsorted(who, x) for x in (block, block + BLOCK))):
+            if b > a:
+                dense = np.bincount((who[a:b] - low) * len(self.table) + what[a:b], much[a:b], min(BLOCK, n - low) * len(self.table))
+                raw[low : low + BLOCK] = dense.reshape(-1, len(self.table)).astype(np.float32) @ self.table
         # A unit's norm is at least that of its triples taken one by one; most units drop out by this bound.
         likely = np.flatnonzero((raw.max(1) > 0) & (raw.max(1) >= FLOOR * np.sqrt(least)))
         to = np.full(n, -1, np.int64)
@@ -206,30 +233,115 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -30, 30)))
 
 
+class _Known:
+    """Kernels of the units that were met before, by the hash of a unit."""
+
+    def __init__(self, width: int):
+        self.hashes, self.to, self.values = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, width), np.float32)
+
+    def looked_up(self, distinct: np.ndarray, compared) -> tuple[np.ndarray, np.ndarray]:
+        """The place in the kernels of each of the ascending hashes, or -1, and the kernels."""
+        if len(self.hashes) > KNOWN:
+            self.__init__(self.values.shape[1])
+        at = np.searchsorted(self.hashes, distinct)
+        hit = np.append(self.hashes, np.uint64(0))[at] == distinct if len(self.hashes) else np.zeros(len(distinct), bool)
+        hit &= at < len(self.hashes)
+        new = np.flatnonzero(~hit)
+        if len(new):
+            to, values = compared(new)
+            to[to >= 0] += len(self.values)
+            self.hashes, self.to = np.insert(self.hashes, at[new], distinct[new]), np.insert(self.to, at[new], to)
+            self.values = np.concatenate([self.values, values])
+        return self.to[np.searchsorted(self.hashes, distinct)], self.values
+
+
+_KEPT: dict[tuple, _Known] = {}
+
+
+def _known(model: Model) -> _Known:
+    """What this process knows of a model's units; that of other models is dropped."""
+    key = tuple(model.landmarks)
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = _Known(len(key))
+    return _KEPT[key]
+
+
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+
+
+def _bare(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words' letters in lower case, where each word's begin and end, its row, and its hash."""
+    words = Words(data, offsets)
+    text, unit = _LOWER[data[words.inside]], np.repeat(np.arange(len(words.start)), words.end - words.start)
+    letter = _CLASS[text] != _GAP
+    text, size = text[letter], np.bincount(unit[letter], minlength=len(words.start))
+    stop = np.cumsum(size)
+    return text, stop - size, stop, np.repeat(np.arange(len(offsets) - 1), np.diff(words.bounds)), _spans(_BYTE_VALUE[text], stop - size, stop, _UNIT_BASE)
+
+
+def _counted(keys: np.ndarray, units_: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Distinct keys of each known unit."""
+    _, one = np.unique(keys, return_index=True)
+    return np.bincount(np.searchsorted(known, units_[one]), minlength=len(known))
+
+
 def _landmarks(texts: list[bytes], y: np.ndarray) -> list[bytes]:
-    """The units whose documents are toxic most beyond chance, and COMMON long units of any document."""
-    gaps = bytes(c for c in range(256) if _CLASS[c] == _GAP and not bytes([c]).isspace())
-    lower = bytes(range(256)).lower()
-    # A unit counts once for each unit that stands before it, so that copies of one text count once.
-    pairs: tuple[set, set] = (set(), set())
-    for text, label in zip(texts, y):
-        words = text.translate(lower, gaps).split()
-        pairs[int(label)].update(zip([b"", *words], words))
-    seen = tuple(Counter(w for _, w in p if 4 <= len(w) <= 16) for p in pairs)
-    n0, n1 = (max(1, len(p)) for p in pairs)
-    # Chernoff's bound on how likely so many of a unit's pairs would be toxic by chance, against the number of units.
-    share = n1 / (n0 + n1)
-
-    def surprise(w: bytes, c: int) -> float:
-        n = c + seen[0][w]
-        p = c / n
-        return 0.0 if p <= share else n * (p * log(p / share) + ((1 - p) * log((1 - p) / (1 - share)) if p < 1 else 0.0))
-
-    excess = {w: surprise(w, c) for w, c in seen[1].items()}
-    least = log(max(1, len(excess))) + BEYOND_CHANCE
-    toxic = [w for w, x in sorted(excess.items(), key=lambda x: (-x[1], x[0])) if x >= least and profile(w)][: LANDMARKS - COMMON]
-    common = [w for w, _ in sorted((seen[0] + seen[1]).items(), key=lambda x: (-x[1], x[0])) if len(w) >= 7 and w not in toxic and profile(w)]
-    return toxic + common[:COMMON]
+    """The units whose documents are toxic most beyond chance, HARD units of other documents that resemble these most,
+    and COMMON long units of any document."""
+    parts, first = [], 0
+    column = pa.array(texts, pa.binary()).cast(pa.string())
+    for a, b, data, offsets in chunks(column):
+        _, start, stop, row, h = _bare(data, offsets)
+        before = np.concatenate([np.zeros(1, np.uint64), h[:-1]])[: len(h)]
+        before[np.flatnonzero(np.diff(row, prepend=-1))] = 0
+        fits = (stop - start >= 4) & (stop - start <= 16)
+        # A unit counts once for each unit that stands before it, so that copies of one text count once, and at most
+        # once for each document.
+        parts.append((h[fits], mixed(h[fits] ^ mixed(before[fits])), mixed(h[fits] ^ mixed((row[fits] + a + 1).astype(np.uint64))), y[row[fits] + a], (stop - start)[fits]))
+    unit, pair, document, label, size = (np.concatenate([p[i] for p in parts]) for i in range(5))
+    if not len(unit):
+        return []
+    known, one = np.unique(unit, return_index=True)
+    size = size[one]
+    n = [np.minimum(_counted(pair[label == k], unit[label == k], known), _counted(document[label == k], unit[label == k], known)) for k in (0, 1)]
+    # Chernoff's bound on how likely so many of a unit's documents would be toxic by chance, against the number of units.
+    share = y.mean()
+    p = n[1] / np.maximum(n[0] + n[1], 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        excess = np.where(p > share, (n[0] + n[1]) * (p * np.log(p / share) + np.where(p < 1, (1 - p) * np.log((1 - p) / (1 - share)), 0.0)), 0.0)
+    toxic = np.flatnonzero(excess >= np.log(max(1, int((n[1] > 0).sum()))) + BEYOND_CHANCE)
+    toxic = toxic[np.lexsort((known[toxic], -excess[toxic]))]
+    clean = np.flatnonzero((n[0] > 0) & (p <= share))
+    common = np.setdiff1d(np.flatnonzero(size >= 7), toxic)
+    common = common[np.lexsort((known[common], -(n[0] + n[1])[common]))][: 4 * COMMON]
+    word = _spelled(column, known, np.concatenate([toxic[: 2 * LANDMARKS], clean, common]))
+    insults = [w for i in toxic if (w := word.get(i)) and profile(w)][: LANDMARKS - HARD - COMMON]
+    found = dict.fromkeys(insults)
+    if insults:
+        # Clean units by resemblance times number of documents.
+        near = [w for i in clean if (w := word.get(i))]
+        sizes = np.cumsum([0, *map(len, near)])
+        to, value = Model(insults)._compared(np.frombuffer(b"".join(near), np.uint8), sizes[:-1], sizes[1:], np.arange(len(near)))
+        weight = {w: float(value[t].max()) * n[0][i] for w, t, i in zip(near, to, (i for i in clean if word.get(i))) if t >= 0}
+        found |= dict.fromkeys(sorted(weight, key=lambda w: (-weight[w], w))[:HARD])
+    return list(found | dict.fromkeys([w for i in common if (w := word.get(i)) and profile(w)][:COMMON]))
+
+
+def _spelled(column: pa.Array, known: np.ndarray, wanted: np.ndarray) -> dict[int, bytes]:
+    """Index among the known hashes to the unit's letters."""
+    found: dict[int, bytes] = {}
+    asked = np.zeros(len(known), bool)
+    asked[wanted] = True
+    for _, _, data, offsets in chunks(column):
+        text, start, stop, _, h = _bare(data, offsets)
+        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        which, one = np.unique(np.where((known[at] == h) & asked[at], at, -1), return_index=True)
+        for i, k in zip(which.tolist(), one.tolist()):
+            if i >= 0:
+                found[i] = text[start[k] : stop[k]].tobytes()
+                asked[i] = False
+    return found
 
 
 def fitted(texts: list[bytes], labels: list[int], ridge: float = 1.0) -> Model:
@@ -278,7 +390,7 @@ def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> tuple[list
     """At most `size` rows of each class that may be fitted on."""
     rows = labels.filter(~held_out()).filter("toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
     short = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter(F.octet_length("text") <= SAMPLE_BYTES)
-    # Twice as many ids as are needed, for those whose texts are missing or long; at most 8 * size rows are broadcast.
+    # Four times as many ids as are needed, for those whose texts are missing or long; at most 8 * size rows are broadcast.
     order = F.xxhash64("doc_id")
     ids = [rows.filter(F.col("toxic") == t).orderBy(order, "doc_id").limit(4 * size) for t in (0, 1)]
     joined = short.join(F.broadcast(ids[0].union(ids[1])), "doc_id")

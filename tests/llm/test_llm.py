@@ -324,6 +324,28 @@ def test_toxicity_kernel_tolerates_gaps(docs):
     assert toxicity.scored(docs, model).count() == len(documents())
 
 
+def test_toxicity_features_equal_the_kernel(monkeypatch):
+    rng = random.Random(11)
+    landmarks = [b"idiot", b"worthless", b"chllach", b"trash", "vequté".encode()]
+    model = toxicity.Model(landmarks, np.ones(len(landmarks)), 0.0, 1.0)
+
+    def unit():
+        w = rng.choice(landmarks).decode()
+        for _ in range(rng.randint(0, 4)):
+            at = rng.randint(0, len(w))
+            w = rng.choice((w[:at] + rng.choice("abest.*1!é") + w[at:], w[:at] + w[at + 1 :], w[:at] + w[at : at + 2][::-1] + w[at + 2 :]))
+        return w or "x"
+
+    texts = [" ".join(unit() + "yz" for _ in range(rng.randint(0, 4))) for _ in range(400)]
+    expected = np.array([[max((toxicity.kernel(x, u.encode()) for u in t.split()), default=0.0) for x in landmarks] for t in texts])
+    data, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)])
+    for known in (toxicity.KNOWN, toxicity.KNOWN, 0):  # fresh, from what is known, forgotten
+        monkeypatch.setattr(toxicity, "KNOWN", known)
+        got = model.features(data, offsets)
+        sure = np.abs(expected - toxicity.FLOOR) > 1e-4
+        assert np.allclose(got[sure], np.where(expected < toxicity.FLOOR, 0, expected)[sure], atol=1e-4)
+
+
 def test_toxicity_sees_insults_with_inserted_characters():
     hidden = {"trash": "traxsh", "loser": "loxser", "idiot": "idxiot", "stupid": "stuxpid s..t..u..p..i..d stup*d youstupid", "scum": "scxum", "pathetic": "p..a..t..h..e..t..i..c"}
     pairs = [(i, w) for i, ws in hidden.items() for w in ws.split()]
