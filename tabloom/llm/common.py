@@ -27,10 +27,14 @@ def word_count(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, one of our own on a single
+    machine, and an error on a cluster, whose executors couldn't see it."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tabloom-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tabloom-"))
     return spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -132,15 +136,46 @@ def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
     return np.cumsum(steps[:n]) > 0
 
 
+#: Values of a tie, and bytes of text that a task reads of a shuffle by group, about.
+TIES, TASK_BYTES = 1_000_003, 32 << 20
+
+
+def tie_place(tie: str) -> Column:
+    """Where a row stands among rows of equal key: first by this, then by `tie` itself."""
+    return F.pmod(F.xxhash64(tie), F.lit(TIES)).cast("int")
+
+
+def numbered(df: DataFrame, key: str) -> tuple[DataFrame, str]:
+    """df with a long column that ascends as `key` does, and its name: the key itself if it is an integer, else the
+    rank of the key among its distinct values (a range sort of these and a join by key)."""
+    if df.schema[key].dataType.typeName() in ("byte", "short", "integer", "long"):
+        return df, key
+    ranged = checkpointed(df.select(F.col(key).alias("__key")).filter("__key is not null").distinct().repartitionByRange("__key").sortWithinPartitions("__key").select("__key", F.spark_partition_id().alias("__p"), (F.monotonically_increasing_id() % (1 << 33)).alias("__i")))
+    # One number for each partition reaches the driver.
+    sizes = {r["__p"]: r["count"] for r in ranged.groupBy("__p").count().collect()}
+    ahead = np.cumsum([0, *(sizes.get(p, 0) for p in range(max(sizes, default=0) + 1))])
+    start = F.get(F.split(F.lit(",".join(map(str, ahead))), ",").cast("array<bigint>"), F.col("__p"))
+    return df.join(ranged.select("__key", (start + F.col("__i")).alias("__rank")), F.col(key) == F.col("__key"), "left").drop("__key"), "__rank"
+
+
 def id_groups(df: DataFrame, key: str, weight: Column, target: float, bins: int = 4096, tie: str | None = None) -> Column:
-    """A long column that deals rows into groups of about `target` weight, ascending as `key` does.
+    """The first of `groups`, for a target that is given."""
+    return groups(df, key, weight, target, target, bins, tie)[0]
 
-    Two aggregates of at most `bins` rows reach the driver, whatever the input: the weights of equal ranges of the
-    key. Light neighbours share a group; heavy ranges are cut again, by key and, where the key can't be cut any
-    further, by a hash of `tie`. Rows with a null key come last, dealt by the hash of `tie`.
+
+def groups(df: DataFrame, key: str, weight: Column, most: float, least: float = 1 << 20, bins: int = 4096, tie: str | None = None) -> tuple[Column, int]:
+    """A long column that deals rows into groups of at most about `most` weight, ascending as the integer `key` does, and
+    a number of partitions that gives each task about TASK_BYTES of weight.
+
+    Two aggregates reach the driver, one row and at most `bins` rows, whatever the input: the weights of equal ranges of
+    the key. Light neighbours share a group; heavy ranges are cut again, by key and, where the key can't be cut any
+    further, by the place of `tie`. Rows with a null key come last, dealt by the place of `tie`.
     """
-    span = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
-    salt = F.abs(F.xxhash64(tie or key) % 1_000_003)
+    parallel = df.sparkSession.sparkContext.defaultParallelism
+    span = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.sum(weight.cast("double")).alias("total")).first()
+    total = span.total or 1.0
+    target = min(most, max(least, total / (4 * parallel)))
+    place_of_tie = tie_place(tie or key).cast("double") / F.lit(float(TIES))
     lo, hi = (0, 0) if span.lo is None else (int(span.lo), int(span.hi))
     width = max(1, -(-(hi - lo + 1) // bins))
     # Differences of longs need 20 digits; what is left within a range fits a long, and its share of the range a double.
@@ -165,5 +200,19 @@ def id_groups(df: DataFrame, key: str, weight: Column, target: float, bins: int
     table = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>")
     share = F.pmod(above, F.lit(width)).cast("long").cast("double") / F.lit(float(width))
     within = F.least(F.floor(share * F.get(table(cuts), place)).cast("long"), F.get(table(cuts), place) - 1)
-    own = F.get(table(base), place) + within * F.get(table(salts), place) + salt % F.get(table(salts), place)
-    return F.when(F.col(key).isNull(), F.lit(last) + salt % F.lit(nulls)).otherwise(own).cast("long")
+    salt = lambda n: F.floor(place_of_tie * n).cast("long")
+    own = F.get(table(base), place) + within * F.get(table(salts), place) + salt(F.get(table(salts), place))
+    return F.when(F.col(key).isNull(), F.lit(last) + salt(F.lit(nulls))).otherwise(own).cast("long"), max(parallel, int(total // TASK_BYTES))
+
+
+#: Keys with more rows than this share of all rows, or this many, are hot: at most HOT_KEYS of them.
+HOT_KEYS, HOT_ROWS = 100_000, 1_000
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, members: str, total: int) -> DataFrame:
+    """left joined with right (one row per key; column `members` counts the key's rows in left) such that no task holds a
+    hot key: hot keys' rows, at most HOT_KEYS of them, are broadcast, the others are shuffled. `left` is read twice."""
+    hot = F.col(members) > max(HOT_ROWS, total // HOT_KEYS)
+    heavy, light = right.filter(hot).drop(members), right.filter(~hot).drop(members)
+    rest = left.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key)
+    return left.join(F.broadcast(heavy), key).unionByName(rest)

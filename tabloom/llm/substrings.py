@@ -17,9 +17,11 @@ there (an anchor) are equal. So:
 No pair of occurrences is ever formed, so a passage that millions of documents share costs one entry for each group.
 The text is shuffled once; all three steps read that exchange.
 
-Defined results: null and empty texts have no words, no removed words and the digest of the empty string; documents
-with a null doc_id come after all others, and among equal ids the order is that of the texts, so of repeated rows one
-stays whole; other columns are ignored; an empty table gives an empty result.
+Defined results: null and empty texts have no words, no removed words and the digest of the empty string; a doc_id may
+be of any type that can be sorted; documents with a null one come after all others, and among equal ids the order is that
+of a hash of the texts (common.tie_place), then of the texts, so of repeated rows one stays whole; a text longer than a
+group is a group of its own, so memory grows with the longest text; other columns are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -28,13 +30,14 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 from itertools import compress
+from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import covered, id_groups, mixed, windows, word_hashes
+from tabloom.llm.common import TASK_BYTES, covered, groups, mixed, numbered, tie_place, windows, word_hashes
 
 WINDOW = 20
 PERIOD, COVER = 13, (0, 1, 3, 9)
@@ -45,7 +48,7 @@ _IN_COVER = np.isin(np.arange(PERIOD), COVER)
 
 
 def _ordered(table: pa.Table) -> pa.Table:
-    return table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    return table.sort_by([("doc_id", "ascending"), ("tie", "ascending"), ("text", "ascending")])
 
 
 def _anchors(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,11 +59,11 @@ def _anchors(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return start[at], a[at]
 
 
-def _bucketed(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes, ordered by bucket and value, and where each bucket begins. A bucket is a range of hashes."""
-    distinct = np.unique(h)
-    edges = (np.arange(buckets + 1, dtype=object) * (1 << 64) // buckets)[:-1].astype(np.uint64)
-    return distinct, np.append(np.searchsorted(distinct, edges), len(distinct))
+def _bucketed(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which buckets some ascending hashes fall into, and where each begins. A bucket is a range of hashes, named by its top bits."""
+    own = (h >> np.uint64(64 - bits)).astype(np.int64)
+    first = np.flatnonzero(np.diff(own, prepend=-1))
+    return own[first], np.append(first, len(h))
 
 
 def _packed(x: np.ndarray) -> bytes:
@@ -76,9 +79,10 @@ def _unpacked(x: bytes, kind: type) -> np.ndarray:
 _SENT = "bucket int, grp long, hashes binary, more binary"
 
 
-def _sent(grp: int, h: np.ndarray, at: np.ndarray, low: np.ndarray | None, wide: bool) -> pa.Table:
-    rows = [(b, grp, _packed(h[i:j] if wide else (h[i:j] >> np.uint64(8)).astype(np.uint64)), low[i:j].tobytes() if low is not None else b"") for b, (i, j) in enumerate(zip(at, at[1:])) if j > i]
-    return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "grp": pa.array([r[1] for r in rows], pa.int64()), "hashes": pa.array([r[2] for r in rows], pa.binary()), "more": pa.array([r[3] for r in rows], pa.binary())})
+def _sent(grp: int, h: np.ndarray, low: np.ndarray | None, wide: bool, bits: int) -> pa.Table:
+    which, at = _bucketed(h, bits)
+    rows = [(b, _packed(h[i:j] if wide else (h[i:j] >> np.uint64(8)).astype(np.uint64)), low[i:j].tobytes() if low is not None else b"") for b, i, j in zip(which.tolist(), at, at[1:])]
+    return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "grp": pa.array([grp] * len(rows), pa.int64()), "hashes": pa.array([r[1] for r in rows], pa.binary()), "more": pa.array([r[2] for r in rows], pa.binary())})
 
 
 def _answered(earlier_only: bool):
@@ -109,20 +113,22 @@ def _answered(earlier_only: bool):
 _BITS = "grp long, bucket int, bits binary"
 
 
-def _flags(answers: pa.Table, at: np.ndarray) -> np.ndarray:
-    flag = np.zeros(at[-1], bool)
-    for b, bits in zip(answers.column("bucket").to_pylist(), answers.column("bits").to_pylist()):
-        flag[at[b] : at[b + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8))[: at[b + 1] - at[b]]
+def _flags(answers: pa.Table, h: np.ndarray, bits: int) -> np.ndarray:
+    """The answered bit of each of a group's ascending hashes."""
+    which, at = _bucketed(h, bits)
+    flag = np.zeros(len(h), bool)
+    for k, packed in zip(np.searchsorted(which, answers.column("bucket").to_numpy()).tolist(), answers.column("bits").to_pylist()):
+        flag[at[k] : at[k + 1]] = np.unpackbits(np.frombuffer(packed, np.uint8))[: at[k + 1] - at[k]]
     return flag
 
 
-def _candidates(table: pa.Table, answers: pa.Table, buckets: int):
+def _candidates(table: pa.Table, answers: pa.Table, bits: int):
     """Starts and both hashes of the windows that hold an anchor which occurs twice; the words' bounds."""
     h, bounds = word_hashes(table.column("text"))
     place, a = _anchors(h, bounds)
-    distinct, at = _bucketed(a, buckets)
+    distinct = np.unique(a)
     which = np.searchsorted(distinct, a)
-    twice = _flags(answers, at)[which] | (np.bincount(which, minlength=len(distinct)) > 1)[which]
+    twice = _flags(answers, distinct, bits)[which] | (np.bincount(which, minlength=len(distinct)) > 1)[which]
     # The windows that start at most PERIOD - 1 words before such an anchor.
     near = covered(np.maximum(place[twice] - (PERIOD - 1), 0), PERIOD, len(h))
     start, w = windows(h, bounds, WINDOW)
@@ -142,49 +148,46 @@ def _first_of_each(w: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return order[new], which
 
 
-def _edges(w: np.ndarray, buckets: int) -> np.ndarray:
-    edges = (np.arange(buckets + 1, dtype=object) * (1 << 64) // buckets)[:-1].astype(np.uint64)
-    return np.append(np.searchsorted(w, edges), len(w))
-
-
 def _marked(docs: DataFrame, finish, schema: str, doc_id: str, text: str, rest: bool = False) -> DataFrame:
     """What `finish` makes of each group's table, word bounds and mask of removed words; with `rest`, a struct of all columns goes along."""
     row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("row")] if rest else []
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), *row)
+    rows, key = numbered(docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), *row), "doc_id")
     schema = schema.replace("KIND", docs.schema[doc_id].dataType.simpleString()) + (f", row {rows.schema['row'].dataType.simpleString()}" if rest else "")
     weight = F.octet_length("text") + 64
-    total = rows.agg(F.sum(weight.cast("double"))).first()[0] or 1.0
-    target = min(GROUP_BYTES, max(1 << 20, total / (4 * docs.sparkSession.sparkContext.defaultParallelism)))
-    buckets = max(4, round(total / 6 * len(COVER) / PERIOD / BUCKET_HASHES), docs.sparkSession.sparkContext.defaultParallelism)
-    grouped = rows.select(id_groups(rows, "doc_id", weight, target, tie="text").alias("grp"), "doc_id", "text", *(["row"] if rest else []))
+    grp, tasks = groups(rows, key, weight, GROUP_BYTES, tie="text")
+    # A power of two: a bucket is named by top bits, and a group handles the buckets that its hashes fall into, no others.
+    anchors = tasks * TASK_BYTES / 6 * len(COVER) / PERIOD
+    bits = max(2, ceil(log2(max(1.0, anchors / BUCKET_HASHES))), ceil(log2(docs.sparkSession.sparkContext.defaultParallelism)))
+    dealt = lambda df: df.repartition(tasks, "grp").groupBy("grp")
+    grouped = rows.select(grp.alias("grp"), "doc_id", tie_place("text").alias("tie"), "text", *(["row"] if rest else []))
 
     def first(key: tuple, table: pa.Table) -> pa.Table:
         h, bounds = word_hashes(_ordered(table).column("text"))
-        distinct, at = _bucketed(_anchors(h, bounds)[1], buckets)
-        return _sent(key[0].as_py(), distinct, at, None, False)
+        return _sent(key[0].as_py(), np.unique(_anchors(h, bounds)[1]), None, False, bits)
 
     def second(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
-        _, w, low, _ = _candidates(_ordered(table), answers, buckets)
+        _, w, low, _ = _candidates(_ordered(table), answers, bits)
         one, _ = _first_of_each(w, low)
-        return _sent(key[0].as_py(), w[one], _edges(w[one], buckets), low[one], True)
+        return _sent(key[0].as_py(), w[one], low[one], True, bits)
 
     def third(key: tuple, table: pa.Table, answers: pa.Table, earlier: pa.Table) -> pa.Table:
         table = _ordered(table)
-        start, w, low, bounds = _candidates(table, answers, buckets)
+        start, w, low, bounds = _candidates(table, answers, bits)
         one, which = _first_of_each(w, low)
         again = np.ones(len(w), bool)
         again[one] = False
-        gone = covered(start[again | _flags(earlier, _edges(w[one], buckets))[which]], WINDOW, bounds[-1])
+        gone = covered(start[again | _flags(earlier, w[one], bits)[which]], WINDOW, bounds[-1])
         return finish(table, bounds, gone)
 
     def last(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         late = np.asarray(answers.column("late").to_numpy(zero_copy_only=False), bool)
         return third(key, table, answers.filter(pa.array(~late)), answers.filter(pa.array(late)))
 
-    repeated = grouped.groupBy("grp").applyInArrow(first, _SENT).groupBy("bucket").applyInArrow(_answered(False), _BITS)
-    earlier = grouped.groupBy("grp").cogroup(repeated.groupBy("grp")).applyInArrow(second, _SENT).groupBy("bucket").applyInArrow(_answered(True), _BITS)
+    asked = lambda df: df.repartition(max(docs.sparkSession.sparkContext.defaultParallelism, (1 << bits) // 4), "bucket").groupBy("bucket")
+    repeated = asked(dealt(grouped).applyInArrow(first, _SENT)).applyInArrow(_answered(False), _BITS)
+    earlier = asked(dealt(grouped).cogroup(dealt(repeated)).applyInArrow(second, _SENT)).applyInArrow(_answered(True), _BITS)
     both = repeated.select("grp", "bucket", "bits", F.lit(False).alias("late")).union(earlier.select("grp", "bucket", "bits", F.lit(True).alias("late")))
-    return grouped.groupBy("grp").cogroup(both.groupBy("grp")).applyInArrow(last, schema)
+    return dealt(grouped).cogroup(dealt(both)).applyInArrow(last, schema)
 
 
 def _rows(table: pa.Table, bounds: np.ndarray, gone: np.ndarray) -> Iterator[tuple[str, int, int, bytes]]:

@@ -387,6 +387,19 @@ def xx(x, seed=42):
     return xxhash.xxh64_intdigest(x, seed)
 
 
+def char_hashes_by_hand(text):
+    """Odd hashes of the least runs of 5 characters of texts that are short or have long words."""
+    if not text or len(text) > 256 and len(text) <= 32 * len(words(text)):
+        return set()
+    grams = []
+    for i in range(max(1, len(text) - 4)):
+        h = xx(b"c")
+        for c in text[i : i + 5]:
+            h = xx(c.encode(), h)
+        grams.append((h - (1 << 64) if h >> 63 else h) >> 24)
+    return {2 * min(grams[i : i + 8]) + 1 for i in range(max(1, len(grams) - 7))}
+
+
 def winnow_by_hand(text):
     w = [xx(x.encode()) for x in words(text)]
     pack = lambda h: struct.pack("<Q", h)
@@ -413,9 +426,9 @@ def winnow_by_hand(text):
 def test_winnowing(spark, docs):
     rows = winnowing.fingerprinted(docs).select("doc_id", "text", "kept", winnowing.positions("kept").alias("at"), "hashes", "fingerprint").collect()
     for r in rows:
-        if len(r.text) < 4000:
-            expected = winnow_by_hand(r.text)
-            assert [(k >> 24, p) for k, p in zip(r.kept, r.at)] == expected and set(r.hashes) == {h for h, _ in expected}
+        expected = winnow_by_hand(r.text)
+        assert [(k >> 24, p) for k, p in zip(r.kept, r.at)] == expected
+        assert set(r.hashes) == {2 * h for h, _ in expected} | char_hashes_by_hand(r.text) and len(r.hashes) == len(set(r.hashes))
     by_text = {}
     for r in rows:
         assert by_text.setdefault(r.text, r.fingerprint) == r.fingerprint
@@ -428,7 +441,7 @@ def test_winnowing_next_and_edited(spark):
     assert len(got) == len(rows)
 
     def alike_(a, b):
-        x, y = ({h for h, _ in winnow_by_hand(t)} for t in (a, b))
+        x, y = ({2 * h for h, _ in winnow_by_hand(t)} | char_hashes_by_hand(t) for t in (a, b))
         return len(x & y) / len(x | y) if x | y else 1.0
 
     for (i, t), (_, following) in zip(rows, rows[1:] + rows[:1]):
@@ -439,6 +452,69 @@ def test_winnowing_next_and_edited(spark):
         assert r.near_edited == pytest.approx(alike_(t, edited)) and r.near_next == pytest.approx(alike_(t, following))
 
 
+def test_winnowing_sees_what_short_texts_share(spark):
+    rows = [(1, "one two three four five six"), (2, "東京都は日本の首都である" * 40), (3, "x"), (4, "seven eight nine ten eleven")]
+    got = {r.doc_id: r for r in winnowing.edited_comparison(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].near_edited > 0.2 and got[2].near_edited > 0.4 and got[4].near_edited > 0.2 and got[3].near_edited == 1.0 and got[1].near_next == 0
+
+
+@pytest.mark.parametrize("kind", ["string", "date"])
+def test_ids_of_other_types(spark, kind):
+    import datetime
+
+    day = datetime.date(2020, 1, 1)
+    made = lambda i: f"doc-{i}" if kind == "string" else day + datetime.timedelta(i)
+    numbers = [r for r in documents() if r[0] is not None and len(r[1] or "") < 5000][:-2]
+    rows = [(made(r[0]), r[1]) for r in numbers]
+    docs = spark.createDataFrame(rows, f"doc_id {kind}, text string").repartition(4)
+    assert alike(collected(substrings.removal_digests(docs), "doc_id", "n_words", "n_removed", "kept_sha256")) == alike(removal_by_hand(rows))
+    ordered = sorted(rows, key=lambda r: r[0])
+    got = {r.doc_id: r for r in winnowing.edited_comparison(docs).collect()}
+    for (i, t), (_, following) in zip(ordered, ordered[1:] + ordered[:1]):
+        t = t or ""
+        edited = t[: len(t) - len(t) // 4] + (following or "")[: len(t) // 4]
+        assert got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+    pages = docs.selectExpr("doc_id AS page_id", "'http://x/' AS url", "text AS html")
+    low = {}
+    for i, t in rows:
+        low[t or ""] = min(i, low.get(t or "", i))
+    back = {r.page_id: r for r in warc.round_trip(pages).collect()}
+    assert len(back) == len(rows) and all(back[i].refers_to == (None if low[t or ""] == i else low[t or ""]) for i, t in rows)
+
+
+def test_many_texts_of_one_id(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "GROUP_BYTES", 3000)
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(500)]
+    shared = " ".join(rng.choices(vocabulary, k=30))
+    rows = [(i, f"e{n} " + " ".join(rng.choices(vocabulary, k=10)) + " " + shared) for i in (7, None) for n in range(60)]
+    from tabloom.llm.common import TIES
+
+    def place(t):
+        h = xxhash.xxh64_intdigest(t.encode(), 42)
+        return (h - (1 << 64) if h >> 63 else h) % TIES
+
+    ordered = sorted(rows, key=lambda r: (r[0] is None, place(r[1]), r[1]))
+    expected = [(i, len(words(t)), 0 if n == 0 else 30, None) for n, (i, t) in enumerate(ordered)]
+    got = substrings.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    whole = [r.text.split()[0] for r in got if r.n_removed == 0]
+    assert whole == [ordered[0][1].split()[0]] and sum(r.n_removed >= 30 for r in got) == len(expected) - 1
+
+
+def test_warc_commit_can_be_repeated(spark, tmp_path):
+    pages = spark.createDataFrame([(i, None, "x" * i) for i in range(20)], "page_id long, url string, html string")
+    folder = f"file://{tmp_path}/a"
+    manifest = warc.write(pages, folder)
+    names = sorted(p.name for p in (tmp_path / "a").glob("*.warc.gz"))
+    (tmp_path / "a" / "_SUCCESS").unlink()
+    (tmp_path / "a" / "_temporary").mkdir()
+    row = manifest.first()
+    (tmp_path / "a" / row["name"]).rename(tmp_path / "a" / "_temporary" / row["temporary"])  # a crash before this file was named
+    again = warc.commit(spark, folder)
+    assert sorted(p.name for p in (tmp_path / "a").glob("*.warc.gz")) == names and (tmp_path / "a" / "_SUCCESS").exists()
+    assert warc.read(spark, folder, again).count() == 20
+
+
 def test_url_rules(spark):
     cases = ["http://WWW.Example.com/en/x?q", "http://example.com/en/", "http://a.b.example.com/fr/", "https://x.net/es/a#f", "http://net/fr/", "http://x.net", "http://xnet/es/", "nothing", None, "http://", "http://example.com/EN/", "ftp://u@h.net:80/es/", "http://x.net/es/a"]
     rules = [*queries.URL_RULES, ("x.net", "/es/a", "allow"), ("x.net", "/es/a", "block")]
