@@ -1,8 +1,11 @@
 """URL filtering by host-suffix and path-prefix expressions, with DataFrame functions only.
 
-Each distinct (host, path) is expanded into all pairs of a host suffix and a path prefix that a rule could have: no
+Each URL is expanded, where it is read, into all pairs of a host suffix and a path prefix that a rule could have: no
 more labels than the longest rule host, and only the path lengths that occur among the rules. Pairs meet rules on the
-first 4 bytes of a SHA-256; the full digest then confirms, and the longest rule wins.
+first 4 bytes of a SHA-256; the full digest then confirms, and the longest rule wins. A URL's pairs are brought back
+together by a number of its row, so a host or URL that many rows share is no hot key, and rows without a host take no
+part in the join. Rules up to BROADCAST_RULES are broadcast and the pairs of a row meet again in the task that made
+them, before the one shuffle of a row each.
 
 Defined results: a null url or one without `://` has an empty host and path and no rule; a rule with an empty host fits
 nothing; of equal rules `block` wins over `allow`; repeated rows are judged alike; other columns are ignored; an empty
@@ -46,16 +49,17 @@ def judged(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFr
         known = F.broadcast(known)
 
     host, path = parts(F.col("url"))
-    rows = pages.select("page_id", host.alias("host"), path.alias("path"))
-    distinct = rows.filter("host <> ''").distinct()
+    rows = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("row", F.monotonically_increasing_id())
     labels = F.split("host", r"\.")
     most = F.least(F.size(labels), F.lit(shape.labels or 0))
     suffixes = F.transform(F.sequence(F.lit(1), F.greatest(most, F.lit(1))), lambda i: F.array_join(F.slice(labels, F.size(labels) - i + 1, i), "."))
     lengths = F.filter(F.array(*[F.lit(n) for n in sorted(shape.lengths or [])]).cast("array<int>"), lambda n: n <= F.length("path"))
     prefixes = F.transform(lengths, lambda n: F.substring(F.col("path"), F.lit(1), n))
     expressions = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
-    expanded = distinct.select("host", "path", F.explode(expressions).alias("expression")).withColumn("full", F.sha2("expression", 256))
-    met = expanded.withColumn("short", F.substring("full", 1, PREFIX_HEX)).join(known, "short").filter("full = digest")
-    best = met.groupBy("host", "path").agg(F.max(F.struct(F.length("rule").alias("n"), "action", "rule")).alias("best"))
-    out = rows.join(best, ["host", "path"], "left")
+    expanded = rows.select("*", F.explode_outer(F.when(F.col("host") != "", expressions)).alias("expression")).withColumn("full", F.sha2("expression", 256))
+    # A row without expressions meets no rule: its own number keeps it from being one more of a hot key.
+    expanded = expanded.withColumn("short", F.coalesce(F.substring("full", 1, PREFIX_HEX), F.col("row").cast("string")))
+    met = expanded.join(known.withColumnRenamed("short", "of"), (F.col("short") == F.col("of")) & (F.col("full") == F.col("digest")), "left")
+    best = F.max(F.when(F.col("rule").isNotNull(), F.struct(F.length("rule").alias("n"), "action", "rule"))).alias("best")
+    out = met.groupBy("row", "page_id", "host", "path").agg(best)
     return out.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
