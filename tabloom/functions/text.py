@@ -11,17 +11,29 @@ from pyspark.sql import functions as F
 #: Dash and space code points that fold to ASCII.
 DASHES = "‐‑‒–—―−­﹘﹣－"
 SPACES = "              　"
+#: All Unicode white space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Letters that OCR puts for digits.
-OCR_DIGITS = {"O": "0", "o": "0", "I": "1", "l": "1", "|": "1", "Z": "2", "S": "5", "G": "6", "b": "6", "T": "7", "B": "8", "g": "9", "q": "9"}
+OCR_DIGITS = {"O": "0", "o": "0", "Q": "0", "D": "0", "I": "1", "l": "1", "i": "1", "|": "1", "Z": "2", "z": "2", "S": "5", "s": "5", "G": "6", "b": "6", "T": "7", "B": "8", "g": "9", "q": "9"}
 #: Name suffixes and honorifics.
 SUFFIXES = ("JR", "SR", "II", "III", "IV", "V")
 HONORIFICS = ("Miss", "Mrs", "Ms", "Mr", "Dr")
-#: Spellings of the four canonical headers, letters and digits only.
+#: Spellings of the four canonical headers.
 HEADER_ALIASES = {
-    "Person Number": ("personnumber", "personnum", "personnbr", "pernumber", "pernum", "pernbr"),
-    "Patient Name": ("patientname", "patname", "ptname"),
-    "Encounter Number": ("encounternumber", "encounternum", "encounternbr", "encnumber", "encnum", "encnbr", "encounter"),
-    "Date of Service": ("dateofservice", "servicedate", "servcdt", "encounterdate", "encounterdt", "encdt", "dos"),
+    "Person Number": ("per num", "per number", "per nbr", "per no", "per #", "person num", "person number", "person nbr", "person no", "pers num", "pers no", "pers nbr", "personnum", "pernum", "pernbr"),
+    "Patient Name": ("pat name", "patient name", "pt name", "pt.name", "ptname", "pat nm", "patient nm", "pt nm", "patientname", "patname"),
+    "Encounter Number": ("encounter number", "encounter num", "encounter nbr", "encounter no", "enc num", "enc number", "enc nbr", "enc no", "enc #", "encounter", "encntr num", "encounter id", "enc id", "encounternumber"),
+    "Date of Service": ("date of service", "dt of service", "service date", "servc dt", "serv dt", "svc dt", "svc date", "enc dt", "enc date", "encounter dt", "encounter date", "dos", "dos date", "date of svc"),
+}
+#: Words that name one part of a canonical header.
+HEADER_WORDS = {
+    "person": ("per", "pers", "person", "persons", "prsn"),
+    "patient": ("pat", "patient", "patients", "pt", "pts"),
+    "encounter": ("enc", "encntr", "encounter", "encounters", "encntrs"),
+    "number": ("num", "no", "nbr", "number", "nmbr", "numb", "id", "nos"),
+    "name": ("name", "nm", "names", "nme"),
+    "date": ("date", "dt", "dte", "dates"),
+    "service": ("service", "servc", "svc", "serv", "srvc", "enc", "encounter", "encntr", "dos"),
 }
 
 
@@ -31,7 +43,7 @@ def col(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Without white space at both ends, tabs and no-break spaces included."""
-    return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
+    return F.btrim(col(c), F.lit(WHITE))
 
 
 def squeeze(c: Column | str) -> Column:
@@ -41,7 +53,7 @@ def squeeze(c: Column | str) -> Column:
 
 def is_blank(c: Column | str) -> Column:
     """Null, empty or white space."""
-    return F.coalesce(strip(c) == "", F.lit(True))
+    return F.coalesce(~col(c).rlike(r"(?U)\S"), F.lit(True))
 
 
 def fold(c: Column | str) -> Column:
@@ -82,18 +94,21 @@ def key_flagged(c: Column | str, alnum: bool) -> Column:
     return key_compact(c) if alnum else key_squeezed(c)
 
 
-def canonical_header(c: Column | str) -> Column:
-    """One of the four canonical names, or null. The date is tested first; words that name payers never match."""
+def canonical_header(c: Column | str, aliases: dict[str, tuple[str, ...]] | None = None) -> Column:
+    """The canonical name of a header, or null: a spelling of `aliases`, letters and digits compared, decides; else words
+    do, the date first, so that an encounter's date is no encounter number."""
     compact, tokens = key_compact(c), F.split(key_words(c), " ")
-    has = lambda *words: F.arrays_overlap(tokens, F.array(*[F.lit(w) for w in words]))
-    person, number = has("person", "per"), has("number", "num", "nbr", "no", "id")
-    patient, encounter = has("patient", "pat", "pt"), has("encounter", "enc")
-    date = has("date", "dt", "dos") & (has("service", "servc", "svc", "serv") | encounter)
-    aliases = F.lit(None).cast("string")
-    for name, spellings in HEADER_ALIASES.items():
-        aliases = F.when(compact.isin(*spellings), name).otherwise(aliases)
-    rules = F.when(date, "Date of Service").when(person & number, "Person Number").when(patient & has("name"), "Patient Name").when(encounter & number, "Encounter Number")
-    return F.when(has("payer", "payor", "provider", "plan"), None).otherwise(F.coalesce(aliases, rules))
+    has = {k: F.arrays_overlap(tokens, F.array(*[F.lit(w) for w in words])) for k, words in HEADER_WORDS.items()}
+    named = F.lit(None).cast("string")
+    for name, spellings in (aliases or HEADER_ALIASES).items():
+        keys = {"".join(ch for ch in x.lower() if ch.isascii() and ch.isalnum()) for x in (name, *spellings)}
+        named = F.when(compact.isin(*sorted(keys)), name).otherwise(named)
+    dated = (F.array_contains(tokens, "dos") & (F.size(F.array_distinct(tokens)) <= 2)) | (has["date"] & has["service"])
+    pairs = (("Person Number", "person", "number"), ("Patient Name", "patient", "name"), ("Encounter Number", "encounter", "number"))
+    ruled = F.when(dated, "Date of Service")
+    for name, a, b in pairs:
+        ruled = ruled.when(has[a] & has[b], name)
+    return F.coalesce(named, ruled)
 
 
 def column_letter(n: Column | str) -> Column:
@@ -434,14 +449,6 @@ def status_text(c: Column | str) -> Column:
 # Lists, tokens and counts.
 
 
-def name_pair(line: Column | str) -> Column:
-    """struct(name, folder) of a pasted line, parted by tab, else comma, else the first white space; null if it has no two parts."""
-    text = strip(line)
-    cut = F.when(text.contains("\t"), F.locate("\t", text)).when(text.contains(","), F.locate(",", text)).otherwise(F.length(F.regexp_extract(text, r"(?U)^\S+\s", 0)))
-    left, right = strip(F.substring(text, F.lit(1), cut - 1)), strip(F.substr(text, cut + 1))
-    return F.when((cut > 1) & (left != "") & (right != ""), F.struct(left.alias("name"), right.alias("folder")))
-
-
 def split_glued(word: Column | str) -> Column:
     """array<struct<x0,x1,text>> of a word struct in which an SSN is glued to other text; the span is shared by length."""
     word = col(word)

@@ -37,11 +37,15 @@ def key_ladder(*levels: tuple[str, ...]) -> Column:
     return out
 
 
-def collapse(df: DataFrame, name: str, value: str, order: str, separator: str = ":") -> DataFrame:
-    """Per case-folded name: first spelling, and distinct values in order of first appearance, joined.
+def collapse(df: DataFrame, name: str, values: list[str], order: list[str], separator: str = ":") -> DataFrame:
+    """Per case-folded name: first spelling, and each value column's list, joined. The lists hold the distinct rows of
+    values in order of first appearance, so they stay aligned; a row without any value is left out.
 
-    Values are first reduced to one row per (name, value); only distinct values of a name are gathered.
+    Rows are first reduced to one per name and values; only distinct values of a name are gathered.
     """
-    pairs = df.filter(~tx.is_blank(value)).groupBy(F.lower(tx.squeeze(name)).alias("key"), F.col(value).alias("value")).agg(F.min(order).alias("ord"), F.min_by(name, order).alias("name"))
-    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "value"))), lambda s: s["value"].cast("string")), separator)
-    return pairs.groupBy("key").agg(F.min_by("name", "ord").alias("name"), listed.alias("values"))
+    text = lambda c: F.coalesce(tx.strip(F.col(c).cast("string")), F.lit(""))
+    at = F.struct(*order)
+    own = df.withColumn("__values", F.struct(*[text(c).alias(c) for c in values])).filter(F.concat(*[text(c) for c in values]) != "")
+    pairs = own.groupBy(F.lower(text(name)).alias("__key"), "__values").agg(F.min(at).alias("__at"), F.min_by(text(name), at).alias(name))
+    rows = pairs.groupBy("__key").agg(F.min_by(name, "__at").alias(name), F.array_sort(F.collect_list(F.struct("__at", "__values"))).alias("__rows"))
+    return rows.select(name, *[F.array_join(F.transform("__rows", lambda r: r["__values"][c]), separator).alias(c) for c in values])

@@ -96,23 +96,42 @@ def labelled_blocks(lines: DataFrame, labels: tuple[str, ...], gap: float) -> Da
     return whole.select(*PAGE, "block", *[tx.label_value("text", label, labels).alias(n) for label, n in zip(labels, names)])
 
 
-def carried_over_pages(records: DataFrame, fields: list[str], order: list[str]) -> DataFrame:
-    """The last record of a page and the first of the next become one if no field has two values.
+def joined_record(held: dict | None, row: dict, first: bool, fields: list[str], identity: tuple[str, ...]) -> dict | None:
+    """`held`, the open record of a file, joined with `row`, or None if the row is a record of its own.
 
-    Sequential by file, so each file's records go to one group; a file bounds it.
+    The first row of the page after the held record's joins it if no field has two values. A row without any identity
+    field is a fragment and joins whatever record is open; one with identity joins only a record that lacks some.
+    """
+    if held is None or not first or row["page"] != held["page"] + 1:
+        return None
+    fragment = not any(row[f] for f in identity)
+    if not fragment and all(held[f] for f in identity):
+        return None
+    if any(held[f] and row[f] and held[f] != row[f] for f in fields):
+        return None
+    return {**held, **{f: held[f] or row[f] for f in fields}, "page": row["page"]}
+
+
+def carried_over_pages(records: DataFrame, fields: list[str], order: list[str], identity: tuple[str, ...] | None = None) -> DataFrame:
+    """Records over any number of pages as one, by `joined_record`; page is that on which a record begins. All fields are
+    identity unless some are named.
+
+    Sequential by file, so each file's records go to one group, of which one record is held at a time.
     """
     schema = records.schema
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         out: list[dict] = []
-        for page, rows in pdf.sort_values(order).groupby("page", sort=True):
-            for i, row in enumerate(rows.to_dict("records")):
-                last = out[-1] if out else None
-                fits = last is not None and i == 0 and last["page"] == page - 1 and last.get("open", True)
-                if fits and all(not last[f] or not row[f] or last[f] == row[f] for f in fields) and not all(row[f] and last[f] for f in fields):
-                    last.update({f: last[f] or row[f] for f in fields})
-                else:
-                    out.append(dict(row))
+        held, begun, previous = None, None, None
+        for row in pdf.sort_values(order).to_dict("records"):
+            joined = joined_record(held, row, row["page"] != previous, fields, identity or tuple(fields))
+            if joined is None:
+                out += [{**held, "page": begun}] if held else []
+                held, begun = row, row["page"]
+            else:
+                held = joined
+            previous = row["page"]
+        out += [{**held, "page": begun}] if held else []
         return pd.DataFrame(out, columns=schema.names)
 
     return records.groupBy("file").applyInPandas(merge, schema)
@@ -121,20 +140,96 @@ def carried_over_pages(records: DataFrame, fields: list[str], order: list[str])
 # Forms -------------------------------------------------------------------------------------------------------------
 
 
-def boxed_forms(lines: DataFrame, number_caption: str, name_caption: str) -> DataFrame:
-    """W-2-like boxes: the SSN within two lines of its caption (OCR repaired if need be), the name on the first line
-    below the name caption, the address on the lines up to the first city line, eight at most."""
-    near = F.array_join(surrounding("text", 2, 2), " ")
-    w = Window.partitionBy(*PAGE)
-    fixed = tx.repaired_digits(near)
-    strict = F.nullif(F.regexp_extract(near, tx.SSN_STRICT, 0), F.lit(""))
-    ssn = F.coalesce(strict, F.nullif(F.regexp_extract(fixed, tx.SSN_STRICT, 0), F.lit("")))
-    below = F.slice(surrounding("text", 0, 8), 2, 8)
-    marked = lines.withColumn("ssn", F.when(F.upper("text").contains(number_caption.upper()), ssn)).withColumn("below", F.when(F.upper("text").contains(name_caption.upper()), below))
-    forms = marked.withColumn("ssn", F.first("ssn", ignorenulls=True).over(w)).filter("below is not null")
+def boxed_forms(lines: DataFrame, number_caption: str, name_caption: str, keys: list[str] | None = None) -> DataFrame:
+    """W-2-like boxes, a row for each name caption: its number is that of the nearest number caption of the page that no
+    name above has taken, by height and then by x (OCR repaired if need be), the name the first line below the name caption,
+    the address the lines up to the first city line, eight at most. A number without a name caption is a row without name.
+
+    A number is looked for on its caption's line, then below, then above, two lines each way.
+    """
+    keys = keys or PAGE
+    w = Window.partitionBy(*keys).orderBy("line_no")
+    near = F.array_compact(F.array(*[F.lead("text", i).over(w) if i else F.col("text") for i in (0, 1, 2, -1, -2)]))
+    found = lambda texts: F.get(F.filter(F.transform(texts, lambda t: F.regexp_extract(t, tx.SSN_STRICT, 0)), lambda t: t != ""), F.lit(0))
+    number = F.coalesce(found(near), found(F.transform(near, lambda t: tx.repaired_digits(t))))
+    below = F.array_compact(F.array(*[F.lead("text", i).over(w) for i in range(1, 9)]))
+    has = lambda caption: F.upper("text").contains(caption.upper())
+    at = F.coalesce(F.get(F.transform(F.col("words"), lambda x: x["x0"]), F.lit(0)), F.lit(0.0)).cast("double")
+    marked = lines.select(*keys, "line_no", F.col("top").cast("double").alias("top"), at.alias("x"), F.when(has(number_caption), F.coalesce(number, F.lit(""))).alias("ssn"), F.when(has(name_caption), below).alias("below"))
+    captions = marked.filter("ssn is not null or below is not null")
+    pages = captions.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.when(F.col("ssn").isNotNull(), F.struct("line_no", "top", "x", "ssn")))).alias("numbers"),
+        F.array_sort(F.collect_list(F.when(F.col("below").isNotNull(), F.struct("line_no", "top", "x", "below")))).alias("names"),
+    )
+    # A page's captions are a handful: one fold gives each name its number.
+    start = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast("array<int>").alias("picks"))
+
+    def pick(state, name):
+        free = F.filter(F.transform("numbers", lambda n, i: F.struct(F.abs(n["top"] - name["top"]).alias("dy"), F.abs(n["x"] - name["x"]).alias("dx"), i.alias("i"))), lambda c: ~F.array_contains(state["used"], c["i"]))
+        best = F.array_min(free)["i"]
+        return F.struct(F.when(best.isNotNull(), F.concat(state["used"], F.array(best))).otherwise(state["used"]).alias("used"), F.concat(state["picks"], F.array(best)).alias("picks"))
+
+    taken = pages.withColumn("s", F.aggregate("names", start, pick))
+    own = F.transform("names", lambda n, i: F.struct(n["line_no"].alias("line_no"), F.get("numbers", F.get(F.col("s.picks"), i))["ssn"].alias("ssn"), n["below"].alias("below")))
+    rest = F.transform(F.filter("numbers", lambda n, i: ~F.array_contains("s.used", i) & (n["ssn"] != "")), lambda n: F.struct(n["line_no"].alias("line_no"), n["ssn"].alias("ssn"), F.array().cast("array<string>").alias("below")))
+    forms = taken.select(*keys, F.explode(F.concat(own, rest)).alias("f")).select(*keys, "f.*")
     stop = F.array_position(F.transform("below", lambda x: tx.squeeze(x).rlike(tx.CSZ)), True).cast("int")
     body = F.slice("below", F.lit(1), F.when(stop > 0, stop).otherwise(1))
-    return forms.select(*PAGE, "line_no", F.coalesce("ssn", F.lit("")).alias("ssn"), tx.squeeze(F.get(body, F.lit(0))).alias("name"), tx.address_parts(F.slice(body, F.lit(2), F.greatest(F.size(body) - 1, F.lit(0)))).alias("address"))
+    return forms.select(*keys, "line_no", F.coalesce("ssn", F.lit("")).alias("ssn"), tx.squeeze(F.coalesce(F.get(body, F.lit(0)), F.lit(""))).alias("name"), tx.address_parts(F.slice(body, F.lit(2), F.greatest(F.size(body) - 1, F.lit(0)))).alias("address"))
+
+
+def grid_cells(words: DataFrame, caption: str, width: float, share: float = 0.5, tolerance: float = 3.0) -> DataFrame:
+    """words with cell: 'Single', or by rows of captions (Top and Bottom, or Row1, Row2, ... of three or more), cut midway
+    between these, and Left or Right of share * width in rows with two captions or more.
+
+    The bounds of a page are a few numbers, joined to its words.
+    """
+    rows = ln.page_lines(words, PAGE, "anchor", tolerance).withColumnRenamed("top", "y")
+    counted = rows.withColumn("n", F.regexp_count(tx.squeeze("text"), F.lit(f"(?i){caption}"))).filter("n > 0")
+    pages = counted.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("y", "n"))).alias("rows"), F.sum("n").alias("captions"))
+    middle = (F.col("top") + F.col("bottom")) / 2
+    at = F.size(F.filter(F.transform("rows", lambda r, i: (r["y"] + F.get("rows", i + 1)["y"]) / 2), lambda y: y <= middle))
+    several = F.size("rows")
+    label = F.when(several == 1, "").when(several == 2, F.when(at == 0, "Top").otherwise("Bottom")).otherwise(F.concat(F.lit("Row"), (at + 1).cast("string")))
+    side = F.when(F.get("rows", at)["n"] >= 2, F.when((F.col("x0") + F.col("x1")) / 2 < share * width, "Left").otherwise("Right")).otherwise("")
+    cell = F.when(F.coalesce(F.col("captions"), F.lit(0)) <= 1, "Single").otherwise(F.coalesce(F.nullif(F.concat(label, side), F.lit("")), F.lit("Single")))
+    return words.join(pages, PAGE, "left").withColumn("cell", cell).drop("rows", "captions")
+
+
+def wage_list(lines: DataFrame) -> DataFrame:
+    """Number and name of each line that begins with a number, on pages where two such lines have a line of two or more groups
+    of digits, and nothing else, among the next three. A caption line above with M.I. and LAST parts the name by x."""
+    w = _over()
+    wages = lambda c: c.rlike(r"^[0-9]+( [0-9]+)+$")
+    text = tx.squeeze("text")
+    number = F.regexp_extract(tx.fold(text), r"^([0-9][0-9 \-]{8,})", 1)
+    digits = F.regexp_replace(number, "[^0-9]", "")
+    ssn = F.when((F.length(digits) == 9) & ~wages(text), F.concat_ws("-", F.substring(digits, 1, 3), F.substring(digits, 4, 2), F.substring(digits, 6, 4)))
+    ahead = F.exists(F.array(*[F.lead(text, i).over(w) for i in (1, 2, 3)]), lambda t: F.coalesce(wages(t), F.lit(False)))
+    above = F.when(F.lag(F.upper(text)).over(w).rlike(r"E\.\s*EMPLOYEE\s+NAME"), F.lag("words").over(w))
+    rows = lines.withColumn("ssn", ssn).withColumn("above", above).withColumn("hits", F.sum(F.when(ssn.isNotNull() & ahead, 1).otherwise(0)).over(Window.partitionBy(*PAGE)))
+    token = lambda x: F.upper(F.regexp_replace(x["text"], r"^[().,]+|[().,]+$", ""))
+    left = lambda keep: F.get(F.transform(F.filter("above", keep), lambda x: x["x0"]), F.lit(0))
+    centre = lambda x: (x["x0"] + x["x1"]) / 2
+    found = rows.filter("hits >= 2 and ssn is not null").withColumn("own", F.filter("words", lambda x: ~x["text"].rlike(r"^[0-9\-]+$"))).withColumn("mi_x", left(lambda x: token(x).rlike(r"^M\.?I$"))).withColumn("last_x", left(lambda x: token(x).startswith("LAST")))
+    last = lambda x: F.coalesce(centre(x) >= F.col("last_x"), F.lit(False))
+    middle = lambda x: F.coalesce(centre(x) >= F.col("mi_x"), F.lit(False))
+    part = lambda keep: F.array_join(F.transform(F.filter("own", keep), lambda x: x["text"]), " ")
+    plain = tx.split_plain_name(part(lambda x: F.lit(True)))
+    bound = F.col("mi_x").isNotNull() | F.col("last_x").isNotNull()
+    return found.filter(F.size("own") > 0).select(*PAGE, "line_no", "ssn", F.when(bound, part(lambda x: ~last(x) & ~middle(x))).otherwise(plain["first"]).alias("first"), F.when(bound, part(lambda x: ~last(x) & middle(x))).otherwise(plain["middle"]).alias("middle"), F.when(bound, part(last)).otherwise(plain["last"]).alias("last"))
+
+
+def wage_pages(words: DataFrame, width: float, number_caption: str = "social security number", name_caption: str = "first name", tolerance: float = 3.0) -> DataFrame:
+    """file, page, cell, ssn, name of every page of wage statements: pages with number captions by grid cells and boxes, others
+    as a list."""
+    cells = grid_cells(words, tx.quoted(number_caption), width, tolerance=tolerance)
+    keys = [*PAGE, "cell"]
+    boxes = boxed_forms(ln.page_lines(cells, keys, "anchor", tolerance), number_caption, name_caption, keys)
+    lines = ln.page_lines(words, PAGE, "anchor", tolerance)
+    captioned = lines.filter(F.upper("text").contains(number_caption.upper())).select(*PAGE).distinct()
+    listed = wage_list(lines).join(captioned, PAGE, "left_anti")
+    return boxes.select(*keys, "ssn", "name").unionByName(listed.select(*PAGE, F.lit("List").alias("cell"), "ssn", F.concat_ws(" ", *[F.nullif(F.col(c), F.lit("")) for c in ("first", "middle", "last")]).alias("name")))
 
 
 def panes(words: DataFrame, width: float, bins: int = 200) -> DataFrame:

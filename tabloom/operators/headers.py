@@ -60,33 +60,63 @@ def by_targets(grid: DataFrame, targets: tuple[str, ...], least: int = 2, scan:
     return rows.groupBy(*SHEET).agg(F.max_by("row_no", F.struct("n", -F.col("row_no"))).alias("header_row"), F.max("n").alias("matched"))
 
 
+#: What counts as a number in a header cell, thousands separators aside.
+NUMERIC = r"^[+-]?([0-9]+(_[0-9]+)*[.]?([0-9]+(_[0-9]+)*)?|[.][0-9]+(_[0-9]+)*)([eE][+-]?[0-9]+)?$|^[+-]?([iI][nN][fF]([iI][nN][iI][tT][yY])?|[nN][aA][nN])$"
+
+
 def by_score(grid: DataFrame, scan: int = 40, ahead: int = 40, least: float = 0.55, slack: float = 0.06) -> DataFrame:
-    """Row with the best mix of coverage .45, text .20, uniqueness .15, brevity .10 and few stray cells .10; 0 if none is good.
+    """file, sheet, header_row: of the first `scan` filled rows the earliest that scores within `slack` of the best one; the
+    first filled row where none scores `least`. Sheets without a filled row have no result.
+
+    A row's score is .45 of the columns filled below it that it labels, .20 of its cells that are no number, .15 of
+    distinct ones, .10 of cells up to 60 characters and .10 of cells that stand over filled columns. A column is filled
+    below a row if two of the next `ahead` rows have it, or one where at most two follow.
 
-    Occupancy of columns comes from the first scan + ahead rows of each sheet.
+    A sheet sends scan + ahead rows at most, as one number for each cell, to one row, and a single fold from the last row
+    to the first keeps the number of filled cells of each column in the window.
     """
-    rows = grid.filter(F.col("row_no") <= scan + ahead)
-    cells = rows.select(*SHEET, "row_no", F.posexplode("cells").alias("at", "cell")).filter(~tx.is_blank("cell"))
-    heads = rows.filter(F.col("row_no") <= scan).select(*SHEET, F.col("row_no").alias("head"), "cells")
-    # At most scan + ahead row numbers per column; a column counts for a head if two of the rows below it are filled.
-    columns = cells.groupBy(*SHEET, "at").agg(F.collect_list("row_no").alias("filled"))
-    below = lambda h: F.size(F.filter("filled", lambda r: (r > h) & (r <= h + ahead)))
-    hits = columns.select(*SHEET, "at", F.explode(F.filter(F.sequence(F.lit(1), F.lit(scan)), lambda h: below(h) >= 2)).alias("head")).groupBy(*SHEET, "head").agg(F.collect_list("at").alias("used"))
-    named = F.filter(F.transform("cells", lambda c, i: F.when(~tx.is_blank(c), i)), lambda i: i.isNotNull())
-    values = F.filter("cells", lambda c: ~tx.is_blank(c))
-    share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
-    both, n = F.size(F.array_intersect("named", "used")), F.size("named")
-    score = (
-        0.45 * share(both, F.size("used"))
-        + 0.20 * share(texty("cells"), n)
-        + 0.15 * share(F.size(F.array_distinct(F.transform(values, lambda c: tx.key_squeezed(c)))), n)
-        + 0.10 * share(F.size(F.filter(values, lambda c: F.length(c) <= 40)), n)
-        + 0.10 * (1 - share(n - both, n))
+    place = F.row_number().over(Window.partitionBy(*SHEET).orderBy("row_no"))
+    values = F.transform(F.filter("cells", lambda c: ~tx.is_blank(c)), lambda c: tx.strip(c))
+    rows = grid.filter(F.exists("cells", lambda c: ~tx.is_blank(c))).withColumn("place", place).filter(F.col("place") <= scan + ahead).withColumn("values", values)
+    number = lambda keep: F.size(F.filter("values", keep)).alias
+    mask = F.transform("cells", lambda c: (~tx.is_blank(c)).cast("int"))
+    measured = F.struct(
+        F.col("place"),
+        F.col("row_no"),
+        mask.alias("mask"),
+        F.size("values").alias("n"),
+        number(lambda v: ~F.regexp_replace(v, ",", "").rlike(NUMERIC))("textual"),
+        F.size(F.array_distinct(F.transform("values", lambda v: F.lower(v)))).alias("distinct"),
+        number(lambda v: F.length(v) <= 60)("short"),
     )
-    scored = heads.join(hits, [*SHEET, "head"]).withColumn("named", named).filter(n > 0).withColumn("score", score)
-    best = scored.withColumn("top", F.max("score").over(Window.partitionBy(*SHEET)))
-    picked = best.filter((F.col("score") >= F.col("top") - slack) & (F.col("top") >= least)).groupBy(*SHEET).agg(F.min("head").alias("header_row"))
-    return grid.select(*SHEET).distinct().join(picked, list(SHEET), "left").select(*SHEET, F.coalesce("header_row", F.lit(0)).alias("header_row"))
+    sheets = rows.groupBy(*SHEET).agg(F.array_sort(F.collect_list(measured)).alias("rows"))
+    plus = lambda a, b, sign: F.zip_with(a, b, lambda x, y: F.coalesce(x, F.lit(0)) + sign * F.coalesce(y, F.lit(0)))
+    # A bound value is computed once, however often its function reads it.
+    bound = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
+
+    def scored(state, i):
+        row, below = F.get(F.col("rows"), i), F.least(F.size("rows") - 1 - i, F.lit(ahead))
+        least_filled = F.when(below <= 2, 1).otherwise(2)
+        hits = F.zip_with(row["mask"], state["filled"], lambda a, k: F.coalesce((a == 1) & (k >= least_filled), F.lit(False)))
+        counts = F.struct(F.size(F.filter(state["filled"], lambda k: k >= least_filled)).alias("used"), F.size(F.filter(hits, lambda x: x)).alias("both"), row["n"].alias("n"), row["textual"].alias("textual"), row["distinct"].alias("distinct"), row["short"].alias("short"), row["row_no"].alias("row_no"))
+
+        def score(c):
+            n = c["n"]
+            value = (c["both"] / c["used"]) * 0.45 + (c["textual"] / n) * 0.20 + (c["distinct"] / n) * 0.15 + (c["short"] / n) * 0.10 + (1 - (n - c["both"]) / n) * 0.10
+            return F.when(c["used"] > 0, F.struct(value.alias("score"), c["row_no"].alias("row_no")))
+
+        after = F.coalesce(F.get(F.col("rows"), i + ahead)["mask"], F.array().cast("array<int>"))
+        return F.struct(
+            plus(plus(state["filled"], row["mask"], 1), after, -1).alias("filled"),
+            F.when((i < scan) & (below > 0), F.concat(state["scores"], F.array_compact(F.array(bound(counts, score))))).otherwise(state["scores"]).alias("scores"),
+        )
+
+    start = F.struct(F.array().cast("array<int>").alias("filled"), F.array().cast("array<struct<score:double,row_no:int>>").alias("scores"))
+    upward = F.reverse(F.sequence(F.lit(0), F.size("rows") - 1))
+    found = sheets.withColumn("scores", F.aggregate(upward, start, scored, lambda s: s["scores"]))
+    top = F.array_max(F.transform("scores", lambda s: s["score"]))
+    near = F.array_min(F.transform(F.filter("scores", lambda s: s["score"] >= F.col("top") - slack), lambda s: s["row_no"]))
+    return found.withColumn("top", top).select(*SHEET, F.when(F.col("top") >= least, near).otherwise(F.get("rows", F.lit(0))["row_no"]).alias("header_row"))
 
 
 def first_filled(grid: DataFrame) -> DataFrame:

@@ -27,20 +27,32 @@ def pick_by_priority(df: DataFrame, key: list[str], priority: Column, tie: list[
     return df.groupBy(*key).agg(F.min_by(row, F.struct(priority.alias("p"), *tie)).alias("row")).select("row.*")
 
 
-def fill_from_donor(target: DataFrame, donor: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """Blank columns of target filled from the donor row that matches on the first key, else the next.
+def fill_from_donor(target: DataFrame, donor: DataFrame, keys: list[str], columns: list[str], order: list[str] | None = None, override: tuple[str, str, str] | None = None) -> DataFrame:
+    """Blank columns of target filled from the donor row that matches on the first key, else the next; `filled_from` names the
+    key or is null. Of donor rows with one key the first by `order` counts (else by their values), so no target row is
+    repeated.
 
-    Donor keys must be unique among non-null values (see pick_by_priority). `filled_from` names the key or is null.
+    override = (value, source, word): value and source go together, and where the donor's source holds the word, the
+    target's doesn't and the donor has another value, the donor's value stands though the target has one.
     """
+    more = [override[1]] if override and override[1] not in columns else []
     out, source = target, F.lit(None).cast("string")
     for i, key in enumerate(keys):
-        side = donor.filter(F.col(key).isNotNull()).select(F.col(key).alias(f"__k{i}"), *[F.col(c).alias(f"__{c}{i}") for c in columns], F.lit(True).alias(f"__hit{i}"))
+        named = donor.filter(~tx.is_blank(F.col(key).cast("string")))
+        side = pick_by_priority(named, [key], F.lit(0), order or [*columns, *more]).select(F.col(key).alias(f"__k{i}"), *[F.col(c).alias(f"__{c}{i}") for c in [*columns, *more]], F.lit(True).alias(f"__hit{i}"))
         out = out.join(side, F.col(key) == F.col(f"__k{i}"), "left")
     for i, key in reversed(list(enumerate(keys))):
         source = F.when(F.col(f"__hit{i}"), key).otherwise(source)
-    pick = {c: F.coalesce(*[F.when(F.col("filled_from") == key, F.col(f"__{c}{i}")) for i, key in enumerate(keys)]) for c in columns}
+    pick = {c: F.coalesce(*[F.when(F.col("filled_from") == key, F.col(f"__{c}{i}")) for i, key in enumerate(keys)]) for c in [*columns, *more]}
     out = out.withColumn("filled_from", source)
-    return out.select(*[F.when(tx.is_blank(c), pick[c]).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in target.columns], "filled_from")
+    new = {c: F.when(tx.is_blank(c), pick[c]).otherwise(F.col(c)) for c in columns}
+    if override:
+        value, origin, word = override
+        borrowed = tx.is_blank(value) & ~tx.is_blank(pick[value])
+        better = ~tx.is_blank(pick[value]) & F.coalesce(pick[origin].contains(word), F.lit(False)) & ~F.coalesce(F.col(origin).contains(word), F.lit(False)) & (pick[value] != F.col(value))
+        new[value] = F.when(better, pick[value]).otherwise(new[value])
+        new[origin] = F.when(better | borrowed, pick[origin]).otherwise(F.col(origin))
+    return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in target.columns], "filled_from")
 
 
 def conditional_update(target: DataFrame, source: DataFrame, key: str, columns: list[str], when: str = "populated") -> DataFrame:

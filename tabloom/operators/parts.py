@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabloom.functions import text as tx
 
@@ -30,30 +35,43 @@ def fixed_parts(df: DataFrame, order: list[str], size: int) -> DataFrame:
     return kept.withColumn("part", part).withColumn("parts", F.lit(-(-ahead // size))).drop("__p", "__i")
 
 
-def plan_parts(sizes: list[int], limit: int) -> list[int]:
-    """Part (from 0) of each block, in order, never splitting one: the fewest parts that both bounds allow, levelled.
+def whole_blocks(blocks: DataFrame, order: list[str], rows: str, limit: int) -> DataFrame:
+    """blocks with chunk (from 1), first (row of the block, from 0), n (rows of the chunk) and part (from 1).
 
-    sizes is metadata, one number per source file. The number of parts is the larger of ceil(total / limit) and what
-    greedy filling needs; the least capacity that still fits that number is found by bisection.
-    """
+    No part holds more than `limit` rows and no block is broken, but for blocks over the limit, which are chunks of
+    `limit` rows first. Of the plans with the fewest parts it is the one whose largest part is least.
 
-    def fill(capacity: int) -> list[int]:
-        out, part, load = [], 0, 0
-        for n in sizes:
-            if load and load + n > capacity:
-                part, load = part + 1, 0
-            out.append(part)
-            load += n
-        return out
-
-    if not sizes:
-        return []
-    parts = max(-(-sum(sizes) // limit), fill(limit)[-1] + 1)
-    low, high = max(max(sizes), -(-sum(sizes) // parts)), max(limit, max(sizes))
-    while low < high:
-        middle = (low + high) // 2
-        low, high = (low, middle) if fill(middle)[-1] < parts else (middle + 1, high)
-    return fill(low)
+    The plan depends on all chunks in order, so it is made in one task from one row per block (a source file), by prefix
+    sums: a part that starts at a chunk ends at the last chunk whose prefix sum is within the capacity, found by search.
+    """
+    n = F.col(rows)
+    pieces = F.when(n > 0, F.ceil(n / F.lit(limit))).otherwise(1).cast("int")
+    chunked = blocks.withColumn("chunk", F.explode(F.sequence(F.lit(1), pieces)))
+    first = ((F.col("chunk") - 1) * F.lit(limit)).cast("long")
+    chunked = chunked.withColumn("first", first).withColumn("n", F.least(n - first, F.lit(limit)).cast("long"))
+    schema = T.StructType([*chunked.schema.fields, T.StructField("part", T.IntegerType())])
+    by = [(c, "ascending") for c in [*order, "chunk"]]
+
+    def planned(table: pa.Table) -> pa.Table:
+        table = table.sort_by(by)
+        ends = np.cumsum(table.column("n").to_numpy())
+
+        def starts(capacity: int) -> list[int]:
+            found = [0]
+            while True:
+                ahead = ends[found[-1] - 1] if found[-1] else 0
+                following = max(int(np.searchsorted(ends, ahead + capacity, "right")), found[-1] + 1)
+                if following >= len(ends):
+                    return found
+                found.append(following)
+
+        fewest = len(starts(limit))
+        low = int(table.column("n").to_numpy().max(initial=1))
+        capacity = low + bisect_left(range(low, limit), True, key=lambda c: len(starts(c)) <= fewest)
+        part = np.searchsorted(starts(capacity), np.arange(len(ends)), "right")
+        return table.append_column("part", pa.array(part, pa.int32()))
+
+    return chunked.withColumn("__all", F.lit(0)).groupBy("__all").applyInArrow(lambda table: planned(table.drop_columns(["__all"])), schema)
 
 
 def group_files(df: DataFrame, key: str) -> DataFrame:

@@ -41,8 +41,18 @@ def combined(spark: SparkSession, folder: str, key: tuple[str, ...] = KEY) -> tu
 
 
 def merged(spark: SparkSession, folder: str, expected: list[str]) -> DataFrame:
-    """As-is append of all rows, blank ones too, as text padded to the expected width."""
-    cells = sheet_cells(spark, folder).filter("error is null and row_no is not null")
-    n = len(expected)
-    padded = F.slice(F.concat(F.transform("cells", lambda c: F.coalesce(c, F.lit(""))), F.array_repeat(F.lit(""), n)), F.lit(1), F.lit(n))
-    return cells.select("file", "sheet", "row_no", *[F.get(padded, F.lit(i)).alias(c) for i, c in enumerate(expected)])
+    """As-is append of all rows, blank ones too, as text. A row has as many columns as the widest row of all files, and the
+    expected ones at least; those beyond are named Extra_<number>, so no cell is lost. Files that can't be read are in
+    the report (see `sheet_report`)."""
+    cells = stored(sheet_cells(spark, folder)).filter("error is null and row_no is not null")
+    # One number reaches the driver.
+    width = max(len(expected), cells.agg(F.max(F.size("cells"))).first()[0] or 0)
+    names = [*expected, *[f"Extra_{i}" for i in range(len(expected) + 1, width + 1)]]
+    return cells.select("file", "sheet", "row_no", *[F.coalesce(F.get("cells", F.lit(i)), F.lit("")).alias(c) for i, c in enumerate(names)])
+
+
+def sizes(cells: DataFrame) -> DataFrame:
+    """file, sheet, declared (rows and columns that the sheet says it has, null if it doesn't), rows, columns, and width, the
+    widest of all sheets."""
+    per = cells.filter("error is null").groupBy("file", "sheet").agg(F.max("declared").alias("declared"), F.coalesce(F.max("row_no"), F.lit(0)).alias("rows"), F.coalesce(F.max(F.size("cells")), F.lit(0)).alias("columns"))
+    return per.crossJoin(F.broadcast(per.agg(F.max("columns").alias("width"))))

@@ -58,9 +58,11 @@ h AS (SELECT source, line_no, doc_id, {', '.join(f"len(regexp_extract_all(line,
 SELECT source, count(DISTINCT CASE WHEN {' + '.join(SHAPES)} > 0 THEN doc_id END) AS n_docs, {', '.join(f'sum({k})::BIGINT AS {k}' for k in SHAPES)},
 count(*) AS n_lines, sum({' + '.join(SHAPES)})::BIGINT AS n_hits FROM h GROUP BY source""")
 def pii_shape_hits_by_source(spark, sf_dir):
-    hits = _lines(spark, sf_dir).select("source", "doc_id", *[F.regexp_count("line", F.lit(p)).cast("long").alias(k) for k, p in SHAPES.items()])
+    # No shape crosses a line end, so whole texts are counted, one row a document; ^ and $ are ends of lines.
+    docs = _t(spark, sf_dir, "documents").filter("text is not null")
+    hits = docs.select("source", (F.length("text") - F.length(F.translate("text", "\n", "")) + 1).alias("lines"), *[F.regexp_count("text", F.lit(f"(?m){p}")).cast("long").alias(k) for k, p in SHAPES.items()])
     total = sum((F.col(k) for k in SHAPES), F.lit(0).cast("long"))
-    return hits.groupBy("source").agg(F.countDistinct(F.when(total > 0, F.col("doc_id"))).alias("n_docs"), *[F.sum(k).alias(k) for k in SHAPES], F.count("*").alias("n_lines"), F.sum(total).alias("n_hits"))
+    return hits.groupBy("source").agg(F.count_if(total > 0).alias("n_docs"), *[F.sum(k).alias(k) for k in SHAPES], F.sum("lines").cast("long").alias("n_lines"), F.sum(total).alias("n_hits"))
 
 
 @query("SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '[0-9]', '#', 'g'), '[A-Z]', 'X', 'g'), '[a-z]', 'x', 'g')) AS masked FROM documents")
@@ -90,13 +92,14 @@ def header_key_variants(spark, sf_dir):
     return names.select("name", tx.key_words("name").alias("a"), tx.key_compact("name").alias("b"), tx.key_snake("name").alias("c"), tx.key_squeezed("name").alias("d"), tx.key_trimmed("name").alias("e"), tx.key_flagged("name", True).alias("f"))
 
 
-_HEADERS = ["Per Num", "Pat Name", "Enc Num", "Enc Dt", "Payer Name", "Pt.Name", "Servc Dt", "DATE OF SERVICE", "Encounter Date", "Person Number", "Location", "Per Nbr", "Encounter"]
-_CANONICAL = [("Per Num", "Person Number"), ("Pat Name", "Patient Name"), ("Enc Num", "Encounter Number"), ("Enc Dt", "Date of Service"), ("Payer Name", None), ("Pt.Name", "Patient Name"), ("Servc Dt", "Date of Service"), ("DATE OF SERVICE", "Date of Service"), ("Encounter Date", "Date of Service"), ("Person Number", "Person Number"), ("Location", None), ("Per Nbr", "Person Number"), ("Encounter", "Encounter Number")]
+#: Headers that no list of spellings holds, with the canonical name that their words give.
+_OTHER_HEADERS = [("Payer Name", None), ("Location", None), ("Plan Encounter Date", "Date of Service"), ("DOS (dos)", "Date of Service"), ("Prsn Nmbr", "Person Number"), ("Pts. Nme", "Patient Name"), ("Encntrs Nos", "Encounter Number"), ("Person", None), ("Svc Dte of visit", "Date of Service"), ("dos of the claim", None), ("", None), ("Name of Patient", "Patient Name")]
+_CANONICAL = [(x, name) for name, spellings in tx.HEADER_ALIASES.items() for x in (name, *spellings)] + _OTHER_HEADERS
 
 
 @query("SELECT * FROM (VALUES " + ", ".join(f"('{h}', {repr(c) if c else 'NULL'})" for h, c in _CANONICAL) + ") v(raw, canonical)")
 def canonical_headers(spark, sf_dir):
-    return spark.createDataFrame([(h,) for h in _HEADERS], "raw string").select("raw", tx.canonical_header("raw").alias("canonical"))
+    return spark.createDataFrame([(h,) for h, _ in _CANONICAL], "raw string").select("raw", tx.canonical_header("raw").alias("canonical"))
 
 
 # Unions ------------------------------------------------------------------------------------------------------------
@@ -157,11 +160,13 @@ def dedupe_key_hierarchy(spark, sf_dir):
     return dedupe.keep_first(o, dedupe.key_ladder(("ssn",), ("name", "addr")), ["o_orderkey"]).select("o_orderkey")
 
 
-@query("""WITH p AS (SELECT o_custkey, o_orderpriority AS v, min(o_orderkey) AS ord FROM orders GROUP BY 1, 2)
-SELECT o_custkey::VARCHAR AS name, string_agg(v, ':' ORDER BY ord) AS "values" FROM p GROUP BY o_custkey""")
+@query("""WITH o AS (SELECT o_custkey::VARCHAR AS name, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE o_orderpriority END AS code, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderstatus END AS number, o_orderkey FROM orders),
+p AS (SELECT name, code, number, min(o_orderkey) AS ord FROM o WHERE code <> '' OR number <> '' GROUP BY 1, 2, 3)
+SELECT name, string_agg(code, ':' ORDER BY ord) AS code, string_agg(number, ':' ORDER BY ord) AS number FROM p GROUP BY name""")
 def collapse_ordered_pairs(spark, sf_dir):
-    o = _t(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("name"), "o_orderpriority", "o_orderkey")
-    return dedupe.collapse(o, "name", "o_orderpriority", "o_orderkey").select("name", "values")
+    key = F.col("o_orderkey")
+    o = _t(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("name"), F.when(key % 5 != 0, F.col("o_orderpriority")).alias("code"), F.when(key % 3 == 0, " ").otherwise(F.col("o_orderstatus")).alias("number"), "o_orderkey")
+    return dedupe.collapse(o, "name", ["code", "number"], ["o_orderkey"])
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_partkey, l_suppkey) = 1")
@@ -184,11 +189,19 @@ def part_numbers(spark, sf_dir):
     return parts.fixed_parts(_t(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"], 1000).withColumn("parts", F.col("parts").cast("int"))
 
 
-@query()
+@query("""WITH RECURSIVE s AS (SELECT CASE WHEN l_suppkey % 7 = 0 THEN 0 ELSE l_suppkey END AS block, count(*) AS rows FROM lineitem GROUP BY 1),
+c AS (SELECT block, rows, unnest(range(1, (rows + 4999) // 5000 + 1)) AS chunk FROM s),
+o AS (SELECT block, rows, chunk, (chunk - 1) * 5000 AS first, least(rows - (chunk - 1) * 5000, 5000) AS n, row_number() OVER (ORDER BY block, chunk) AS k FROM c),
+caps AS (SELECT unnest(range((SELECT max(n) FROM o), 5001)) AS cap),
+f AS (SELECT cap, k, n AS load, 1 AS part FROM caps JOIN o ON k = 1
+UNION ALL SELECT cap, o.k, CASE WHEN load + n > cap THEN n ELSE load + n END, CASE WHEN load + n > cap THEN part + 1 ELSE part END FROM f JOIN o ON o.k = f.k + 1),
+t AS (SELECT cap, max(part) AS parts FROM f GROUP BY cap),
+best AS (SELECT min(cap) AS cap FROM t WHERE parts <= (SELECT parts FROM t WHERE cap = 5000))
+SELECT block, rows, chunk::INT AS chunk, first, n, part::INT AS part FROM f JOIN best USING (cap) JOIN o USING (k)""")
 def part_plan_blocks(spark, sf_dir):
-    sizes = _t(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n")).orderBy("l_suppkey").collect()
-    plan = parts.plan_parts([r.n for r in sizes], 5000)
-    return spark.createDataFrame([(r.l_suppkey, r.n, p) for r, p in zip(sizes, plan)], "l_suppkey long, n long, part int")
+    key = F.when(F.col("l_suppkey") % 7 == 0, 0).otherwise(F.col("l_suppkey")).cast("long")
+    blocks = _t(spark, sf_dir, "lineitem").groupBy(key.alias("block")).agg(F.count("*").alias("rows"))
+    return parts.whole_blocks(blocks, ["block"], "rows", 5000)
 
 
 @query("""WITH n AS (SELECT doc_id, n_chars AS pages FROM documents WHERE n_chars > 0), c AS (SELECT doc_id, pages, unnest(range(0, ((pages + 99) // 100)::BIGINT)) AS i FROM n)
@@ -424,7 +437,7 @@ def text_verdict(spark, sf_dir):
 
 
 @query(r"""SELECT doc_id, CASE WHEN regexp_matches(text, '(^|[^0-9])[0-9]{3}-[0-9]{2}-[0-9]{4}($|[^0-9])') THEN 'SSN' WHEN regexp_matches(text, '(^|[^0-9])[0-9]{2}-[0-9]{7}($|[^0-9])') THEN 'EIN' END AS kind FROM
-(SELECT doc_id, 'no ' || (100 + doc_id % 900) || CASE WHEN doc_id % 3 = 0 THEN '-12-' WHEN doc_id % 3 = 1 THEN '-' ELSE ' ' END || (1000 + doc_id) || '.' || (10 + doc_id % 80) || '-' || (1000000 + doc_id) AS text FROM documents WHERE doc_id < 9000)""")
+(SELECT doc_id, 'no ' || (100 + doc_id % 900) || CASE WHEN doc_id % 3 = 0 THEN '-12-' WHEN doc_id % 3 = 1 THEN '-' ELSE ' ' END || (1000 + doc_id % 9000) || '.' || (10 + doc_id % 80) || '-' || (1000000 + doc_id % 9000000) AS text FROM documents)""")
 def tin_type_ladder(spark, sf_dir):
     i = F.col("doc_id")
     text = F.concat(F.lit("no "), (100 + i % 900).cast("string"), F.when(i % 3 == 0, "-12-").when(i % 3 == 1, "-").otherwise(" "), (1000 + i % 9000).cast("string"), F.lit("."), (10 + i % 80).cast("string"), F.lit("-"), (1000000 + i % 9000000).cast("string"))
@@ -458,7 +471,20 @@ def header_row_first_filled(spark, sf_dir):
     return headers.first_filled(_grid(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {_GRID_SQL}, v AS (SELECT file, sheet, row_no, cells, list_filter(list_transform(cells, lambda c: trim(c, chr(32) || chr(9) || chr(11) || chr(12) || chr(13))), lambda c: c <> '') AS x FROM g),
+f AS (SELECT *, row_number() OVER (PARTITION BY file, sheet ORDER BY row_no) AS i, count(*) OVER (PARTITION BY file, sheet) AS total FROM v WHERE len(x) > 0),
+p AS (SELECT file, sheet, i, unnest(cells) AS c, generate_subscripts(cells, 1) AS pos FROM f WHERE i <= 80),
+q AS (SELECT file, sheet, i, pos FROM p WHERE trim(c, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) <> ''),
+h AS (SELECT file, sheet, i, row_no, x, least(total - i, 40) AS below FROM f WHERE i <= 40 AND total > i),
+d AS (SELECT h.file, h.sheet, h.i, q.pos FROM h JOIN q ON q.file = h.file AND q.sheet = h.sheet AND q.i > h.i AND q.i <= h.i + 40 GROUP BY h.file, h.sheet, h.i, h.below, q.pos HAVING count(*) >= CASE WHEN h.below <= 2 THEN 1 ELSE 2 END),
+u AS (SELECT file, sheet, i, count(*) AS used FROM d GROUP BY 1, 2, 3),
+b AS (SELECT file, sheet, i, count(*) AS hit FROM d JOIN q USING (file, sheet, i, pos) GROUP BY 1, 2, 3),
+s AS (SELECT file, sheet, i, row_no, (coalesce(hit, 0)::DOUBLE / used) * 0.45 + (len(list_filter(x, lambda c: NOT regexp_matches(replace(c, ',', ''), '{headers.NUMERIC}')))::DOUBLE / len(x)) * 0.20
++ (len(list_distinct(list_transform(x, lambda c: lower(c))))::DOUBLE / len(x)) * 0.15 + (len(list_filter(x, lambda c: length(c) <= 60))::DOUBLE / len(x)) * 0.10 + (1 - (len(x) - coalesce(hit, 0))::DOUBLE / len(x)) * 0.10 AS score
+FROM h JOIN u USING (file, sheet, i) LEFT JOIN b USING (file, sheet, i)),
+t AS (SELECT file, sheet, max(score) AS top FROM s GROUP BY 1, 2),
+e AS (SELECT file, sheet, min(row_no) AS row_no FROM s JOIN t USING (file, sheet) WHERE top >= 0.55 AND score >= top - 0.06 GROUP BY 1, 2)
+SELECT f.file, f.sheet, coalesce(e.row_no, f.row_no)::INT AS header_row FROM f LEFT JOIN e USING (file, sheet) WHERE f.i = 1""")
 def header_row_score(spark, sf_dir):
     return headers.by_score(_grid(spark, sf_dir))
 
@@ -475,11 +501,15 @@ def rows_per_sheet(spark, sf_dir):
     return _grid(spark, sf_dir).filter(headers.filled("cells") > 0).groupBy("file", "sheet").agg(F.count("*").alias("n_rows"))
 
 
-@query("""WITH t AS (SELECT page_id::VARCHAR AS file, length(html)::VARCHAR AS n FROM pages)
-SELECT file, 'Table 1' AS sheet, 1 AS row_no, 'id|size|' AS row FROM t UNION ALL SELECT file, 'Table 1', 2, file || '|' || n || '|chars' FROM t""")
+@query(r"""WITH t AS (SELECT page_id::VARCHAR AS file, unnest(regexp_extract_all(html, '(?s)<ul>(.*?)</ul>', 1)) AS t, generate_subscripts(regexp_extract_all(html, '(?s)<ul>(.*?)</ul>', 1), 1) AS i FROM pages)
+SELECT file, 'Table ' || i AS sheet, 1 AS row_no, array_to_string(list_transform(regexp_extract_all(t, '(?s)<li>(.*?)</li>', 1),
+  lambda c: trim(regexp_replace(replace(replace(replace(replace(regexp_replace(c, '<[^>]*>', '', 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[ \t\r\n]+', ' ', 'g'))), '|') AS row FROM t""")
 def html_cells(spark, sf_dir):
-    table = F.concat(F.lit("<p>x</p><table><tr><th>id</th><th colspan=2>size</th></tr><tr><td>"), F.col("page_id").cast("string"), F.lit("</td><td> "), F.length("html").cast("string"), F.lit("&nbsp;</td><td>chars</td></tr></table>"))
-    pages = _t(spark, sf_dir, "pages").select("page_id", table.alias("html"))
+    # The pages hold no tables, but lists: whole pages are parsed, with a list as a table of one row.
+    html = F.col("html")
+    for a, b in (("<ul>", "<table><tr>"), ("</ul>", "</tr></table>"), ("<li>", "<td>"), ("</li>", "</td>")):
+        html = F.replace(html, F.lit(a), F.lit(b))
+    pages = _t(spark, sf_dir, "pages").select("page_id", html.alias("html"))
     return sheets.html_cells(pages, "page_id", "html").select("file", "sheet", "row_no", F.array_join("cells", "|").alias("row"))
 
 

@@ -1,7 +1,7 @@
-"""Sheets of one file's bytes, with the standard library only: OOXML, SpreadsheetML 2003, HTML tables, delimited text.
+"""Sheets of one file's bytes, with the standard library only: OOXML, OpenDocument, SpreadsheetML 2003, HTML tables, delimited text.
 
 A sheet is (name, visibility, flags, rows); rows are lists of text or None, numbered from 1, gaps included. Formats that
-need a library (BIFF .xls, .xlsb, .ods) can be added to READERS by name; without one they raise Unsupported, which
+need a library (BIFF .xls, .xlsb) can be added to READERS by name; without one they raise Unsupported, which
 callers turn into a row of the report.
 """
 
@@ -32,6 +32,7 @@ class Sheet(NamedTuple):
     has_chart: bool = False
     is_chartsheet: bool = False
     protected: bool = False
+    declared: str | None = None
 
 
 def sniff(data: bytes) -> str:
@@ -169,8 +170,10 @@ def ooxml(data: bytes) -> Iterator[Sheet]:
         near = package.related(part)
         drawn = [k for kind_, p in near.values() if kind_ == "drawing" for k, _ in package.related(p).values()]
         is_chart = kind == "chartsheet"
-        protected = part in package.names and b"<sheetProtection" in package.zip.read(part)
-        yield Sheet(sheet.get("name"), sheet.get("state", "visible"), [] if is_chart else package.rows(part, base_1904), any(k == "pivotTable" for k, _ in near.values()), "chart" in drawn, is_chart, protected)
+        raw = package.zip.read(part) if part in package.names else b""
+        protected = b"<sheetProtection" in raw
+        size = re.search(rb'<dimension[^>]*ref="([^"]*)"', raw)
+        yield Sheet(sheet.get("name"), sheet.get("state", "visible"), [] if is_chart else package.rows(part, base_1904), any(k == "pivotTable" for k, _ in near.values()), "chart" in drawn, is_chart, protected, size[1].decode() if size else None)
 
 
 def spreadsheetml(data: bytes) -> Iterator[Sheet]:
@@ -285,12 +288,64 @@ def delimited(data: bytes) -> Iterator[Sheet]:
     yield Sheet("", "visible", [(i, list(row)) for i, row in enumerate(reader, 1)])
 
 
-READERS: dict[str, Callable[[bytes], Iterator[Sheet]]] = {"ooxml": ooxml, "spreadsheetml": spreadsheetml, "html": html_tables, "text": delimited, "empty": lambda data: iter(())}
+def ods(data: bytes) -> Iterator[Sheet]:
+    """Tables of an OpenDocument spreadsheet. Repeated cells and rows are written out, but for blank ones at the end."""
+    get = lambda e, name: next((v for k, v in e.attrib.items() if _local(k) == name), None)
+    root = ET.fromstring(zipfile.ZipFile(io.BytesIO(data)).read("content.xml"))
+    hidden = {get(s, "name") for s in root.iter() if _local(s.tag) == "style" for p in s if get(p, "display") == "false" and _local(p.tag) == "table-properties"}
+
+    def value(c: ET.Element) -> str | None:
+        kind, lines = get(c, "value-type"), ["".join(p.itertext()) for p in c if _local(p.tag) == "p"]
+        if kind in ("float", "currency", "percentage"):
+            return number_text(float(get(c, "value")))
+        if kind == "date":
+            return (get(c, "date-value") or "").removesuffix("T00:00:00").replace("T", " ")
+        if kind == "boolean":
+            return (get(c, "boolean-value") or "").upper()
+        return "\n".join(lines) if lines else None
+
+    for table in (t for t in root.iter() if _local(t.tag) == "table"):
+        rows, number = [], 0
+        for row in (r for r in table.iter() if _local(r.tag) == "table-row"):
+            cells: list[str | None] = []
+            blank = 0
+            for c in (c for c in row if _local(c.tag) in ("table-cell", "covered-table-cell")):
+                times, text = int(get(c, "number-columns-repeated") or 1), value(c)
+                if text is None:
+                    blank += times
+                else:
+                    cells += [None] * blank + [text] * times
+                    blank = 0
+            times = int(get(row, "number-rows-repeated") or 1)
+            if cells:
+                rows += [(number + i, list(cells)) for i in range(1, times + 1)]
+            number += times
+        yield Sheet(get(table, "name") or "", "hidden" if get(table, "style-name") in hidden else "visible", rows, protected=get(table, "protected") == "true")
+
+
+READERS: dict[str, Callable[[bytes], Iterator[Sheet]]] = {"ooxml": ooxml, "ods": ods, "spreadsheetml": spreadsheetml, "html": html_tables, "text": delimited, "empty": lambda data: iter(())}
+
+
+#: What a file may be if the reader of its own kind can't read it.
+FALLBACKS = {"ooxml": ("ods",), "ods": ("ooxml",), "spreadsheetml": ("html", "text"), "html": ("spreadsheetml", "text"), "biff": ("html", "text"), "unknown": ("text",)}
 
 
 def sheets(data: bytes) -> Iterator[Sheet]:
-    """All sheets of a file, whatever its name says."""
+    """All sheets of a file, whatever its name says, by the first reader that can read it; else one error that names what
+    each reader said."""
     kind = sniff(data)
-    if kind not in READERS:
-        raise Unsupported(f"{kind} files need a reader that isn't installed")
-    yield from READERS[kind](data)
+    said = []
+    for name in (kind, *FALLBACKS.get(kind, ())):
+        if name not in READERS:
+            said.append(f"{name} files need a reader that isn't installed")
+            continue
+        try:
+            found = list(READERS[name](data))
+        except Exception as e:  # the next reader may do
+            said.append(f"{name}: {type(e).__name__}: {e}")
+            continue
+        if found or name == kind:
+            yield from found
+            return
+        said.append(f"{name}: no table")
+    raise Unsupported(" | ".join(said))

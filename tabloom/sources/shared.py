@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """The same rows, computed once and kept in spark.checkpoint.dir (a folder of our own where it is unset)."""
+    """The same rows, computed once and kept in spark.checkpoint.dir. Where it is unset, a folder of our own on a single
+    machine, and an error on a cluster, whose executors couldn't see it."""
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tabloom-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="tabloom-"))
     return df.checkpoint()

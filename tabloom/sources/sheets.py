@@ -7,6 +7,8 @@ can't be read gives one row with `error` instead of failing the job. The same ro
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,10 +18,12 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputP
 
 from tabloom.sources import decode
 
-SCHEMA = "file string, sheet string, visibility string, row_no int, cells array<string>, has_pivot boolean, has_chart boolean, is_chartsheet boolean, protected boolean, error string"
+SCHEMA = "file string, sheet string, visibility string, row_no int, cells array<string>, has_pivot boolean, has_chart boolean, is_chartsheet boolean, protected boolean, declared string, error string"
 _NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
-_TYPES = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.bool_(), pa.bool_(), pa.bool_(), pa.bool_(), pa.string()]
-EXTENSIONS = "{xlsx,xlsm,xltx,xltm,xls,xml,csv,tsv,txt,htm,html,XLSX,XLS,CSV}"
+_TYPES = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.bool_(), pa.bool_(), pa.bool_(), pa.bool_(), pa.string(), pa.string()]
+EXTENSIONS = ("xlsx", "xlsm", "xltx", "xltm", "xls", "xlsb", "ods", "xml", "csv", "tsv", "txt", "htm", "html")
+#: The same in any case, for Hadoop's globs.
+_PATTERN = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in x) for x in EXTENSIONS) + "}"
 #: Rows of a batch sent back from Python.
 BATCH = 10_000
 
@@ -27,13 +31,13 @@ BATCH = 10_000
 def file_rows(name: str, data: bytes) -> Iterator[tuple]:
     try:
         for s in decode.sheets(data):
-            flags = (s.has_pivot, s.has_chart, s.is_chartsheet, s.protected)
+            flags = (s.has_pivot, s.has_chart, s.is_chartsheet, s.protected, s.declared)
             if not s.rows:
                 yield (name, s.name, s.visibility, None, None, *flags, None)
             for number, cells in s.rows:
                 yield (name, s.name, s.visibility, number, cells, *flags, None)
     except Exception as e:  # one bad file is a row of the report, not a failed job
-        yield (name, None, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}"[:500])
+        yield (name, None, None, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}"[:500])
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -55,12 +59,21 @@ def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def files(spark: SparkSession, folder: str, recursive: bool = True, pattern: str | None = None, own_outputs: str = "") -> DataFrame:
     """path, name and content of input files; lock files (~$), dotfiles and own outputs are left out."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", pattern or f"*.{EXTENSIONS}").load(folder)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", pattern or _PATTERN).load(folder)
     name = F.url_decode(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\+", "%2B"))
     named = found.select("path", name.alias("name"), "length", "content").filter(~F.col("name").startswith("~$") & ~F.col("name").startswith("."))
     return named.filter(~F.lower("name").contains(own_outputs.lower())) if own_outputs else named
 
 
+def skipped_files(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
+    """name and reason of the files below a folder that `files` leaves out."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder).select(F.element_at(F.split("path", "/"), -1).alias("raw"))
+    name = F.url_decode(F.regexp_replace("raw", r"\+", "%2B"))
+    suffix = F.lower(F.regexp_extract("name", r"\.([^.]*)$", 1))
+    reason = F.when(F.col("name").startswith("~$"), "a lock file").when(F.col("name").startswith("."), "a hidden file").when(~suffix.isin(*EXTENSIONS), "no table format")
+    return found.select(name.alias("name")).withColumn("reason", reason).filter("reason is not null")
+
+
 def sheet_cells(spark: SparkSession, folder: str, **options) -> DataFrame:
     """Rows of all sheets of all files below a folder."""
     return files(spark, folder, **options).select("name", "content").mapInArrow(_decoded, SCHEMA)
@@ -76,10 +89,20 @@ def _html(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for name, data in zip(batch.column(0), batch.column(1)):
             for s in decode.html_tables(data.as_buffer().to_pybytes()):
-                rows += [(name.as_py(), s.name, s.visibility, n, cells, False, False, False, False, None) for n, cells in s.rows]
+                rows += [(name.as_py(), s.name, s.visibility, n, cells, False, False, False, False, None, None) for n, cells in s.rows]
         yield _batch(rows)
 
 
+def _store(uri: str):
+    """pyarrow's file system and path of a folder, Hadoop's names of stores included."""
+    from pyarrow import fs
+
+    scheme, rest = re.match(r"(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(.*)", uri, re.DOTALL).groups()
+    if scheme in (None, "file"):
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/") if scheme or rest.startswith("/") else os.path.abspath(rest)
+    return fs.FileSystem.from_uri(f"{ {'s3a': 's3', 's3n': 's3'}.get(scheme, scheme)}:{rest}")
+
+
 class _File(InputPartition):
     def __init__(self, path: str):
         self.path = path
@@ -99,19 +122,23 @@ class SheetReader(DataSourceReader):
     def partitions(self):
         from pyarrow import fs
 
-        store, root = fs.FileSystem.from_uri(self.folder if ":/" in self.folder else f"file://{self.folder}")
+        store, root = _store(self.folder)
         found = store.get_file_info(fs.FileSelector(root, recursive=True))
-        return [_File(f.path) for f in sorted(found, key=lambda f: f.path.lower()) if f.is_file and not f.base_name.startswith(("~$", ".")) and f.extension.lower() in EXTENSIONS[1:-1].lower().split(",")]
+        return [_File(f.path) for f in sorted(found, key=lambda f: f.path.lower()) if f.is_file and not f.base_name.startswith(("~$", ".")) and f.extension.lower() in EXTENSIONS]
 
     def read(self, partition):
-        from pyarrow import fs
-
-        store, _ = fs.FileSystem.from_uri(self.folder if ":/" in self.folder else f"file://{self.folder}")
+        store, _ = _store(self.folder)
         with store.open_input_stream(partition.path, compression=None) as f:
             data = f.read()
+        rows: list[tuple] = []
         for row in file_rows(partition.path.rpartition("/")[2], data):
             if all(row[_NAMES.index(k)] == v for k, v in self.wanted.items()):
-                yield row
+                rows.append(row)
+                if len(rows) >= BATCH:
+                    yield _batch(rows)
+                    rows = []
+        if rows:
+            yield _batch(rows)
 
 
 class SheetSource(DataSource):

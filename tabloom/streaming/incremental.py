@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tabloom.operators.extract import joined_record
 from tabloom.sources.sheets import SCHEMA, _decoded
 
 
@@ -33,9 +34,9 @@ def sessions(events: DataFrame, key: str, time: str, gap: str, late: str) -> Dat
     return events.withWatermark(time, late).groupBy(key, F.session_window(time, gap).alias("w")).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def carried(pages: DataFrame, fields: list[str], wait_ms: int | None = None) -> DataFrame:
+def carried(pages: DataFrame, fields: list[str], wait_ms: int | None = None, identity: tuple[str, ...] | None = None) -> DataFrame:
     """Records of pages that arrive in order of page, by file: the open record waits in state for the next page's first
-    one and merges with it if no field has two values. With wait_ms a record without further pages leaves after that
+    one and joins it as in `extract.joined_record`; page is that on which a record ends. With wait_ms a record without further pages leaves after that
     long, and the query runs on; without it the record stays in the state for the next run.
     """
     names = ["file", "page", *fields]
@@ -52,12 +53,9 @@ def carried(pages: DataFrame, fields: list[str], wait_ms: int | None = None) ->
         rows = pd.concat(list(frames)).sort_values("page", kind="stable")
         previous = held["page"] if held else None
         for row in rows[names].to_dict("records"):
-            first = previous is None or row["page"] != previous
-            if held and first and row["page"] == held["page"] + 1 and all(not held[f] or not row[f] or held[f] == row[f] for f in fields):
-                held.update({f: held[f] or row[f] for f in fields}, page=row["page"])
-            else:
-                out += [held] if held else []
-                held = dict(row)
+            joined = joined_record(held, row, previous is None or row["page"] != previous, fields, identity or tuple(fields))
+            out += [held] if joined is None and held else []
+            held = dict(row) if joined is None else joined
             previous = row["page"]
         state.update(tuple(held[n] for n in names))
         if wait_ms:

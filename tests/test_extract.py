@@ -62,6 +62,38 @@ def test_boxed_forms(spark):
     assert (r.ssn, r.name, r.address.street, r.address.city, r.address.zip) == ("123-45-6789", "JOHN A SAMPLE", "456 OAK AVENUE", "SPRINGFIELD", "62704")
 
 
+def test_each_form_has_its_own_number(spark):
+    form = "Employee's social security number\n{}\nEmployee's first name\n{}\n1 Main St\nDover, DE 19901\n\n\n"
+    got = ex.boxed_forms(lined(spark, form.format("111-22-3333", "Ann Rao") + form.format("444-55-6666", "Bob Lee")), "social security number", "first name").orderBy("line_no").collect()
+    assert [(r.ssn, r.name) for r in got] == [("111-22-3333", "Ann Rao"), ("444-55-6666", "Bob Lee")]
+    (r,) = ex.boxed_forms(lined(spark, "social security number\n111-22-3333"), "social security number", "first name").collect()
+    assert (r.ssn, r.name) == ("111-22-3333", "")
+
+
+def test_wage_pages_by_grid_and_list(spark):
+    two = lambda a, b: f"{a:<40}{b}"
+    rows = lambda a, b, m, n: "\n".join([two("social security number", "social security number"), two(a, b), two("first name", "first name"), two(m, n), two("1 Elm St", "2 Oak St"), two("Dover, DE 19901", "Reno, NV 89501")])
+    grid = rows("111-11-1111", "222-22-2222", "Ann Rao", "Bob Lee") + "\n\n\n" + rows("333-33-3333", "444-44-4444", "Cyd Fox", "Dan Poe")
+    lists = "D. SSN  E. EMPLOYEE NAME (FIRST) (M.I.) (LAST NAME)\n555-55-5555      EVE            Q        STONE\n134 133 11\n666-66-6666 Fay Gold\n99 1"
+    got = {(r.page, r.cell, r.ssn, r.name) for r in ex.wage_pages(page(spark, grid, lists), 400.0).collect()}
+    assert got == {(1, "TopLeft", "111-11-1111", "Ann Rao"), (1, "TopRight", "222-22-2222", "Bob Lee"), (1, "BottomLeft", "333-33-3333", "Cyd Fox"), (1, "BottomRight", "444-44-4444", "Dan Poe"), (2, "List", "555-55-5555", "EVE Q STONE"), (2, "List", "666-66-6666", "Fay Gold")}
+
+
+def test_records_over_three_pages_and_two_people(spark):
+    kind = "file string, page int, block int, name string, part_id string, dob string"
+    rows = [("f", 1, 0, "Ann", "", ""), ("f", 2, 0, "", "7", ""), ("f", 3, 0, "", "", "1/1/70"), ("g", 1, 0, "Bob", "8", ""), ("g", 2, 0, "Cyd", "", ""), ("h", 1, 0, "Dan", "9", ""), ("h", 2, 0, "", "", "2/2/80")]
+    got = ex.carried_over_pages(spark.createDataFrame(rows, kind), ["name", "part_id", "dob"], ["page", "block"], ("name", "part_id")).collect()
+    assert {(r.file, r.page, r["name"], r.part_id, r.dob) for r in got} == {("f", 1, "Ann", "7", "1/1/70"), ("g", 1, "Bob", "8", ""), ("g", 2, "Cyd", "", ""), ("h", 1, "Dan", "9", "2/2/80")}
+
+
+def test_donors_fill_once_and_columns_win(spark):
+    kind = "ssn string, sid string, address string, origin string"
+    target = spark.createDataFrame([("1", "", "", ""), ("2", "b", "old", "below"), ("", "c", "x", "column")], kind)
+    donor = spark.createDataFrame([("1", "", "new", "column", 2), ("1", "", "first", "line", 1), ("2", "", "better", "column", 1), ("", "c", "y", "column", 1)], kind + ", n int")
+    got = joins.fill_from_donor(target, donor, ["ssn", "sid"], ["address"], ["n"], ("address", "origin", "column")).collect()
+    assert {(r.ssn, r.address, r.origin, r.filled_from) for r in got} == {("1", "first", "line", "ssn"), ("2", "better", "column", "ssn"), ("", "x", "column", "sid")}
+
+
 def test_panes_part_at_the_gutter(spark):
     words = page(spark, "left words here               right side text\nmore left                     more right")
     got = ex.panes(words, 300.0).groupBy("pane").agg(F.count("*").alias("n")).collect()

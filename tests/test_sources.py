@@ -91,6 +91,37 @@ def test_other_formats():
     assert decode.separator("a;b,c\nd;e\nf;g,h\n") == ";"
 
 
+def test_no_cell_and_no_file_is_lost(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y\n1,2,3,4\n5\n")
+    (tmp_path / "B.TXT").write_text("x,y\n6,7\n")
+    workbook(tmp_path / "C.Xlsx", {"S": [["x", "y"], [8, 9]]})
+    (tmp_path / "d.xlsb").write_bytes(b"PK\x03\x04 not a package")
+    (tmp_path / "e.pdf").write_bytes(b"%PDF")
+    (tmp_path / "~$f.xlsx").write_text("lock")
+    rows = consolidate.merged(spark, str(tmp_path), ["x", "y"])
+    assert rows.columns == ["file", "sheet", "row_no", "x", "y", "Extra_3", "Extra_4"]
+    found = {(r.file, r.row_no): tuple(r)[3:] for r in rows.collect()}
+    assert found["a.csv", 2] == ("1", "2", "3", "4") and found["a.csv", 3] == ("5", "", "", "") and found["B.TXT", 2] == ("6", "7", "", "") and found["C.Xlsx", 2] == ("8", "9", "", "")
+    cells = sheets.sheet_cells(spark, str(tmp_path))
+    assert [r.file for r in cells.filter("error is not null").collect()] == ["d.xlsb"]
+    assert {(r["name"], r.reason) for r in sheets.skipped_files(spark, str(tmp_path)).collect()} >= {("e.pdf", "no table format"), ("~$f.xlsx", "a lock file")}
+    assert {(r.file, r.rows, r.columns, r.width) for r in consolidate.sizes(cells).collect()} == {("a.csv", 3, 4, 4), ("B.TXT", 2, 2, 4), ("C.Xlsx", 2, 2, 4)}
+
+
+def test_open_documents_and_fallbacks(tmp_path):
+    ns = 'xmlns:office="o" xmlns:table="t" xmlns:text="x"'
+    body = '<table:table table:name="S"><table:table-row><table:table-cell office:value-type="string"><text:p>a</text:p></table:table-cell><table:table-cell table:number-columns-repeated="2"/><table:table-cell office:value-type="float" office:value="2.0"><text:p>2</text:p></table:table-cell><table:table-cell table:number-columns-repeated="900"/></table:table-row><table:table-row table:number-rows-repeated="3"/><table:table-row table:number-rows-repeated="2"><table:table-cell office:value-type="date" office:date-value="2024-02-01"/></table:table-row></table:table>'
+    with zipfile.ZipFile(tmp_path / "a.ods", "w") as z:
+        z.writestr("content.xml", f"<office:document {ns}>{body}</office:document>")
+    assert [tuple(s)[:3] for s in decode.sheets((tmp_path / "a.ods").read_bytes())] == [("S", "visible", [(1, ["a", None, None, "2"]), (5, ["2024-02-01"]), (6, ["2024-02-01"])])]
+    broken = b'<?xml version="1.0"?><Workbook xmlns="urn:schemas-microsoft-com:office:spreadsheet"><a><table><tr><td>1</td></tr></table>'
+    assert [s.rows for s in decode.sheets(broken)] == [[(1, ["1"])]]
+    try:
+        list(decode.sheets(b"\xd0\xcf\x11\xe0\x00 nothing"))
+    except decode.Unsupported as e:
+        assert "biff" in str(e) and " | " in str(e)
+
+
 def test_header_rules(spark):
     grid = spark.createDataFrame([("f", "s", i, c) for i, c in enumerate([["Report"], ["EmployeeName", "PeriodStart"], ["", None], ["Employee Name", "Id", "Pay", "Date"], ["Ann", "1", "2", "3"], ["Bob", "4", "5", "6"], ["Cyd", "7", "8", "9"]], 1)], "file string, sheet string, row_no int, cells array<string>")
     assert headers.by_keyword(grid).first().header_row == 4
@@ -108,7 +139,7 @@ def test_realign_and_csv(spark, tmp_path):
     text = max((f.read_bytes().decode() for f in (tmp_path / "o").glob("*.csv")), key=len)
     assert text.splitlines()[0] == '"Emp ID","Name","Amount","Joined","SSN"' and '"007"' in text and "***-**-6789" in text and "\r\n" in text
     assert union.realigned(df, ["X"], "skip") is None and union.mismatch(["b", "a"], ["a", "c"]) == {"missing": ["c"], "extra": ["b"], "moved": ["a"]}
-    assert sinks.schema_match(["a", "X"], ["A", "b"]) == {"map": {"a": "A"}, "unmatched": ["X"], "missing": ["b"]}
+    assert sinks.schema_match(["a", "X"], ["A", "b"]) == {"map": {"a": "A"}, "unmatched": ["X"], "missing": ["b"], "narrow": []}
 
 
 def test_incremental_runs_read_new_files_once(spark, tmp_path):

@@ -1,3 +1,4 @@
+import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -36,7 +37,7 @@ def test_names(spark):
 
 
 def test_headers_and_cells(spark):
-    assert values(spark, tx.canonical_header, "Per Nbr", "Pt.Name", "Enc Num", "Servc Dt", "Payer Name", "Encounter Dt", "Plan Number") == ["Person Number", "Patient Name", "Encounter Number", "Date of Service", None, "Date of Service", None]
+    assert values(spark, tx.canonical_header, "Per Nbr", "Pt.Name", "Enc Num", "Servc Dt", "Payer Name", "Encounter Dt", "Plan Number", "pers num", "pt nm", "encntr num", "enc #", "dos date") == ["Person Number", "Patient Name", "Encounter Number", "Date of Service", None, "Date of Service", None, "Person Number", "Patient Name", "Encounter Number", "Encounter Number", "Date of Service"]
     assert values(spark, tx.safe_file_name, 'a<b>:"c', "x. ", " ", None) == ["a_b___c", "x", "(blank)", "(blank)"]
     assert values(spark, lambda c: tx.text_cell(c, "empty"), " a ", "NaN", None) == ["a", "", ""]
     assert values(spark, tx.normal_value, " 1001.0 ", "ann  alpha") == ["1001", "ANN ALPHA"]
@@ -51,13 +52,29 @@ def test_addresses_and_labels(spark):
     assert values(spark, lambda c: tx.label_value(c, "NAME", ("SSN",)), "NAME: Ann Alpha SSN: 1", "FUND: x\nNAME: Bob", "none") == ["Ann Alpha", "Bob", ""]
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(1, 500), max_size=40), st.integers(50, 600))
-def test_part_plan_keeps_blocks_and_limits(sizes, limit):
-    plan = parts.plan_parts(sizes, limit)
-    assert plan == sorted(plan) and len(plan) == len(sizes)
-    loads = [sum(n for n, p in zip(sizes, plan) if p == q) for q in set(plan)]
-    assert all(x <= max(limit, max(sizes)) for x in loads)
+def test_whole_blocks_against_all_capacities(spark):
+    rng = random.Random(9)
+    for limit in (50, 200, 600):
+        sizes = [rng.randint(0, 500) for _ in range(30)]
+        df = spark.createDataFrame(list(enumerate(sizes)), "k int, n long").withColumnRenamed("n", "size").repartition(3)
+        got = sorted(tuple(r) for r in parts.whole_blocks(df, ["k"], "size", limit).select("k", "chunk", "first", "n", "part").collect())
+        chunks = [(k, c + 1, c * limit, min(n - c * limit, limit)) for k, n in enumerate(sizes) for c in range(max(1, -(-n // limit)))]
+        assert [r[:4] for r in got] == chunks
+
+        def filled(capacity):
+            out, load = [1], 0
+            for i, (*_, n) in enumerate(chunks):
+                if i and load + n > capacity:
+                    out.append(out[-1] + 1)
+                    load = 0
+                elif i:
+                    out.append(out[-1])
+                load += n
+            return out
+
+        fewest = filled(limit)[-1]
+        best = min(c for c in range(max(n for *_, n in chunks), limit + 1) if filled(c)[-1] <= fewest)
+        assert [r[4] for r in got] == filled(best)
 
 
 @pytest.mark.parametrize("text", ["123-45-6789", "Ann Alpha 987654321", "é1"])
@@ -66,7 +83,7 @@ def test_masks_leak_no_digit(spark, text):
 
 
 def test_lists_tokens_and_counts(spark):
-    assert [p and tuple(p) for p in values(spark, tx.name_pair, "a b\tc", "Ann, f1", "Bob  f 2", "lonely", "")] == [("a b", "c"), ("Ann", "f1"), ("Bob", "f 2"), None, None]
+    assert [p and tuple(p) for p in values(spark, tx.pasted_pair, "a b\tc", "Ann, f1", "Bob  f 2", "lonely", "")] == [("a b", "c"), ("Ann", "f1"), ("Bob", "f 2"), None, None]
     word = F.struct(F.lit(0.0).alias("x0"), F.lit(30.0).alias("x1"), F.lit("Ann123-45-6789").alias("text"))
     got = spark.range(1).select(tx.split_glued(word).alias("w")).first().w
     assert [w.text for w in got] == ["Ann", "123-45-6789"] and got[0].x0 == 0 and got[0].x1 == got[1].x0 and got[1].x1 == pytest.approx(30)
