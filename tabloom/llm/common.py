@@ -137,7 +137,7 @@ def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
 
 
 #: Values of a tie, and bytes of text that a task reads of a shuffle by group, about.
-TIES, TASK_BYTES = 1_000_003, 32 << 20
+TIES, TASK_BYTES = 1_000_003, 16 << 20
 
 
 def tie_place(tie: str) -> Column:

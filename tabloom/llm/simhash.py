@@ -9,6 +9,18 @@ fingerprint's variants lie in 1 + b + C(b, 2) buckets. A fingerprint is sent onc
 which makes the same variants meet in the same task. Buckets that would get too many variants are split by a hash of
 the variant. A task returns a spanning forest of its links, never all pairs of a group.
 
+Buckets are as many as the fingerprints need, at any size, and of a hot fingerprint, node or component only its one row is
+broadcast (common.join_hot), so none of them meets in one task.
+
+`one_of_each` finds texts whose sets of WORDS-word shingles have a Jaccard similarity of SIMILARITY or more. One fingerprint
+of 64 bits would need balls of radius 6 for these (a pair at 0.8 differs in 10 bits on average), so it takes TABLES
+fingerprints of TABLE_BITS bits each, of distinct shingles, and balls of radius 1: a pair at 0.8 differs in 2 bits or less in
+one table with a probability of 0.12, in some table with 0.95, and at 0.85 with 0.995. The variants of all tables meet as
+above; colliding pairs are then verified over all TABLES * TABLE_BITS bits: their share that differs estimates the angle of
+the two sets, and with the sets' sizes their similarity, with a standard error of 0.03 at 0.8. Texts of equal bits are one
+node. Of texts that share a variant each is paired with the first and with its neighbour by number, so a group of n costs
+2 n pairs for each variant, not n squared.
+
 Defined results: null and empty texts have fingerprint zero and link like any other; a null doc_id is never the
 smallest one of a component unless all are null; repeated rows share a component; other columns are ignored; an empty
 table gives an empty result.
@@ -26,11 +38,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import checkpointed
+from tabloom.llm.common import Words, checkpointed, chunks, join_hot, mixed, windows
 
 SHINGLE, RADIUS, SEED, BITS = 4, 4, 42, 64
+WORDS, SIMILARITY, TABLES, TABLE_BITS = 5, 0.8, 24, 32
 #: Variants that a task holds at once.
 VARIANTS = 3_000_000
+#: Heavy buckets that are broadcast, at 20 bytes each; if there are more, they are shuffled.
+HEAVY = 1 << 20
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -100,7 +115,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, n: int | None = None) -> Da
         raise ValueError("an even radius is needed: both halves of a pair expand alike")
     n = distinct.count() if n is None else n
     ball = sum(comb(BITS, i) for i in range(half + 1))
-    top = min(20, max(4, ceil(log2(max(1, n) * ball / VARIANTS + 1))))
+    top = min(BITS // 2, max(4, ceil(log2(max(1, n) * ball / VARIANTS + 1))))
     lower = BITS - top
     low_masks = _masks(lower, half)
     made_by = [sum(len(m) for m in low_masks[: half - w + 1]) for w in range(half + 1)]
@@ -110,9 +125,8 @@ def links(distinct: DataFrame, radius: int = RADIUS, n: int | None = None) -> Da
     sent = distinct.select("fp", F.explode(F.transform(F.lit(masks), lambda m: m.bitwiseXOR(head))).alias("bucket"))
     weight = F.bit_count(F.shiftrightunsigned("fp", lower).bitwiseXOR(F.col("bucket")))
     variants = F.get(F.lit(np.array(made_by, np.int64)), weight)
-    heavy = sent.groupBy("bucket").agg(F.ceil(F.sum(variants) / F.lit(VARIANTS)).cast("int").alias("parts")).filter("parts > 1")
-    # At most 2 ** 20 rows, one for each heavy bucket.
-    dealt = sent.join(F.broadcast(heavy), "bucket", "left").select("bucket", "fp", F.coalesce("parts", F.lit(1)).alias("parts"), F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    heavy = checkpointed(sent.groupBy("bucket").agg(F.ceil(F.sum(variants) / F.lit(VARIANTS)).cast("int").alias("parts")).filter("parts > 1"))
+    dealt = sent.join(F.broadcast(heavy) if heavy.count() <= HEAVY else heavy, "bucket", "left").select("bucket", "fp", F.coalesce("parts", F.lit(1)).alias("parts"), F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
 
     def meet(key: tuple, table: pa.Table) -> pa.Table:
         fp = np.sort(table.column("fp").to_numpy().view(np.uint64))
@@ -156,8 +170,8 @@ def components(edges: DataFrame) -> DataFrame:
     was = state(now)
     while was[0]:
         both = now.select(F.col("x").alias("u"), F.col("y").alias("v")).union(now.select(F.col("y").alias("u"), F.col("x").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("x"), F.col("m").alias("y")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = join_hot(both.filter("v > u"), least, "u", "n", was[0]).select(F.col("v").alias("x"), F.col("m").alias("y")).distinct()
         root = large.groupBy("x").agg(F.min("y").alias("m"))
         small = large.join(root, "x").filter("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y")).union(root.select("x", F.col("m").alias("y")))
         now = checkpointed(small.distinct())
@@ -167,6 +181,13 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("x").alias("node"), F.col("y").alias("root"))
 
 
+def _lowest(nodes: DataFrame, node: str, found: DataFrame) -> DataFrame:
+    """nodes (node, low, n) with the least `low` of each one's component."""
+    rooted = checkpointed(nodes.join(found, nodes[node] == found.node, "left").select(nodes[node], "low", "n", F.coalesce("root", nodes[node]).alias("root")))
+    lowest = rooted.groupBy("root").agg(F.min("low").alias("low"), F.count("*").alias("members"))
+    return join_hot(rooted.select(node, "n", "root"), checkpointed(lowest), "root", "members", rooted.count())
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """doc_id, row_key, fingerprint (16 hex digits), component_id and representative, true for one row_key of each component.
 
@@ -174,17 +195,159 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     """
     rows = checkpointed(fingerprints(docs, shingle))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
-    distinct = checkpointed(rows.groupBy("fp").agg(F.min(order).alias("low")))
-    found = components(links(distinct.select("fp"), radius, distinct.count()))
-    rooted = distinct.join(found, distinct.fp == found.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lowest = rooted.groupBy("root").agg(F.min("low").alias("low"))
-    of = rooted.select("fp", "root").join(lowest, "root").select("fp", F.col("low.doc_id").alias("component_id"), F.col("low.row_key").alias("kept_key"))
-    return rows.join(of, "fp").select("doc_id", "row_key", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", (F.col("row_key") == F.col("kept_key")).alias("representative"))
+    distinct = checkpointed(rows.groupBy("fp").agg(F.min(order).alias("low"), F.count("*").alias("n")))
+    of = _lowest(distinct, "fp", components(links(distinct.select("fp"), radius, distinct.count())))
+    of = of.select("fp", F.col("low.doc_id").alias("component_id"), F.col("low.row_key").alias("kept_key"), "n")
+    return join_hot(rows, checkpointed(of), "fp", "n", rows.count()).select("doc_id", "row_key", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", (F.col("row_key") == F.col("kept_key")).alias("representative"))
+
+
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+_SALTS = mixed(np.arange(1, TABLES * TABLE_BITS // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def signature(shingles: np.ndarray) -> np.ndarray:
+    """The majority bits of distinct shingle hashes, as TABLES * TABLE_BITS / 64 words."""
+    found = np.zeros(len(_SALTS), np.uint64)
+    if len(shingles):
+        ones = np.zeros(64 * len(_SALTS), np.int64)
+        for i in range(0, len(shingles), 1 << 14):
+            part = mixed(shingles[i : i + (1 << 14), None] ^ _SALTS[None, :])
+            ones += np.add.reduce(np.unpackbits(part.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint16)
+        found = np.packbits(2 * ones > len(shingles), bitorder="little").view(np.uint64)
+    return found
+
+
+def signatures(docs: DataFrame, words: int = WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, row_key, bits (the signature, binary) and size (distinct shingles; a text of fewer words is one shingle)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits, size = [], []
+            for _, _, data, offsets in chunks(batch.column(2)):
+                own = Words(_LOWER[data], offsets)
+                h, bounds = own.hashes(), own.bounds
+                start, found = windows(h, bounds, words)
+                at = np.searchsorted(start, bounds)
+                for a, b, i, j in zip(bounds, bounds[1:], at, at[1:]):
+                    whole = found[i:j] if j > i else windows(h[a:b], np.array([0, b - a]), b - a)[1] if b > a else found[:0]
+                    distinct = np.unique(whole)
+                    bits.append(signature(distinct).tobytes())
+                    size.append(len(distinct))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits, pa.binary()), pa.array(size, pa.int64())], names=["doc_id", "row_key", "bits", "size"])
+
+    kind = docs.schema[doc_id].dataType.simpleString()
+    return docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("row_key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, row_key string, bits binary, size long")
+
+
+def keyed(nodes: DataFrame) -> DataFrame:
+    """(key, node) for each table of the nodes (node, bits): the table's number above its TABLE_BITS bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, TABLES).astype(np.int64)
+            key = bits | (np.arange(TABLES, dtype=np.int64) << TABLE_BITS)[None, :]
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), TABLES))], names=["key", "node"])
+
+    return nodes.select("node", "bits").mapInArrow(run, "key long, node long")
+
+
+def colliding(nodes: DataFrame) -> DataFrame:
+    """(a, b): pairs of nodes (node, bits) that share a variant within one bit in some table.
+
+    Nodes of one key are paired with the first of them, by an aggregate that combines before the shuffle; only distinct
+    keys are expanded, so no task holds more than the keys that a bucket can have.
+    """
+    own = keyed(nodes)
+    firsts = checkpointed(own.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")))
+    n = firsts.count()
+    same = join_hot(own, firsts.filter("n > 1"), "key", "n", n).filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    return same.union(_ball_pairs(firsts.select("key", "first"), n))
+
+
+def _ball_pairs(keys: DataFrame, n: int) -> DataFrame:
+    """(a, b): the nodes of keys (key, first) of one table that share a variant; each with the least and the next one."""
+    parallel = keys.sparkSession.sparkContext.defaultParallelism
+    top = min(TABLE_BITS // 2, max(2, ceil(log2(n * (TABLE_BITS + 1) / TABLES / VARIANTS + 1))))
+    low = TABLE_BITS - top
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near = np.array([0, *(1 << b for b in range(top))], np.int64)
+        for batch in batches:
+            key = batch.column(0).to_numpy()
+            bucket = (key >> low)[:, None] ^ near[None, :]  # the table's number stands above and stays
+            yield pa.RecordBatch.from_arrays([pa.array(bucket.ravel()), pa.array(np.repeat(key, top + 1)), pa.array(np.repeat(batch.column(1).to_numpy(), top + 1))], names=["bucket", "key", "node"])
+
+    def meet(name: tuple, table: pa.Table) -> pa.Table:
+        node, key = table.column("node").to_numpy(), table.column("key").to_numpy()
+        own, rest = (key >> low) == name[0].as_py(), key & ((1 << low) - 1)
+        # A key of this bucket brings its variants in the lower bits; that of a bucket one bit away only itself.
+        masks = np.array([0, *(1 << b for b in range(low))], np.int64)
+        parts = max(1, -(-len(masks) * int(own.sum()) // VARIANTS))
+        found = [np.zeros((0, 2), np.int64)]
+        for part in range(parts):  # variants by a hash, so that only some are held at once
+            values, owners = [], []
+            for these, flips in ((own, masks), (~own, masks[:1])):
+                of, at = rest[these], node[these]
+                for i in range(0, len(of), 1 << 16):
+                    v, o = (of[i : i + (1 << 16), None] ^ flips[None, :]).ravel(), np.repeat(at[i : i + (1 << 16)], len(flips))
+                    if parts > 1:
+                        mine = mixed(v.astype(np.uint64)) % np.uint64(parts) == np.uint64(part)
+                        v, o = v[mine], o[mine]
+                    values.append(v)
+                    owners.append(o)
+            v, o = np.concatenate(values), np.concatenate(owners)
+            order = np.lexsort((o, v))
+            v, o = v[order], o[order]
+            new = np.append(True, v[1:] != v[:-1])
+            again = np.flatnonzero(~new)
+            first = np.maximum.accumulate(np.where(new, np.arange(len(v)), 0))
+            pairs = np.stack([np.concatenate([o[first[again]], o[again - 1]]), np.concatenate([o[again], o[again]])], 1)
+            found.append(np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0))
+        both = np.concatenate(found)
+        return pa.table({"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1])})
+
+    # About VARIANTS variants a task; a bucket is a group.
+    tasks = max(parallel, n * (TABLE_BITS + 1) // VARIANTS)
+    return keys.mapInArrow(dealt, "bucket long, key long, node long").repartition(tasks, "bucket").groupBy("bucket").applyInArrow(meet, "a long, b long")
+
+
+def similar(nodes: DataFrame, pairs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """Those of the pairs whose estimated similarity is at least `least`."""
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("bits").alias(f"{x}_bits"), F.col("size").alias(f"{x}_size"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, len(_SALTS)) for i in (2, 4))
+            m, n = (batch.column(i).to_numpy().astype(float) for i in (3, 5))
+            share = np.bitwise_count(x ^ y).sum(1) / (64 * len(_SALTS))
+            both = np.minimum(np.cos(np.pi * share) * np.sqrt(m * n), np.minimum(m, n))
+            keep = pa.array(both >= least * (m + n - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+    distinct = checkpointed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    # A node in many pairs, such as the first of a large group, is hot on either side.
+    total = distinct.count()
+    for x in "ab":
+        counted = distinct.groupBy(x).agg(F.count("*").alias("pairs"))
+        distinct = join_hot(distinct, checkpointed(side(x).join(counted, x)), x, "pairs", total)
+    return distinct.select("a", "b", "a_bits", "a_size", "b_bits", "b_size").mapInArrow(run, "a long, b long")
+
+
+def similar_rows(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY) -> DataFrame:
+    """doc_id, row_key, component_id and representative of every row: components of texts whose similarity is at least `least`."""
+    rows = checkpointed(signatures(docs, words).withColumn("node", F.xxhash64("bits", "size")))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
+    nodes = checkpointed(rows.groupBy("node").agg(F.min(order).alias("low"), F.count("*").alias("n"), F.min("bits").alias("bits"), F.min("size").alias("size")))
+    full = nodes.filter("size > 0").select("node", "bits", "size")
+    edges = checkpointed(similar(full, colliding(full), least))
+    of = _lowest(nodes.select("node", "low", "n"), "node", components(edges))
+    of = of.select(F.col("node"), F.col("low.doc_id").alias("component_id"), F.col("low.row_key").alias("kept_key"), "n")
+    return join_hot(rows.select("doc_id", "row_key", "node"), checkpointed(of), "node", "n", rows.count()).select("doc_id", "row_key", "component_id", (F.col("row_key") == F.col("kept_key")).alias("representative"))
 
 
-def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+def one_of_each(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY) -> DataFrame:
     """The rows of docs, all columns as they are, without those whose component has a smaller doc_id; of repeated rows one."""
-    kept = near_duplicates(docs, shingle, radius).filter("representative").select("row_key").distinct()
+    kept = similar_rows(docs, words, least).filter("representative").select("row_key").distinct()
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select(row_key().alias("row_key"), row.alias("row")).join(kept, "row_key", "left_semi")
     return rows.dropDuplicates(["row_key"]).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
