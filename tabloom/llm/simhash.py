@@ -38,12 +38,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import Words, checkpointed, chunks, join_hot, mixed, windows
+from tabloom.llm.common import Words, checkpointed, chunks, join_hot, mixed, released, windows
 
 SHINGLE, RADIUS, SEED, BITS = 4, 4, 42, 64
 WORDS, SIMILARITY, TABLES, TABLE_BITS = 5, 0.8, 24, 32
 #: Variants that a task holds at once.
-VARIANTS = 3_000_000
+VARIANTS = 1_000_000
 #: Heavy buckets that are broadcast, at 20 bytes each; if there are more, they are shuffled.
 HEAVY = 1 << 20
 
@@ -154,7 +154,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, n: int | None = None) -> Da
         near = np.bitwise_count(fp[a] ^ fp[b]) <= radius
         label = _forest(a[near], b[near], len(fp))
         moved = np.flatnonzero(label != np.arange(len(fp)))
-        return pa.table({"a": fp[label[moved]].view(np.int64), "b": fp[moved].view(np.int64)})
+        return released(pa.table({"a": fp[label[moved]].view(np.int64), "b": fp[moved].view(np.int64)}))
 
     return dealt.groupBy("bucket", "part").applyInArrow(meet, "a long, b long")
 
@@ -233,7 +233,7 @@ def signatures(docs: DataFrame, words: int = WORDS, doc_id: str = "doc_id", text
                     distinct = np.unique(whole)
                     bits.append(signature(distinct).tobytes())
                     size.append(len(distinct))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits, pa.binary()), pa.array(size, pa.int64())], names=["doc_id", "row_key", "bits", "size"])
+            yield released(pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits, pa.binary()), pa.array(size, pa.int64())], names=["doc_id", "row_key", "bits", "size"]))
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("row_key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, row_key string, bits binary, size long")
@@ -304,7 +304,7 @@ def _ball_pairs(keys: DataFrame, n: int) -> DataFrame:
             pairs = np.stack([np.concatenate([o[first[again]], o[again - 1]]), np.concatenate([o[again], o[again]])], 1)
             found.append(np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0))
         both = np.concatenate(found)
-        return pa.table({"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1])})
+        return released(pa.table({"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1])}))
 
     # About VARIANTS variants a task; a bucket is a group.
     tasks = max(parallel, n * (TABLE_BITS + 1) // VARIANTS)

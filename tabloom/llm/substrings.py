@@ -37,13 +37,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import TASK_BYTES, covered, groups, mixed, numbered, tie_place, windows, word_hashes
+from tabloom.llm.common import TASK_BYTES, covered, groups, mixed, numbered, released, tie_place, windows, word_hashes
 
 WINDOW = 20
 PERIOD, COVER = 13, (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
 #: Bytes of text of a group, and hashes of a bucket.
-GROUP_BYTES, BUCKET_HASHES = 4 << 20, 2_000_000
+GROUP_BYTES, BUCKET_HASHES = 4 << 20, 1_000_000
 _IN_COVER = np.isin(np.arange(PERIOD), COVER)
 
 
@@ -105,7 +105,7 @@ def _answered(earlier_only: bool):
         if not earlier_only:
             flag[order[:-1][same]] = True
         bits = [np.packbits(x).tobytes() for x in np.split(flag, np.cumsum(sizes)[:-1])]
-        return pa.table({"grp": table.column("grp"), "bucket": table.column("bucket"), "bits": pa.array(bits, pa.binary())})
+        return released(pa.table({"grp": table.column("grp"), "bucket": table.column("bucket"), "bits": pa.array(bits, pa.binary())}))
 
     return run
 
@@ -163,12 +163,12 @@ def _marked(docs: DataFrame, finish, schema: str, doc_id: str, text: str, rest:
 
     def first(key: tuple, table: pa.Table) -> pa.Table:
         h, bounds = word_hashes(_ordered(table).column("text"))
-        return _sent(key[0].as_py(), np.unique(_anchors(h, bounds)[1]), None, False, bits)
+        return released(_sent(key[0].as_py(), np.unique(_anchors(h, bounds)[1]), None, False, bits))
 
     def second(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         _, w, low, _ = _candidates(_ordered(table), answers, bits)
         one, _ = _first_of_each(w, low)
-        return _sent(key[0].as_py(), w[one], low[one], True, bits)
+        return released(_sent(key[0].as_py(), w[one], low[one], True, bits))
 
     def third(key: tuple, table: pa.Table, answers: pa.Table, earlier: pa.Table) -> pa.Table:
         table = _ordered(table)
@@ -177,7 +177,7 @@ def _marked(docs: DataFrame, finish, schema: str, doc_id: str, text: str, rest:
         again = np.ones(len(w), bool)
         again[one] = False
         gone = covered(start[again | _flags(earlier, w[one], bits)[which]], WINDOW, bounds[-1])
-        return finish(table, bounds, gone)
+        return released(finish(table, bounds, gone))
 
     def last(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         late = np.asarray(answers.column("late").to_numpy(zero_copy_only=False), bool)
