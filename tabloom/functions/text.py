@@ -373,6 +373,11 @@ def looks_like_entity(c: Column | str) -> Column:
     return col(c).rlike(r"(?i)\b(LLC|L\.L\.C|INC|CORP|CORPORATION|COMPANY|TRUST|ESTATE|LP|LLP|PARTNERSHIP|PARTNERS|FUND|FOUNDATION|HOLDINGS|IRA)\b")
 
 
+def looks_like_joint(c: Column | str) -> Column:
+    """Two people on one line: names around & or the word and."""
+    return col(c).rlike(r"(?i)[a-z]\S*\s*(&|\band\b)\s*[a-z]") & ~looks_like_entity(c)
+
+
 def quality_flags(*names: str) -> Column:
     """struct of non_letter, hyphen and blank flags over name columns."""
     any_of = lambda f: F.array_max(F.array(*[f(col(n)) for n in names]))
@@ -476,3 +481,26 @@ def status_fields(name: Column | str, number: Column | str) -> Column:
     letters, numbers four characters or more with a digit."""
     n, f = squeeze(name), F.upper(F.regexp_replace(col(number), "[^0-9A-Za-z-]", ""))
     return F.struct(F.when(n.rlike("[A-Z][a-z]{2,}"), n).otherwise("REDACTED").alias("name"), F.when((F.length(f) >= 4) & f.rlike("[0-9]"), f).otherwise("REDACTED").alias("number"))
+
+
+# Names of database objects.
+
+
+def bracketed(c: Column | str) -> Column:
+    """A T-SQL identifier."""
+    return F.concat(F.lit("["), F.replace(col(c), F.lit("]"), F.lit("]]")), F.lit("]"))
+
+
+def odbc_quoted(c: Column | str) -> Column:
+    """A value of a connection string."""
+    return F.concat(F.lit("{"), F.replace(col(c), F.lit("}"), F.lit("}}")), F.lit("}"))
+
+
+def scrubbed(c: Column | str) -> Column:
+    """A connection string or error without its password."""
+    return F.regexp_replace(col(c), r"(?i)\b(PWD|PASSWORD)\s*=\s*(\{(?:[^}]|\}\})*\}|[^;]*)", "$1=***")
+
+
+def run_stamp(c: Column | None = None) -> Column:
+    """yymmdd of a date, today's by default."""
+    return F.date_format(F.current_date() if c is None else c, "yyMMdd")

@@ -152,3 +152,11 @@ def banded(lines: DataFrame, bands: DataFrame, page: list[str], keys: list[str])
         return F.array_join(F.transform(F.filter("words", lambda w: (w["x0"] >= band["left"]) & (w["x0"] < band["right"])), lambda w: w["text"]), " ")
 
     return rows.select(*page, "line_no", *[cell(k).alias(k) for k in keys])
+
+
+def measures(words: DataFrame, page: list[str]) -> DataFrame:
+    """page keys, height (upper median of the words'), char_width (upper median) and gap (upper median between distinct tops)."""
+    size = F.struct((F.col("bottom") - F.col("top")).alias("h"), ((F.col("x1") - F.col("x0")) / F.greatest(F.length("text"), F.lit(1))).alias("c"))
+    got = words.groupBy(*page).agg(F.collect_list(size).alias("s"), F.array_sort(F.collect_set("top")).alias("tops"))
+    gaps = F.transform(F.slice("tops", F.lit(2), F.greatest(F.size("tops") - 1, F.lit(0))), lambda y, i: y - F.get("tops", i))
+    return got.select(*page, upper_median(F.transform("s", lambda x: x["h"])).alias("height"), upper_median(F.transform("s", lambda x: x["c"])).alias("char_width"), upper_median(gaps).alias("gap"))

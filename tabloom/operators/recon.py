@@ -24,3 +24,20 @@ def best_reading(readings: DataFrame, key: list[str], quality: list[str], method
 def text_verdict(words: Column, readable: Column, dashes: Column) -> Column:
     """First thing that is wrong with a text, or 'ok'."""
     return F.when(words == 0, "no text").when(readable < 0.85, "unreadable").when(dashes > 0, "dash variant").when(words < 5, "short").otherwise("ok")
+
+
+def per_file(rows: DataFrame, key: str, layout: str) -> DataFrame:
+    """key, rows and layouts (the distinct ones in order) of each file."""
+    return rows.groupBy(key).agg(F.count("*").alias("rows"), F.array_join(F.array_sort(F.collect_set(layout)), ", ").alias("layouts"))
+
+
+def totals(files: DataFrame, key: str) -> DataFrame:
+    """One row over the files of a run: files, rows, largest, layouts by file. One row per file is gathered."""
+    each = F.array_sort(F.collect_list(F.struct(key, "layouts")))
+    return files.agg(F.count("*").alias("files"), F.sum("rows").alias("rows"), F.max("rows").alias("largest"), F.array_join(F.transform(each, lambda x: x["layouts"]), " | ").alias("layouts"))
+
+
+def page_kinds(pages: DataFrame, key: str, text: str, by_ocr: str) -> DataFrame:
+    """key, pages, native, ocr, empty: how many pages of a file have text of their own, text by OCR, or none."""
+    some = F.coalesce(F.trim(text) != "", F.lit(False))
+    return pages.groupBy(key).agg(F.count("*").alias("pages"), F.count_if(some & ~F.col(by_ocr)).alias("native"), F.count_if(some & F.col(by_ocr)).alias("ocr"), F.count_if(~some).alias("empty"))

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions import text as tx
-from tabloom.operators import dedupe, headers, joins, lines, parts, recon, union
+from tabloom.operators import dedupe, extract, headers, joins, lines, parts, recon, union
+from tabloom.plans import consolidate
 from tabloom.sources import sheets
+from tabloom.sources.shared import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -563,3 +566,245 @@ def contained_turns(spark, sf_dir):
 SELECT a.file, a.sheet, count(*) AS n_rows FROM k a JOIN k h ON a.file = h.file AND a.sheet = h.sheet AND h.row_no = 1 WHERE a.row_no > 1 AND a.k <> h.k GROUP BY 1, 2""")
 def rows_without_repeated_headers(spark, sf_dir):
     return headers.without_repeated_headers(_grid(spark, sf_dir).withColumn("header_row", F.lit(1))).groupBy("file", "sheet").agg(F.count("*").alias("n_rows"))
+
+
+# More scalar rules, each over made-up values of a test table ----------------------------------------------------------
+
+
+def _number(spark, sf_dir):
+    """doc_id and a text that holds a number in one of six spellings."""
+    i = F.col("doc_id")
+    a, b, c = F.lpad((100 + i % 800).cast("string"), 3, "0"), F.lpad((i % 90 + 10).cast("string"), 2, "0"), F.lpad((i % 9000 + 1000).cast("string"), 4, "0")
+    text = F.when(i % 6 == 0, F.concat(F.lit("id "), a, F.lit("-"), b, F.lit("-"), c)).when(i % 6 == 1, F.concat(a, F.lit("\u2013"), b, F.lit("\u2013"), c, F.lit(" end")))
+    text = text.when(i % 6 == 2, F.concat(F.lit("XXX-XX-"), c)).when(i % 6 == 3, F.concat(F.lit("no "), a, b, c, F.lit("."))).when(i % 6 == 4, F.concat(F.lit("zip 12345-"), c)).otherwise("none")
+    return _t(spark, sf_dir, "documents").select("doc_id", text.alias("t"))
+
+
+_NUMBER_SQL = """p AS (SELECT doc_id, (100 + doc_id % 800)::VARCHAR AS a, (doc_id % 90 + 10)::VARCHAR AS b, (doc_id % 9000 + 1000)::VARCHAR AS c FROM documents),
+t AS (SELECT doc_id, a, b, c, CASE doc_id % 6 WHEN 0 THEN 'id ' || a || '-' || b || '-' || c WHEN 1 THEN a || chr(8211) || b || chr(8211) || c || ' end' WHEN 2 THEN 'XXX-XX-' || c WHEN 3 THEN 'no ' || a || b || c || '.' WHEN 4 THEN 'zip 12345-' || c ELSE 'none' END AS t FROM p)"""
+
+
+@query(f"""WITH {_NUMBER_SQL} SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN a || '-' || b || '-' || c WHEN 1 THEN a || '-' || b || '-' || c WHEN 2 THEN 'XXX-XX-' || c WHEN 3 THEN a || b || c END AS ssn,
+CASE doc_id % 6 WHEN 0 THEN a || '-' || b || '-' || c WHEN 1 THEN a || '-' || b || '-' || c WHEN 2 THEN 'XXX-XX-' || c WHEN 3 THEN a || '-' || b || '-' || c END AS norm,
+CASE WHEN doc_id % 6 IN (0, 1, 3) THEN a || b || c WHEN doc_id % 6 = 2 THEN 'XXXXX' || c END AS key FROM t""")
+def ssn_found_and_normalised(spark, sf_dir):
+    found = _number(spark, sf_dir).select("doc_id", tx.find_ssn("t").alias("ssn"))
+    return found.select("doc_id", "ssn", tx.norm_ssn("ssn").alias("norm"), tx.ssn_key("ssn").alias("key"))
+
+
+@query(f"""WITH {_NUMBER_SQL} SELECT doc_id, replace(t, chr(8211), '-') AS folded, CASE doc_id % 6 WHEN 0 THEN 'id ***-**-' || c WHEN 1 THEN '***-**-' || c || ' end' WHEN 2 THEN '***-**-' || c ELSE t END AS masked FROM t""")
+def folded_and_masked_numbers(spark, sf_dir):
+    return _number(spark, sf_dir).select("doc_id", tx.fold("t").alias("folded"), tx.mask_ssn("t").alias("masked"))
+
+
+@query(f"""WITH {_NUMBER_SQL} SELECT doc_id, trim(list_aggregate(list_transform(string_split(t, ' '), lambda w: CASE WHEN lower(w) IN ('id', 'zip') THEN w ELSE regexp_replace(regexp_replace(regexp_replace(w, '[0-9]', '#', 'g'), '[A-Z]', 'X', 'g'), '[a-z]', 'x', 'g') END), 'string_agg', ' ')) AS shown FROM t""")
+def masked_except_safe_words(spark, sf_dir):
+    return _number(spark, sf_dir).select("doc_id", F.trim(tx.mask_except(F.col("t"), ("ID", "zip"))).alias("shown"))
+
+
+@query("""WITH n AS (SELECT p_partkey AS k, string_split(p_name, ' ')[1] AS a, string_split(p_name, ' ')[2] AS b FROM part)
+SELECT k, CASE k % 4 WHEN 0 THEN a || ' ' || b WHEN 1 THEN 'Mroz ' || b WHEN 2 THEN b WHEN 3 THEN a END AS bare, k % 4 <> 3 OR length(a) >= 2 AS name,
+k % 5 = 0 AS entity, k % 5 = 1 AS joint FROM n""")
+def honorifics_and_kinds_of_name(spark, sf_dir):
+    k, a, b = F.col("p_partkey"), F.split_part("p_name", F.lit(" "), F.lit(1)), F.split_part("p_name", F.lit(" "), F.lit(2))
+    text = F.when(k % 4 == 0, F.concat(F.lit("Mr. "), a, F.lit("  "), b)).when(k % 4 == 1, F.concat(F.lit("Mroz "), b)).when(k % 4 == 2, F.concat(F.lit("Dr Mrs "), b)).otherwise(F.concat(F.lit("Miss "), a))
+    kind = F.when(k % 5 == 0, F.concat(a, F.lit(" Holdings LLC"))).when(k % 5 == 1, F.concat(a, F.lit(" & "), b)).otherwise(F.concat(a, F.lit(" "), b))
+    return _t(spark, sf_dir, "part").select(k.alias("k"), tx.strip_honorific(text).alias("bare"), tx.looks_like_name(text).alias("name"), tx.looks_like_entity(kind).alias("entity"), tx.looks_like_joint(kind).alias("joint"))
+
+
+def _address(spark, sf_dir):
+    k = F.col("c_custkey")
+    city, state, zip_code = F.concat(F.lit("City"), F.translate(k.cast("string"), "0123456789", "abcdefghij")), F.element_at(F.array(*[F.lit(x) for x in ("DE", "NV", "CA")]), (k % 3 + 1).cast("int")), F.lpad((k % 90000 + 10000).cast("string"), 5, "0")
+    place = F.when(k % 4 == 0, F.concat(city, F.lit(", "), state, F.lit(" "), zip_code)).when(k % 4 == 1, F.concat(city, F.lit(" "), state, F.lit("  "), zip_code)).when(k % 4 == 2, F.concat(city, F.lit(","), state, F.lit(","), zip_code, F.lit("-1234"))).otherwise(F.concat(city, F.lit(" , "), state, F.lit(" "), zip_code))
+    street = F.concat((k % 900 + 1).cast("string"), F.lit(" Main St"))
+    lines = F.when(k % 3 == 0, F.array(F.concat(street, F.lit(" Apt 2B")), place)).when(k % 3 == 1, F.array(street, F.lit("Suite 9"), place)).otherwise(F.array(F.lit("PO Box 7"), place))
+    return _t(spark, sf_dir, "customer").select(k.alias("k"), place.alias("place"), lines.alias("lines"))
+
+
+@query("""WITH c AS (SELECT c_custkey AS k, 'City' || translate(c_custkey::VARCHAR, '0123456789', 'abcdefghij') AS city, ['DE', 'NV', 'CA'][c_custkey % 3 + 1] AS state, (c_custkey % 90000 + 10000)::VARCHAR || CASE WHEN c_custkey % 4 = 2 THEN '-1234' ELSE '' END AS zip FROM customer)
+SELECT k, CASE k % 3 WHEN 2 THEN 'PO Box 7' ELSE (k % 900 + 1) || ' Main St' END AS street, CASE k % 3 WHEN 0 THEN 'Apt 2B' WHEN 1 THEN 'Suite 9' ELSE '' END AS unit, city, state, zip, true AS is_address FROM c""")
+def address_fields(spark, sf_dir):
+    return _address(spark, sf_dir).select("k", tx.address_parts("lines").alias("a"), tx.looks_like_address("place").alias("is_address")).select("k", "a.street", "a.unit", "a.city", "a.state", "a.zip", "is_address")
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 3 THEN 'DUE LATER' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS value, year(o_orderdate) < 1890 OR year(o_orderdate) > 2030 AS suspect FROM orders""")
+def date_values(spark, sf_dir):
+    k, d = F.col("o_orderkey"), F.col("o_orderdate")
+    text = F.when(k % 4 == 0, F.date_format(d, "M/d/yyyy")).when(k % 4 == 1, F.date_format(d, " yyyy-MM-dd ")).when(k % 4 == 2, F.date_format(d, "M-d-yyyy")).otherwise("due  later")
+    return _t(spark, sf_dir, "orders").select("o_orderkey", tx.date_value(text).alias("value"), tx.date_suspect(F.date_format(d, "MM/dd/yyyy")).alias("suspect"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN strftime(ts::DATE, '%Y-%m-%d') WHEN ts = date_trunc('day', ts) THEN strftime(ts, '%Y-%m-%d') ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS shown FROM events""")
+def date_cells(spark, sf_dir):
+    t = F.when(F.col("event_id") % 2 == 0, F.date_trunc("day", "ts")).otherwise(F.col("ts"))
+    return _t(spark, sf_dir, "events").select("event_id", tx.time_text(t.cast("timestamp")).alias("shown"))
+
+
+@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'a_b__c' WHEN 1 THEN 'x' WHEN 2 THEN '(blank)' ELSE 'q_' || source END AS file_name, CASE doc_id % 4 WHEN 3 THEN length(text) ELSE 3 END AS n FROM documents""")
+def safe_names_and_cells(spark, sf_dir):
+    k = F.col("doc_id")
+    raw = F.when(k % 4 == 0, "a/b<>c. ").when(k % 4 == 1, " x... ").when(k % 4 == 2, "  ").otherwise(F.concat(F.lit("q?"), "source"))
+    cell = F.when(k % 4 == 3, F.concat(F.lit("\x01\x0b"), "text")).otherwise("a\x00bc")
+    return _t(spark, sf_dir, "documents").select("doc_id", tx.safe_file_name(raw).alias("file_name"), F.length(tx.safe_cell(cell)).alias("n"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'REDACTED' ELSE upper(o_orderpriority) END AS status, CASE WHEN o_orderkey % 3 = 0 THEN 'REDACTED' ELSE 'Ann Alpha' END AS name, CASE WHEN o_orderkey % 3 = 0 THEN 'REDACTED' ELSE (1000 + o_orderkey)::VARCHAR || '-A' END AS number FROM orders""")
+def status_or_redacted(spark, sf_dir):
+    k = F.col("o_orderkey")
+    status = F.when(k % 3 == 0, "_|#").otherwise(F.lower("o_orderpriority"))
+    fields = tx.status_fields(F.when(k % 3 == 0, "|| x").otherwise(" Ann  Alpha"), F.when(k % 3 == 0, "|.").otherwise(F.concat((1000 + k).cast("string"), F.lit(" -a."))))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", tx.status_text(status).alias("status"), fields.alias("f")).select("o_orderkey", "status", "f.*")
+
+
+@query("""SELECT p_partkey, p_name AS name, CASE p_partkey % 2 WHEN 0 THEN p_brand ELSE '' END AS brand FROM part""")
+def captioned_values(spark, sf_dir):
+    k = F.col("p_partkey")
+    text = F.concat(F.lit("NAME: "), "p_name", F.when(k % 2 == 0, F.concat(F.lit("  BRAND: "), "p_brand")).otherwise(""), F.lit("\nFUND NAME: other"))
+    return _t(spark, sf_dir, "part").select("p_partkey", tx.label_value(text, "NAME", ("BRAND", "FUND NAME")).alias("name"), tx.label_value(text, "BRAND", ("NAME",)).alias("brand"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN [c_name, '123-45-6789', 'x'] WHEN c_custkey % 3 = 1 THEN ['123-45-6789'] ELSE [c_name] END AS parts FROM customer""")
+def glued_words(spark, sf_dir):
+    k = F.col("c_custkey")
+    text = F.when(k % 3 == 0, F.concat("c_name", F.lit("123-45-6789x"))).when(k % 3 == 1, "123-45-6789").otherwise(F.col("c_name"))
+    name = F.translate("c_name", "#0123456789", "Nabcdefghij")
+    word = F.struct(F.lit(0.0).alias("x0"), F.lit(30.0).alias("x1"), F.replace(text, F.col("c_name"), name).alias("text"))
+    found = _t(spark, sf_dir, "customer").select("c_custkey", "c_name", name.alias("n"), word.alias("w"))
+    return found.select("c_custkey", F.transform(tx.split_glued("w"), lambda p: F.when(p["text"] == F.col("n"), F.col("c_name")).otherwise(p["text"])).alias("parts"))
+
+
+@query("""WITH d AS (SELECT source, count(*) AS n, count(DISTINCT lang) AS langs, string_agg(DISTINCT lang, ', ' ORDER BY lang) AS layouts FROM documents GROUP BY source)
+SELECT count(*) AS files, sum(n)::BIGINT AS rows, max(n) AS largest, string_agg(layouts, ' | ' ORDER BY source) AS layouts FROM d""")
+def run_totals(spark, sf_dir):
+    per = recon.per_file(_t(spark, sf_dir, "documents").filter("source is not null"), "source", "lang")
+    return recon.totals(per, "source")
+
+
+@query("""SELECT n_nationkey, n_name AS "Name", coalesce(n_name, '') AS first, upper(n_name) || '.0' AS raw, upper(n_name) || '.0' AS normal, '(' || n_nationkey || ')' AS cleaned_from, n_nationkey::VARCHAR AS cleaned FROM nation""")
+def first_filled_and_normal_values(spark, sf_dir):
+    n = _t(spark, sf_dir, "nation")
+    raw = F.concat(F.lower("n_name"), F.lit(".0"))
+    out = n.withColumn("a", F.lit("  ")).withColumn("b", F.lit(None).cast("string")).withColumn("Name", F.col("n_name"))
+    return out.select("n_nationkey", "Name", union.first_filled("b", "a", "n_name").alias("first"), F.upper(raw).alias("raw"), tx.normal_value(raw).alias("normal"), F.concat(F.lit("("), F.col("n_nationkey").cast("string"), F.lit(")")).alias("cleaned_from"), tx.cleaned_number(F.concat(F.lit("$ "), F.col("n_nationkey").cast("string"), F.lit(" x"))).alias("cleaned"))
+
+
+@query("""WITH a AS (SELECT o_orderkey AS k, o_custkey AS c FROM orders), f AS (SELECT DISTINCT o_orderkey AS k FROM orders WHERE o_orderstatus = 'F')
+SELECT k, c FROM a ANTI JOIN f USING (k)""")
+def list_rows_without_forms(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders")
+    listed = o.select(F.col("o_orderkey").cast("string").alias("k"), F.col("o_custkey").alias("c"))
+    forms = o.filter("o_orderstatus = 'F'").select(F.col("o_orderkey").cast("string").alias("k"))
+    return joins.without_listed(listed, forms.union(spark.createDataFrame([("",)], "k string")), ["k"]).select(F.col("k").cast("long").alias("k"), "c")
+
+
+@query("""WITH e AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)
+SELECT user_id, n::INT AS n, event_id FROM e WHERE n <= 2""")
+def first_two_events(spark, sf_dir):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return _t(spark, sf_dir, "events").withColumn("n", F.row_number().over(w)).filter("n <= 2").select("user_id", "n", "event_id")
+
+
+@query("""WITH h AS (SELECT c_custkey::VARCHAR AS file, ['A', 'a', '', c_mktsegment, 'A'] AS cells FROM customer)
+SELECT file, unnest([0, 1, 2, 3, 4])::INT AS pos, unnest(['A', 'a_2', 'Column_3', cells[4], 'A_3']) AS name FROM h""")
+def cleaned_header_names(spark, sf_dir):
+    h = _t(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("file"), F.lit("s").alias("sheet"), F.array(F.lit("A"), F.lit(" a "), F.lit(None).cast("string"), F.col("c_mktsegment"), F.lit("A")).alias("cells"))
+    return headers.cleaned_names(h).select("file", "pos", "name")
+
+
+@query("""SELECT 'customer' AS src, c_custkey AS k, c_mktsegment AS seg FROM customer""")
+def columns_that_hold_something(spark, sf_dir):
+    c = _t(spark, sf_dir, "customer").select(F.lit("customer").alias("src"), F.col("c_custkey").alias("k"), F.lit(" ").alias("empty"), F.col("c_mktsegment").alias("seg"), F.lit(None).cast("string").alias("none"))
+    return union.without_empty_columns(c, ["empty", "seg", "none"])
+
+
+@query("""WITH t AS (SELECT o_orderkey AS k, '[' || replace(o_orderpriority || ']x', ']', ']]') || ']' AS bracketed, '{' || replace(o_comment_, '}', '}}') || '}' AS quoted FROM (SELECT *, o_orderstatus || '}' AS o_comment_ FROM orders))
+SELECT k, bracketed, quoted, 'UID=u;PWD=***;X=' || k AS scrubbed FROM t""")
+def quoted_identifiers(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    return o.select(k.alias("k"), tx.bracketed(F.concat("o_orderpriority", F.lit("]x"))).alias("bracketed"), tx.odbc_quoted(F.concat("o_orderstatus", F.lit("}"))).alias("quoted"), tx.scrubbed(F.concat(F.lit("UID=u;PWD={a;b"), k.cast("string"), F.lit("};X="), k.cast("string"))).alias("scrubbed"))
+
+
+@query("""WITH d AS (SELECT doc_id, CASE WHEN text IS NULL OR trim(text) = '' THEN 'empty' WHEN doc_id % 10 = 0 THEN 'ocr' ELSE 'native' END AS kind FROM documents), s AS (SELECT doc_id % 7 AS file, kind FROM d)
+SELECT file, count(*) AS pages, count(*) FILTER (kind = 'native') AS native, count(*) FILTER (kind = 'ocr') AS ocr, count(*) FILTER (kind = 'empty') AS empty FROM s GROUP BY file""")
+def pages_by_reading(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").select((F.col("doc_id") % 7).alias("file"), F.col("text"), (F.col("doc_id") % 10 == 0).alias("by_ocr"))
+    return recon.page_kinds(d, "file", "text", "by_ocr")
+
+
+# Layout rules over words ----------------------------------------------------------------------------------------------
+
+
+def _page_words(spark, sf_dir):
+    """A page per order with a line of words per lineitem: id at 20, name at 120, number at 300; some lines have no id."""
+    li = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part"), F.min("l_suppkey").alias("supp"))
+    y = (F.col("l_linenumber") * 12 + 40).cast("double")
+    head = F.array(*[F.struct(F.lit(x).alias("x0"), F.lit(28.0).alias("top"), F.lit(t).alias("text")) for x, t in ((20.0, "ID"), (120.0, "NAME"), (300.0, "SSN"))])
+    word = lambda x, t: F.struct(F.lit(x).alias("x0"), y.alias("top"), t.alias("text"))
+    row = F.array(word(20.0, F.when(F.col("l_linenumber") % 3 != 2, F.lpad(F.col("part").cast("string"), 6, "0"))), word(120.0, F.concat(F.lit("N"), F.translate(F.col("part").cast("string"), "0123456789", "abcdefghij"))), word(300.0, F.when(F.col("l_linenumber") % 3 != 2, F.concat(F.lit("100-20-"), F.lpad(F.col("supp").cast("string"), 4, "0")))))
+    lines = li.select(F.col("l_orderkey").cast("string").alias("file"), F.lit(1).alias("page"), F.explode(row).alias("w"))
+    heads = li.select(F.col("l_orderkey").cast("string").alias("file"), F.lit(1).alias("page")).distinct().select("file", "page", F.explode(head).alias("w"))
+    return lines.unionByName(heads).filter("w.text is not null").select("file", "page", "w.x0", (F.col("w.x0") + 40).alias("x1"), "w.top", (F.col("w.top") + 9).alias("bottom"), "w.text")
+
+
+_PAGE_SQL = """li AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS part, min(l_suppkey) AS supp FROM lineitem GROUP BY 1, 2),
+r AS (SELECT l_orderkey::VARCHAR AS file, l_linenumber AS n, CASE WHEN l_linenumber % 3 <> 2 THEN lpad(part::VARCHAR, 6, '0') ELSE '' END AS id, 'N' || translate(part::VARCHAR, '0123456789', 'abcdefghij') AS name, CASE WHEN l_linenumber % 3 <> 2 THEN '100-20-' || lpad(supp::VARCHAR, 4, '0') ELSE '' END AS ssn FROM li)"""
+
+
+@query(f"""WITH {_PAGE_SQL}, g AS (SELECT *, sum((id <> '')::INT) OVER (PARTITION BY file ORDER BY n) AS b FROM r)
+SELECT file, max(id) AS id, string_agg(name, ' ' ORDER BY n) AS name, max(ssn) AS ssn FROM g WHERE b > 0 GROUP BY file, b""")
+def banded_table_rows(spark, sf_dir):
+    ls = lines.page_lines(_page_words(spark, sf_dir), ["file", "page"], "anchor", 4.0)
+    return extract.banded_rows(ls, {"id": ("ID",), "name": ("NAME",), "ssn": ("SSN",)}).select("file", "id", "name", "ssn")
+
+
+@query(f"""WITH {_PAGE_SQL} SELECT file, ssn, name, id AS student_id FROM r WHERE ssn <> ''""")
+def rows_by_number(spark, sf_dir):
+    ls = lines.page_lines(_page_words(spark, sf_dir), ["file", "page"], "anchor", 4.0)
+    return extract.id_lines(ls).select("file", "ssn", "name", "student_id")
+
+
+@query(f"""WITH {_PAGE_SQL} SELECT file, string_agg(name, ' ' ORDER BY n) AS text FROM (SELECT file, n, name FROM r UNION ALL SELECT DISTINCT file, 0, 'NAME' FROM r) GROUP BY file""")
+def cropped_column(spark, sf_dir):
+    crop = extract.cropped_text(_page_words(spark, sf_dir), 100.0, 200.0)
+    return crop.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda s: s["text"]), " ").alias("text"))
+
+
+@query(f"""WITH {_PAGE_SQL} SELECT file, 1 AS page, CASE WHEN count(*) FILTER (ssn <> '') > 0 THEN 'table' END AS layout FROM r GROUP BY file""")
+def page_layouts(spark, sf_dir):
+    ls = lines.page_lines(_page_words(spark, sf_dir), ["file", "page"], "anchor", 4.0)
+    return extract.layouts(ls, {"table": ("ID NAME SSN", "100-20-"), "form": ("NAME", "EMPLOYER")})
+
+
+@query(f"""WITH {_PAGE_SQL}, k AS (SELECT *, CASE WHEN ssn <> '' THEN 's' || ssn ELSE 'n' || name END AS k FROM r)
+SELECT file, name, ssn FROM k QUALIFY row_number() OVER (PARTITION BY file, k ORDER BY n) = 1""")
+def people_once(spark, sf_dir):
+    ls = lines.page_lines(_page_words(spark, sf_dir), ["file", "page"], "anchor", 4.0).filter("line_no > 0")
+    get = lambda x: F.coalesce(F.get(F.transform(F.filter("words", lambda w: w["x0"] == x), lambda w: w["text"]), F.lit(0)), F.lit(""))
+    return extract.unique_people(ls.select("file", get(120.0).alias("name"), get(300.0).alias("ssn"), "line_no"), ["line_no"]).select("file", "name", "ssn")
+
+
+@query(f"""WITH {_PAGE_SQL}, t AS (SELECT DISTINCT file, 40.0 + 12 * n AS top FROM r UNION SELECT file, 28.0 FROM r), g AS (SELECT file, lead(top) OVER (PARTITION BY file ORDER BY top) - top AS gap FROM t), m AS (SELECT file, list_sort(list(gap)) AS gaps FROM g WHERE gap IS NOT NULL GROUP BY file)
+SELECT file, 9.0::DOUBLE AS height, gaps[len(gaps) // 2 + 1]::DOUBLE AS gap FROM m""")
+def page_measures(spark, sf_dir):
+    return lines.measures(_page_words(spark, sf_dir), ["file", "page"]).select("file", "height", "gap")
+
+
+@query("""WITH c AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY text, role) AS k FROM conversations) SELECT conv_id, count(*) AS rows, max(turn)::INT AS last FROM c WHERE k = 1 AND conv_id % 3 = 0 GROUP BY conv_id""")
+def records_over_pages(spark, sf_dir):
+    c = _t(spark, sf_dir, "conversations").filter("conv_id % 3 = 0").select("conv_id", "turn").distinct()
+    rows = c.select(F.col("conv_id").cast("string").alias("file"), F.col("turn").cast("int").alias("page"), F.concat(F.lit("n"), F.col("turn").cast("string")).alias("name"), F.lit("1").alias("id"))
+    # Every page's record has identity, so none joins another.
+    return extract.carried_over_pages(rows, ["name", "id"], ["page"]).groupBy(F.col("file").cast("long").alias("conv_id")).agg(F.count("*").alias("rows"), F.max("page").alias("last"))
+
+
+@query("""SELECT 'Sheet' AS sheet, row_no::INT AS row_no, v AS c1, CASE WHEN row_no = 1 THEN 'c65' ELSE '' END AS c65 FROM (SELECT 1 AS row_no, 'c1' AS v, 0 AS k UNION ALL SELECT 1 + row_number() OVER (ORDER BY o_orderkey), o_orderkey::VARCHAR, o_orderkey FROM orders)""")
+def merged_wide_rows(spark, sf_dir):
+    """A folder of one wide text file, written from the orders, merged: 65 columns of which 64 are blank."""
+    folder = f"{shared_dir(spark).rstrip('/')}/merge-{uuid.uuid4().hex}"
+    o = _t(spark, sf_dir, "orders").select("o_orderkey")
+    row = F.concat(F.col("o_orderkey").cast("string"), F.lit("," * 64)).alias("value")
+    head = spark.range(1).select(F.lit(-1).cast("long").alias("o_orderkey"), F.lit(",".join(f"c{i}" for i in range(1, 66))).alias("value"))
+    o.select("o_orderkey", row).union(head).coalesce(1).sortWithinPartitions("o_orderkey").select("value").write.text(f"{folder}/in")
+    out = consolidate.merged(spark, f"{folder}/in", [f"c{i}" for i in range(1, 66)])
+    return out.select(F.lit("Sheet").alias("sheet"), "row_no", "c1", "c65")
