@@ -42,8 +42,8 @@ from tabloom.llm.common import Words, checkpointed, chunks, join_hot, mixed, rel
 
 SHINGLE, RADIUS, SEED, BITS = 4, 4, 42, 64
 WORDS, SIMILARITY, TABLES, TABLE_BITS = 5, 0.8, 24, 32
-#: Variants that a task holds at once.
-VARIANTS = 1_000_000
+#: Variants that a task holds at once, of fingerprints and of tables' keys.
+VARIANTS, KEY_VARIANTS = 3_000_000, 1_000_000
 #: Heavy buckets that are broadcast, at 20 bytes each; if there are more, they are shuffled.
 HEAVY = 1 << 20
 
@@ -267,7 +267,7 @@ def colliding(nodes: DataFrame) -> DataFrame:
 def _ball_pairs(keys: DataFrame, n: int) -> DataFrame:
     """(a, b): the nodes of keys (key, first) of one table that share a variant; each with the least and the next one."""
     parallel = keys.sparkSession.sparkContext.defaultParallelism
-    top = min(TABLE_BITS // 2, max(2, ceil(log2(n * (TABLE_BITS + 1) / TABLES / VARIANTS + 1))))
+    top = min(TABLE_BITS // 2, max(2, ceil(log2(n * (TABLE_BITS + 1) / TABLES / KEY_VARIANTS + 1))))
     low = TABLE_BITS - top
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,7 +282,7 @@ def _ball_pairs(keys: DataFrame, n: int) -> DataFrame:
         own, rest = (key >> low) == name[0].as_py(), key & ((1 << low) - 1)
         # A key of this bucket brings its variants in the lower bits; that of a bucket one bit away only itself.
         masks = np.array([0, *(1 << b for b in range(low))], np.int64)
-        parts = max(1, -(-len(masks) * int(own.sum()) // VARIANTS))
+        parts = max(1, -(-len(masks) * int(own.sum()) // KEY_VARIANTS))
         found = [np.zeros((0, 2), np.int64)]
         for part in range(parts):  # variants by a hash, so that only some are held at once
             values, owners = [], []
@@ -306,8 +306,8 @@ def _ball_pairs(keys: DataFrame, n: int) -> DataFrame:
         both = np.concatenate(found)
         return released(pa.table({"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1])}))
 
-    # About VARIANTS variants a task; a bucket is a group.
-    tasks = max(parallel, n * (TABLE_BITS + 1) // VARIANTS)
+    # About KEY_VARIANTS variants a task; a bucket is a group.
+    tasks = max(parallel, n * (TABLE_BITS + 1) // KEY_VARIANTS)
     return keys.mapInArrow(dealt, "bucket long, key long, node long").repartition(tasks, "bucket").groupBy("bucket").applyInArrow(meet, "a long, b long")
 
 

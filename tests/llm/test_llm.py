@@ -266,7 +266,7 @@ def test_similar_texts_are_linked(spark, monkeypatch):
             for _ in range(rng.randint(0, max(1, len(w) // 90))):  # up to about 0.9
                 w[rng.randrange(len(w))] = rng.choice(vocabulary)
             rows.append((len(rows), " ".join(w)))
-    monkeypatch.setattr(simhash, "VARIANTS", 5_000)  # several tasks, and buckets in several parts
+    monkeypatch.setattr(simhash, "KEY_VARIANTS", 5_000)  # several tasks, and buckets in several parts
     got = dict(collected(simhash.similar_rows(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)), "doc_id", "component_id"))
     found, of = groups_by_hand([t for _, t in rows], 0.86), {}
     for (i, _), g in zip(rows, found):
