@@ -19,7 +19,9 @@ one table with a probability of 0.12, in some table with 0.95, and at 0.85 with
 above; colliding pairs are then verified over all TABLES * TABLE_BITS bits: their share that differs estimates the angle of
 the two sets, and with the sets' sizes their similarity, with a standard error of 0.03 at 0.8. Texts of equal bits are one
 node. Of texts that share a variant each is paired with the first and with its neighbour by number, so a group of n costs
-2 n pairs for each variant, not n squared.
+2 n pairs for each variant, not n squared. The first FIRST_TABLES tables are met and verified before the others, and each text
+is labelled with the least one within two links; the other tables give no pair of one label, as these are connected already:
+the links found connect the same texts, but a group of copies isn't paired anew in each table.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; a null doc_id is never the
 smallest one of a component unless all are null; repeated rows share a component; other columns are ignored; an empty
@@ -34,6 +36,7 @@ from math import ceil, comb, log2
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,7 +44,7 @@ from pyspark.sql import functions as F
 from tabloom.llm.common import Words, checkpointed, chunks, join_hot, mixed, released, windows
 
 SHINGLE, RADIUS, SEED, BITS = 4, 4, 42, 64
-WORDS, SIMILARITY, TABLES, TABLE_BITS = 5, 0.8, 24, 32
+WORDS, SIMILARITY, TABLES, TABLE_BITS, FIRST_TABLES = 5, 0.8, 24, 32, 6
 #: Variants that a task holds at once, of fingerprints and of tables' keys.
 VARIANTS, KEY_VARIANTS = 3_000_000, 1_000_000
 #: Heavy buckets that are broadcast, at 20 bytes each; if there are more, they are shuffled.
@@ -239,55 +242,60 @@ def signatures(docs: DataFrame, words: int = WORDS, doc_id: str = "doc_id", text
     return docs.select(F.col(doc_id).alias("doc_id"), row_key(doc_id, text).alias("row_key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, row_key string, bits binary, size long")
 
 
-def keyed(nodes: DataFrame) -> DataFrame:
-    """(key, node) for each table of the nodes (node, bits): the table's number above its TABLE_BITS bits."""
+def keyed(nodes: DataFrame, tables: range = range(TABLES)) -> DataFrame:
+    """(key, node, root) for each of the tables of the nodes (node, root, bits): the table's number above its TABLE_BITS bits.
+    A null root, which costs next to nothing in a shuffle, is the node itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, TABLES).astype(np.int64)
-            key = bits | (np.arange(TABLES, dtype=np.int64) << TABLE_BITS)[None, :]
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), TABLES))], names=["key", "node"])
+            bits = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, TABLES).astype(np.int64)
+            key = (bits | (np.arange(TABLES, dtype=np.int64) << TABLE_BITS)[None, :])[:, tables.start : tables.stop]
+            each = pa.array(np.repeat(np.arange(len(batch)), len(tables)))
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), batch.column(0).take(each), batch.column(1).take(each)], names=["key", "node", "root"])
 
-    return nodes.select("node", "bits").mapInArrow(run, "key long, node long")
+    return nodes.select("node", "root", "bits").mapInArrow(run, "key long, node long, root long")
 
 
-def colliding(nodes: DataFrame) -> DataFrame:
-    """(a, b): pairs of nodes (node, bits) that share a variant within one bit in some table.
+def colliding(nodes: DataFrame, tables: range = range(TABLES)) -> DataFrame:
+    """(a, b): pairs of nodes (node, root, bits) of different roots that share a variant within one bit in one of the tables.
 
     Nodes of one key are paired with the first of them, by an aggregate that combines before the shuffle; only distinct
     keys are expanded, so no task holds more than the keys that a bucket can have.
     """
-    own = keyed(nodes)
-    firsts = checkpointed(own.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")))
+    own = keyed(nodes, tables)
+    firsts = checkpointed(own.groupBy("key").agg(F.min("node").alias("first"), F.min_by("root", "node").alias("first_root"), F.count("*").alias("n")))
     n = firsts.count()
-    same = join_hot(own, firsts.filter("n > 1"), "key", "n", n).filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    return same.union(_ball_pairs(firsts.select("key", "first"), n))
+    same = join_hot(own, firsts.filter("n > 1"), "key", "n", n).filter("coalesce(root, node) <> coalesce(first_root, first)").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    return same.union(_ball_pairs(firsts.select("key", "first", "first_root"), n, len(tables)))
 
 
-def _ball_pairs(keys: DataFrame, n: int) -> DataFrame:
-    """(a, b): the nodes of keys (key, first) of one table that share a variant; each with the least and the next one."""
+def _ball_pairs(keys: DataFrame, n: int, tables: int) -> DataFrame:
+    """(a, b): the nodes of keys (key, first, first_root) of one table that share a variant, but not a root; each with the
+    least and the next one."""
     parallel = keys.sparkSession.sparkContext.defaultParallelism
-    top = min(TABLE_BITS // 2, max(2, ceil(log2(n * (TABLE_BITS + 1) / TABLES / KEY_VARIANTS + 1))))
+    top = min(TABLE_BITS // 2, max(2, ceil(log2(n * (TABLE_BITS + 1) / max(1, tables) / KEY_VARIANTS + 1))))
     low = TABLE_BITS - top
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         near = np.array([0, *(1 << b for b in range(top))], np.int64)
         for batch in batches:
-            key = batch.column(0).to_numpy()
-            bucket = (key >> low)[:, None] ^ near[None, :]  # the table's number stands above and stays
-            yield pa.RecordBatch.from_arrays([pa.array(bucket.ravel()), pa.array(np.repeat(key, top + 1)), pa.array(np.repeat(batch.column(1).to_numpy(), top + 1))], names=["bucket", "key", "node"])
+            bucket = (batch.column(0).to_numpy() >> low)[:, None] ^ near[None, :]  # the table's number stands above and stays
+            each = pa.array(np.repeat(np.arange(len(batch)), top + 1))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket.ravel()), *(c.take(each) for c in batch.columns)], names=["bucket", "key", "node", "root"])
 
     def meet(name: tuple, table: pa.Table) -> pa.Table:
-        node, key = table.column("node").to_numpy(), table.column("key").to_numpy()
+        by_node = np.argsort(table.column("node").to_numpy())  # a bucket is of one table, so it has a node once
+        roots = pc.coalesce(table.column("root"), table.column("node"))
+        node, key, root = (x.to_numpy()[by_node] for x in (table.column("node"), table.column("key"), roots))
         own, rest = (key >> low) == name[0].as_py(), key & ((1 << low) - 1)
         # A key of this bucket brings its variants in the lower bits; that of a bucket one bit away only itself.
         masks = np.array([0, *(1 << b for b in range(low))], np.int64)
         parts = max(1, -(-len(masks) * int(own.sum()) // KEY_VARIANTS))
-        found = [np.zeros((0, 2), np.int64)]
+        found = [np.zeros(0, np.int64)]
         for part in range(parts):  # variants by a hash, so that only some are held at once
             values, owners = [], []
             for these, flips in ((own, masks), (~own, masks[:1])):
-                of, at = rest[these], node[these]
+                of, at = rest[these], np.flatnonzero(these).astype(np.int32)
                 for i in range(0, len(of), 1 << 16):
                     v, o = (of[i : i + (1 << 16), None] ^ flips[None, :]).ravel(), np.repeat(at[i : i + (1 << 16)], len(flips))
                     if parts > 1:
@@ -295,20 +303,21 @@ def _ball_pairs(keys: DataFrame, n: int) -> DataFrame:
                         v, o = v[mine], o[mine]
                     values.append(v)
                     owners.append(o)
-            v, o = np.concatenate(values), np.concatenate(owners)
+            v, o = np.concatenate(values), np.concatenate(owners).astype(np.int64)
             order = np.lexsort((o, v))
             v, o = v[order], o[order]
             new = np.append(True, v[1:] != v[:-1])
             again = np.flatnonzero(~new)
             first = np.maximum.accumulate(np.where(new, np.arange(len(v)), 0))
-            pairs = np.stack([np.concatenate([o[first[again]], o[again - 1]]), np.concatenate([o[again], o[again]])], 1)
-            found.append(np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0))
-        both = np.concatenate(found)
-        return released(pa.table({"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1])}))
+            a, b = np.concatenate([o[first[again]], o[again - 1]]), np.concatenate([o[again], o[again]])
+            apart = root[a] != root[b]
+            found.append(np.unique((a[apart] << 32) | b[apart]))
+        both = np.unique(np.concatenate(found))
+        return released(pa.table({"a": pa.array(node[both >> 32]), "b": pa.array(node[both & 0xFFFFFFFF])}))
 
     # About KEY_VARIANTS variants a task; a bucket is a group.
     tasks = max(parallel, n * (TABLE_BITS + 1) // KEY_VARIANTS)
-    return keys.mapInArrow(dealt, "bucket long, key long, node long").repartition(tasks, "bucket").groupBy("bucket").applyInArrow(meet, "a long, b long")
+    return keys.mapInArrow(dealt, "bucket long, key long, node long, root long").repartition(tasks, "bucket").groupBy("bucket").applyInArrow(meet, "a long, b long")
 
 
 def similar(nodes: DataFrame, pairs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -327,10 +336,24 @@ def similar(nodes: DataFrame, pairs: DataFrame, least: float = SIMILARITY) -> Da
     distinct = checkpointed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     # A node in many pairs, such as the first of a large group, is hot on either side.
     total = distinct.count()
-    for x in "ab":
-        counted = distinct.groupBy(x).agg(F.count("*").alias("pairs"))
-        distinct = join_hot(distinct, checkpointed(side(x).join(counted, x)), x, "pairs", total)
-    return distinct.select("a", "b", "a_bits", "a_size", "b_bits", "b_size").mapInArrow(run, "a long, b long")
+    with_side = lambda left, x: join_hot(left, checkpointed(side(x).join(distinct.groupBy(x).agg(F.count("*").alias("pairs")), x)), x, "pairs", total)
+    both = with_side(checkpointed(with_side(distinct, "a")), "b")
+    return both.select("a", "b", "a_bits", "a_size", "b_bits", "b_size").mapInArrow(run, "a long, b long")
+
+
+def labels(edges: DataFrame) -> DataFrame:
+    """(node, root): for every node with an edge (a, b) the least node within two edges; nodes of one root are connected."""
+    both = edges.select("a", "b").union(edges.select("b", "a"))
+    least = checkpointed(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select(F.col("a").alias("b"), F.least("a", "m").alias("root"), "n"))
+    return join_hot(both, least, "b", "n", 2 * edges.count()).groupBy(F.col("a").alias("node")).agg(F.min("root").alias("root"))
+
+
+def similar_links(nodes: DataFrame, least: float = SIMILARITY, first_tables: int = FIRST_TABLES) -> DataFrame:
+    """(a, b): links that connect the nodes (node, bits, size) as all verified pairs of all tables do: those of the first
+    tables, and of the others such that join nodes of different labels."""
+    early = checkpointed(similar(nodes, colliding(nodes.withColumn("root", F.lit(None).cast("long")), range(first_tables)), least))
+    rooted = checkpointed(nodes.join(labels(early).filter("root < node"), "node", "left").select("node", "root", "bits"))
+    return early.union(similar(nodes, colliding(rooted, range(first_tables, TABLES)), least))
 
 
 def similar_rows(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY) -> DataFrame:
@@ -339,8 +362,7 @@ def similar_rows(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
     nodes = checkpointed(rows.groupBy("node").agg(F.min(order).alias("low"), F.count("*").alias("n"), F.min("bits").alias("bits"), F.min("size").alias("size")))
     full = nodes.filter("size > 0").select("node", "bits", "size")
-    edges = checkpointed(similar(full, colliding(full), least))
-    of = _lowest(nodes.select("node", "low", "n"), "node", components(edges))
+    of = _lowest(nodes.select("node", "low", "n"), "node", components(similar_links(full, least)))
     of = of.select(F.col("node"), F.col("low.doc_id").alias("component_id"), F.col("low.row_key").alias("kept_key"), "n")
     return join_hot(rows.select("doc_id", "row_key", "node"), checkpointed(of), "node", "n", rows.count()).select("doc_id", "row_key", "component_id", (F.col("row_key") == F.col("kept_key")).alias("representative"))
 

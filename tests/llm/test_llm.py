@@ -16,6 +16,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 from conftest import alike
+from pyspark.sql import functions as F
 
 from tabloom.llm import licenses, mixing, packing, quality, queries, simhash, substrings, toxicity, urls, warc, winnowing
 from tabloom.llm.common import id_groups
@@ -274,6 +275,21 @@ def test_similar_texts_are_linked(spark, monkeypatch):
     assert all(len(x) == 1 for x in of.values()) and len({got[i] for i, _ in rows}) >= 12
 
 
+def test_similar_links_are_those_of_one_pass(spark):
+    rng = np.random.default_rng(13)
+    prints = [rng.integers(0, 256, simhash.TABLES * simhash.TABLE_BITS // 8, dtype=np.uint8) for _ in range(20)]
+    for _ in range(300):  # chains and groups in which many bits of the 768 differ
+        x = np.unpackbits(prints[rng.integers(0, len(prints))])
+        x[rng.choice(len(x), rng.integers(1, 90), replace=False)] ^= 1
+        prints.append(np.packbits(x))
+    ids = rng.permutation(len(prints)).tolist()
+    nodes = spark.createDataFrame([(i, bytearray(p.tobytes()), 200) for i, p in zip(ids, prints)], "node long, bits binary, size long").repartition(3)
+    of = {n: dict(collected(simhash.components(simhash.similar_links(nodes, first_tables=n)), "node", "root")) for n in (0, simhash.FIRST_TABLES, simhash.TABLES)}
+    assert of[0] == of[simhash.FIRST_TABLES] == of[simhash.TABLES] and len(of[0]) > 100
+    rooted = nodes.withColumn("root", F.lit(7).cast("long"))
+    assert simhash.colliding(rooted).count() == 0 < simhash.colliding(nodes.withColumn("root", F.lit(None).cast("long"))).count()
+
+
 def test_signature_bits_are_majorities():
     rng = np.random.default_rng(5)
     for n in (0, 1, 2, 7, 40_000):
@@ -601,7 +617,6 @@ def test_id_groups_ascend_and_hold_their_target(spark):
     rng = random.Random(1)
     ids = sorted(rng.choices(range(10**12), k=300)) + [5] * 200 + list(range(10**6, 10**6 + 500))
     df = spark.createDataFrame([(i, str(n)) for n, i in enumerate(ids)] + [(None, str(n)) for n in range(100)], "id long, t string")
-    from pyspark.sql import functions as F
 
     rows = df.select("id", id_groups(df, "id", F.lit(1), 50, bins=16, tie="t").alias("g")).collect()
     known = sorted((r.id, r.g) for r in rows if r.id is not None)
