@@ -9,7 +9,7 @@ from tabloom.functions import text as tx
 from tabloom.operators import dedupe, headers, union
 from tabloom.sources.report import sheet_report
 from tabloom.sources.shared import stored
-from tabloom.sources.sheets import sheet_cells
+from tabloom.sources.sheets import stored_cells
 
 KEY = ("Person Number", "Patient Name", "Encounter Number", "Date of Service")
 
@@ -17,7 +17,7 @@ KEY = ("Person Number", "Patient Name", "Encounter Number", "Date of Service")
 def combined(spark: SparkSession, folder: str, key: tuple[str, ...] = KEY) -> tuple[DataFrame, DataFrame]:
     """(rows, report). Row 1 must be a header; sheets with pivots or charts are skipped; columns of one canonical name
     coalesce; the first of rows with an equal normalised key stays, rows with a blank key all do."""
-    cells = stored(sheet_cells(spark, folder))
+    cells = stored_cells(spark, folder)
     plain = cells.filter("error is null and not has_pivot and not has_chart and not is_chartsheet and row_no is not null")
     reasons = headers.first_row_or_reason(plain)
     good = reasons.filter("reason is null").select("file", "sheet", F.lit(1).alias("header_row"))
@@ -44,7 +44,7 @@ def merged(spark: SparkSession, folder: str, expected: list[str]) -> DataFrame:
     """As-is append of all rows, blank ones too, as text. A row has as many columns as the widest row of all files, and the
     expected ones at least; those beyond are named Extra_<number>, so no cell is lost. Files that can't be read are in
     the report (see `sheet_report`)."""
-    cells = stored(sheet_cells(spark, folder)).filter("error is null and row_no is not null")
+    cells = stored_cells(spark, folder).filter("error is null and row_no is not null")
     # One number reaches the driver.
     width = max(len(expected), cells.agg(F.max(F.size("cells"))).first()[0] or 0)
     names = [*expected, *[f"Extra_{i}" for i in range(len(expected) + 1, width + 1)]]

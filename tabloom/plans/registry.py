@@ -802,9 +802,9 @@ def records_over_pages(spark, sf_dir):
 def merged_wide_rows(spark, sf_dir):
     """A folder of one wide text file, written from the orders, merged: 65 columns of which 64 are blank."""
     folder = f"{shared_dir(spark).rstrip('/')}/merge-{uuid.uuid4().hex}"
-    o = _t(spark, sf_dir, "orders").select("o_orderkey")
-    row = F.concat(F.col("o_orderkey").cast("string"), F.lit("," * 64)).alias("value")
-    head = spark.range(1).select(F.lit(-1).cast("long").alias("o_orderkey"), F.lit(",".join(f"c{i}" for i in range(1, 66))).alias("value"))
-    o.select("o_orderkey", row).union(head).coalesce(1).sortWithinPartitions("o_orderkey").select("value").write.text(f"{folder}/in")
+    # The keys are sorted, not the rows: the file is one, so one task writes it.
+    keys = _t(spark, sf_dir, "orders").select("o_orderkey", F.lit(1).alias("at")).union(spark.range(1).select(F.lit(None).cast("long"), F.lit(0)))
+    row = F.when(F.col("at") == 0, ",".join(f"c{i}" for i in range(1, 66))).otherwise(F.concat(F.col("o_orderkey").cast("string"), F.lit("," * 64)))
+    keys.coalesce(1).sortWithinPartitions("at", "o_orderkey").select(row.alias("value")).write.text(f"{folder}/in")
     out = consolidate.merged(spark, f"{folder}/in", [f"c{i}" for i in range(1, 66)])
     return out.select(F.lit("Sheet").alias("sheet"), "row_no", "c1", "c65")

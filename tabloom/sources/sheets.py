@@ -1,7 +1,8 @@
 """Cells of files as DataFrames: file, sheet, visibility, row_no, cells, and flags of the sheet.
 
-Files are listed and read by Spark (binaryFile), so any store works, and each is decoded where it is read. A file that
-can't be read gives one row with `error` instead of failing the job. The same rows come from the data source
+Files are listed and read by Spark (binaryFile), so any store works, and each is decoded where it is read; delimited text
+of more than LARGE bytes is cut into pieces that many tasks parse (see `pieces`). A file that can't be read gives one row with
+`error` instead of failing the job. The same rows come from the data source
 `sheet_cells` for plain SQL use, whose `sheet` and `visibility` filters skip sheets before their rows are emitted.
 """
 
@@ -16,7 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
 
-from tabloom.sources import decode
+from tabloom.sources import decode, pieces
+from tabloom.sources.shared import stored
 
 SCHEMA = "file string, sheet string, visibility string, row_no int, cells array<string>, has_pivot boolean, has_chart boolean, is_chartsheet boolean, protected boolean, declared string, error string"
 _NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
@@ -26,6 +28,8 @@ EXTENSIONS = ("xlsx", "xlsm", "xltx", "xltm", "xls", "xlsb", "ods", "xml", "csv"
 _PATTERN = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in x) for x in EXTENSIONS) + "}"
 #: Rows of a batch sent back from Python.
 BATCH = 10_000
+#: Bytes from which on delimited text isn't read whole.
+LARGE = 8 << 20
 
 
 def file_rows(name: str, data: bytes) -> Iterator[tuple]:
@@ -57,11 +61,15 @@ def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(rows)
 
 
+def _read(spark: SparkSession, kind: str, folder: str, recursive: bool = True, pattern: str | None = None, **_) -> DataFrame:
+    return spark.read.format(kind).option("lineSep", "\n").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", pattern or _PATTERN).load(folder)
+
+
 def files(spark: SparkSession, folder: str, recursive: bool = True, pattern: str | None = None, own_outputs: str = "") -> DataFrame:
-    """path, name and content of input files; lock files (~$), dotfiles and own outputs are left out."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", pattern or _PATTERN).load(folder)
+    """path, name, content and uri of input files; lock files (~$), dotfiles and own outputs are left out."""
+    found = _read(spark, "binaryFile", folder, recursive, pattern)
     name = F.url_decode(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\+", "%2B"))
-    named = found.select("path", name.alias("name"), "length", "content").filter(~F.col("name").startswith("~$") & ~F.col("name").startswith("."))
+    named = found.select("path", name.alias("name"), "length", "content", F.col("_metadata.file_path").alias("uri")).filter(~F.col("name").startswith("~$") & ~F.col("name").startswith("."))
     return named.filter(~F.lower("name").contains(own_outputs.lower())) if own_outputs else named
 
 
@@ -76,7 +84,31 @@ def skipped_files(spark: SparkSession, folder: str, recursive: bool = True) -> D
 
 def sheet_cells(spark: SparkSession, folder: str, **options) -> DataFrame:
     """Rows of all sheets of all files below a folder."""
-    return files(spark, folder, **options).select("name", "content").mapInArrow(_decoded, SCHEMA)
+    small, large = _parts(spark, folder, **options)
+    return small if large is None else small.unionByName(large)
+
+
+def stored_cells(spark: SparkSession, folder: str, **options) -> DataFrame:
+    """The same rows, decoded once and kept in the shared folder; of large text its pieces are kept, not its cells."""
+    small, large = _parts(spark, folder, **options)
+    return stored(small) if large is None else stored(small).unionByName(large)
+
+
+def _parts(spark: SparkSession, folder: str, **options) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of the files that are read whole, and of large delimited text, if there is any."""
+    found = files(spark, folder, **options)
+    large = []
+    for f in found.filter(F.col("length") > LARGE).select("uri", "name").collect():
+        head, last = pieces.ends(spark, f.uri)
+        # In UTF-16 a line end's bytes may be parts of other characters.
+        if decode.sniff(head) == "text" and head[:2] not in (b"\xff\xfe", b"\xfe\xff"):
+            large.append(pieces.Large(f.uri, f.name, head, last == b"\n"))
+    if not large:
+        return found.select("name", "content").mapInArrow(_decoded, SCHEMA), None
+    text = F.col("_metadata.file_path").isin([f.uri for f in large])
+    # By the file's path, so that Spark leaves the large ones out before it reads them.
+    small = found.filter(~F.col("uri").isin([f.uri for f in large])).select("name", "content").mapInArrow(_decoded, SCHEMA)
+    return small, pieces.text_cells(_read(spark, "text", folder, **options).filter(text), large, SCHEMA, _TYPES, BATCH, pieces.PIECE)
 
 
 def html_cells(df: DataFrame, key: str, html: str) -> DataFrame:

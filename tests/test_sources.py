@@ -1,10 +1,11 @@
+import random
 import zipfile
 
 from pyspark.sql import functions as F
 
 from tabloom.operators import headers, union
 from tabloom.plans import consolidate
-from tabloom.sources import decode, sheets, sinks
+from tabloom.sources import decode, pieces, sheets, sinks
 from tabloom.streaming import incremental
 
 
@@ -108,6 +109,42 @@ def test_no_cell_and_no_file_is_lost(spark, tmp_path):
     assert {(r.file, r.rows, r.columns, r.width) for r in consolidate.sizes(cells).collect()} == {("a.csv", 3, 4, 4), ("B.TXT", 2, 2, 4), ("C.Xlsx", 2, 2, 4)}
 
 
+def test_large_text_is_never_read_whole(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.csv").write_text("k,v\n" + "".join(f"{i},v{i}\n" for i in range(3000)))
+    monkeypatch.setattr(sheets, "LARGE", 1000)
+
+    def refused(rows):
+        raise AssertionError("a large text was read whole")
+
+    monkeypatch.setattr(sheets, "_decoded", lambda batches: (refused(b) for b in batches if b.num_rows))
+    rows = consolidate.merged(spark, str(tmp_path), ["k", "v"]).orderBy("row_no").collect()
+    assert [(r.row_no, r.k, r.v) for r in rows] == [(1, "k", "v"), *[(i + 2, str(i), f"v{i}") for i in range(3000)]]
+
+
+def test_pieces_give_the_rows_of_the_whole_text(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sheets, "LARGE", 20)
+    monkeypatch.setattr(pieces, "PIECE", 40)
+    r, expected = random.Random(5), {}
+    plain, quotes, other = [b"a", b"bc", b",", b";", b"\n", b"\r\n", b"\r", b"\n\n"], [b'"', b'""', b'"x\n'], [b"\xc3\xa9", b"\xe2\x80\xa8", b"\x0b"]
+    for i in range(24):
+        data = (b"\xef\xbb\xbf" if i % 5 == 0 else b"") + b"".join(r.choices(plain * 3 + (quotes if i % 4 else []) + (other if i % 2 else []) + ([b"\xff", b"\x85"] if i % 6 == 0 else []) + ([b"\x81"] if i == 12 else []), k=r.randint(60, 300)))
+        data = data + b"\0" if i == 22 else data.decode("latin-1").encode("utf-16") if i == 23 else data
+        (tmp_path / f"f{i} [x].{('csv', 'TXT')[i % 2]}").write_bytes(data)
+        expected |= {repr(x): 1 for x in sheets.file_rows(f"f{i} [x].{('csv', 'TXT')[i % 2]}", data)}
+    split = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(split)
+    spark.conf.set(split, "300")
+    try:
+        found = [repr(tuple(x)) for x in sheets.sheet_cells(spark, str(tmp_path)).collect()]
+    finally:
+        spark.conf.set(split, before)
+    assert len(found) == len(expected) and set(found) == set(expected)
+
+
+def test_long_cells_of_text():
+    assert [s.rows for s in decode.sheets(b"a,b\n" + b"x" * 200_000 + b",1\n")] == [[(1, ["a", "b"]), (2, ["x" * 200_000, "1"])]]
+
+
 def test_open_documents_and_fallbacks(tmp_path):
     ns = 'xmlns:office="o" xmlns:table="t" xmlns:text="x"'
     body = '<table:table table:name="S"><table:table-row><table:table-cell office:value-type="string"><text:p>a</text:p></table:table-cell><table:table-cell table:number-columns-repeated="2"/><table:table-cell office:value-type="float" office:value="2.0"><text:p>2</text:p></table:table-cell><table:table-cell table:number-columns-repeated="900"/></table:table-row><table:table-row table:number-rows-repeated="3"/><table:table-row table:number-rows-repeated="2"><table:table-cell office:value-type="date" office:date-value="2024-02-01"/></table:table-row></table:table>'
