@@ -8,7 +8,6 @@ a record that goes on in later pieces is completed with their beginnings.
 from __future__ import annotations
 
 import codecs
-import csv
 import io
 import zlib
 from collections import defaultdict
@@ -99,7 +98,7 @@ def _text(piece: dict) -> str:
 
 def _reader(text: str, sep: str, inside: bool):
     """A text that begins inside a quoted cell is read with a quote before it: the first record is the rest of an earlier one."""
-    return csv.reader(io.StringIO('"' + text if inside else text, newline=""), delimiter=sep)
+    return decode.records('"' + text if inside else text, sep)
 
 
 def walked(text: str, sep: str, inside: bool) -> tuple[int, bool]:

@@ -145,6 +145,14 @@ def test_long_cells_of_text():
     assert [s.rows for s in decode.sheets(b"a,b\n" + b"x" * 200_000 + b",1\n")] == [[(1, ["a", "b"]), (2, ["x" * 200_000, "1"])]]
 
 
+def test_long_cells_over_pieces(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sheets, "LARGE", 1000)
+    monkeypatch.setattr(pieces, "PIECE", 1000)
+    long = "a\nb" * 60_000
+    (tmp_path / "a.csv").write_text(f'k,v\n1,"{long}"\n2,x\n')
+    assert [r.cells for r in sheets.sheet_cells(spark, str(tmp_path)).orderBy("row_no").collect()] == [["k", "v"], ["1", long], ["2", "x"]]
+
+
 def test_open_documents_and_fallbacks(tmp_path):
     ns = 'xmlns:office="o" xmlns:table="t" xmlns:text="x"'
     body = '<table:table table:name="S"><table:table-row><table:table-cell office:value-type="string"><text:p>a</text:p></table:table-cell><table:table-cell table:number-columns-repeated="2"/><table:table-cell office:value-type="float" office:value="2.0"><text:p>2</text:p></table:table-cell><table:table-cell table:number-columns-repeated="900"/></table:table-row><table:table-row table:number-rows-repeated="3"/><table:table-row table:number-rows-repeated="2"><table:table-cell office:value-type="date" office:date-value="2024-02-01"/></table:table-row></table:table>'
